@@ -309,34 +309,34 @@ def _lined_up(source: Frames, destination: Frames, column_map: Sequence[Mapping]
     return s, d, shared, skipped
 
 
-def _weighted(source: Frames, destination: Frames, shared: Sequence[str]) -> DataFrame:
+def _tagged_rows(source: Frames, destination: Frames, shared: Sequence[str]) -> DataFrame:
     s_arms, d_arms = comparable_rows(source, destination, shared)
     return stack([
-        *(df.select("*", F.lit(1).alias("__weight")) for df in s_arms),
-        *(df.select("*", F.lit(-1).alias("__weight")) for df in d_arms),
+        *(df.select("*", F.lit(True).alias("__source")) for df in s_arms),
+        *(df.select("*", F.lit(False).alias("__source")) for df in d_arms),
     ])
 
 
 def row_balance(
     source: Frames, destination: Frames, column_map: Sequence[Mapping] = (), digest: bool = False
 ) -> tuple[DataFrame, list[str], list[str]]:
-    """Distinct rows with ``net`` = copies in source minus copies in destination.
+    """Distinct rows with their number of copies on each side.
 
-    One shuffle: copies collapse to a weight on the map side, so a row that makes up a third
+    One shuffle: copies collapse to two counts on the map side, so a row that makes up a third
     of a table travels once per task. With ``digest`` the shuffle carries the SHA-256 of the
     row and not the row, for tables of long texts.
     """
     s, d, shared, skipped = _lined_up(source, destination, column_map)
-    rows = _weighted(s, d, shared)
+    rows = _tagged_rows(s, d, shared)
     if digest:
         packed = F.to_json(F.struct(*(c(n) for n in shared)), {"ignoreNullFields": "false"})
-        rows = rows.select(F.unhex(F.sha2(packed, 256)).alias("__digest"), "__weight")
+        rows = rows.select(F.unhex(F.sha2(packed, 256)).alias("__digest"), "__source")
         keys = ["__digest"]
     else:
         keys = list(shared)
     balance = rows.groupBy(*(c(k) for k in keys)).agg(
-        F.sum("__weight").alias("net"),
-        F.count_if(F.col("__weight") > 0).alias("source_copies"),
+        F.count_if("__source").alias("source_copies"),
+        F.count_if(~F.col("__source")).alias("destination_copies"),
     )
     return balance, shared, skipped
 
@@ -344,10 +344,9 @@ def row_balance(
 def row_differences(source: Frames, destination: Frames, column_map: Sequence[Mapping] = ()) -> DataFrame:
     """Rows whose number of copies differs: shared columns, ``found_in`` and ``copies``."""
     balance, shared, _ = row_balance(source, destination, column_map)
-    side = F.when(F.col("net") > 0, F.lit("source")).otherwise(F.lit("destination"))
-    return balance.filter(F.col("net") != 0).select(
-        *(c(n) for n in shared), side.alias("found_in"), F.abs("net").alias("copies")
-    )
+    net = F.col("source_copies") - F.col("destination_copies")
+    side = F.when(net > 0, F.lit("source")).otherwise(F.lit("destination"))
+    return balance.filter(net != 0).select(*(c(n) for n in shared), side.alias("found_in"), F.abs(net).alias("copies"))
 
 
 def _row_text(df: DataFrame, shared: Sequence[str]) -> Column:
@@ -364,12 +363,12 @@ def row_parity(
 ) -> DataFrame:
     """Does every row exist on both sides, with the same number of copies?"""
     balance, shared, skipped = row_balance(source, destination, column_map, digest)
-    net = F.col("net")
+    net = F.col("source_copies") - F.col("destination_copies")
     counts = balance.agg(
         F.coalesce(F.sum(F.greatest(net, F.lit(0))), F.lit(0)).alias("missing"),
         F.coalesce(F.sum(F.greatest(-net, F.lit(0))), F.lit(0)).alias("extra"),
         F.coalesce(F.sum("source_copies"), F.lit(0)).alias("source_rows"),
-        F.coalesce(F.sum(F.col("source_copies") - net), F.lit(0)).alias("destination_rows"),
+        F.coalesce(F.sum("destination_copies"), F.lit(0)).alias("destination_rows"),
     )
     parts = {"counts": counts}
     samples = 0 if digest else samples
