@@ -1,6 +1,7 @@
 """Text forms of values: the rules that decide whether two cells are the same.
 
-Everything here is a Column expression, so it stays inside generated code.
+Each function takes and gives a piece of Spark SQL, so a form is analysed in one go however
+wide the table is, and stays inside generated code. ``F.expr`` turns it into a Column.
 """
 
 from __future__ import annotations
@@ -15,141 +16,117 @@ BLANKS = (
     "        　"
 )
 # What may be a date, and where two-digit years turn over.
-DATE_LIKE = r"^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}$"
+DATE_LIKE = "^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}$"
 YEAR_PIVOT = 69
 
-KEY_DATE = r"^\s*[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}(\s*|[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?\s*)$"
+TIME = "([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?)?"
+KEY_DAY = "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"
 
 NESTED = (T.StructType, T.ArrayType, T.MapType)
 
 
-def strip(col: Column) -> Column:
-    return F.btrim(col, F.lit(BLANKS))
+def q(name: str) -> str:
+    """A column by its exact name, dots and spaces included."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def double_text(col: Column) -> Column:
+def literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strip(x: str) -> str:
+    return f"btrim({x}, {literal(BLANKS)})"
+
+
+def double_text(x: str) -> str:
     """A double in plain digits between 1e-4 and 1e16, with an ``e`` form outside."""
-    raw = col.cast("string")
-    sign = F.when(raw.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.regexp_extract(raw, r"^-?([0-9]+\.[0-9]+)E", 1)
-    exponent = F.regexp_extract(raw, r"E(-?[0-9]+)$", 1).try_cast("int")
-    significant = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "(?<=[0-9])0+$", "")
-    whole = F.rpad(F.substring(significant, F.lit(1), exponent + 1), exponent + 1, "0")
-    rest = F.substring(significant, exponent + 2, F.lit(40))
-    large = F.concat(sign, whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
-    small = F.concat(sign, F.lit("0.000"), significant)
-    powered = F.concat(
-        sign,
-        F.regexp_replace(mantissa, r"\.0$", ""),
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")),
-    )
-    return (
-        F.when(~raw.contains("E"), raw)
-        .when(exponent.between(7, 15), large)
-        .when(exponent == -4, small)
-        .otherwise(powered)
-    )
-
-
-def text(col: Column, dtype: T.DataType) -> Column:
+    raw = f"cast({x} as string)"
+    sign = f"if(startswith({raw}, '-'), '-', '')"
+    mantissa = f"regexp_extract({raw}, '^-?([0-9]+[.][0-9]+)E', 1)"
+    exponent = f"try_cast(regexp_extract({raw}, 'E(-?[0-9]+)$', 1) as int)"
+    digits = f"regexp_replace(replace({mantissa}, '.', ''), '(?<=[0-9])0+$', '')"
+    whole = f"rpad(substring({digits}, 1, {exponent} + 1), {exponent} + 1, '0')"
+    rest = f"coalesce(nullif(substring({digits}, {exponent} + 2, 40), ''), '0')"
+    power = f"concat(if({exponent} < 0, 'e-', 'e+'), if(abs({exponent}) < 10, '0', ''), cast(abs({exponent}) as string))"
+    return f"""case when not contains({raw}, 'E') then {raw}
+        when {exponent} between 7 and 15 then concat({sign}, {whole}, '.', {rest})
+        when {exponent} = -4 then concat({sign}, '0.000', {digits})
+        else concat({sign}, regexp_replace({mantissa}, '[.]0$', ''), {power}) end"""
+
+
+def text(x: str, dtype: T.DataType) -> str:
     """The value as text, one form per type, NULL stays NULL."""
     if isinstance(dtype, T.StringType):
-        return col
+        return x
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return double_text(col.cast("double"))
+        return double_text(f"cast({x} as double)")
     if isinstance(dtype, NESTED):
-        return F.to_json(col)
+        return f"to_json({x})"
     if isinstance(dtype, T.BinaryType):
-        return F.hex(col)
-    return col.cast("string")
-
+        return f"hex({x})"
+    return f"cast({x} as string)"
 
-def _whole_date(year: Column, month: Column, day: Column) -> Column:
-    return F.when(year != "0000", F.concat_ws("-", year, month, day).try_cast("date"))
 
-
-def _long_year(short: Column) -> Column:
-    number = short.try_cast("int")
-    return (number + F.when(number >= YEAR_PIVOT, F.lit(1900)).otherwise(F.lit(2000))).cast("string")
-
-
-def iso_date(col: Column) -> Column:
+def iso_date(x: str) -> str:
     """ISO text of a date written in one of nine day/month/year layouts, else NULL.
 
     Four-digit years win over two-digit ones and day-first wins over month-first:
     Y-m-d, Y/m/d, d-m-Y, d/m/Y, m-d-Y, m/d/Y, y-m-d, d-m-y, d/m/y.
     """
-    separator = F.regexp_extract(col, r"^[0-9]+([-/])", 1)
-    parts = F.split(col, "[-/]")
-    first, middle, last = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
-    n_first, n_last = F.length(first), F.length(last)
-    found = (
-        F.when((n_first == 4) & (n_last <= 2), _whole_date(first, middle, last))
-        .when(
-            (n_last == 4) & (n_first <= 2),
-            F.coalesce(_whole_date(last, middle, first), _whole_date(last, first, middle)),
-        )
-        .when(
-            (n_first <= 2) & (n_last <= 2),
-            F.coalesce(
-                F.when(
-                    (separator == "-") & (n_first == 2), _whole_date(_long_year(first), middle, last)
-                ),
-                F.when(n_last == 2, _whole_date(_long_year(last), middle, first)),
-            ),
-        )
-    )
-    one_separator = F.regexp_like(col, F.lit(r"^[0-9]+([-/])[0-9]+\1[0-9]+$"))
-    return F.when(F.regexp_like(col, F.lit(DATE_LIKE)) & one_separator, found.cast("string"))
-
-
-def normalise_text(col: Column) -> Column:
+    first, middle, last = (f"get(split({x}, '[-/]'), {i})" for i in range(3))
+
+    def day(year: str, month: str, number: str) -> str:
+        return f"if({year} = '0000', null, try_cast(concat_ws('-', {year}, {month}, {number}) as date))"
+
+    def long(short: str) -> str:
+        return f"cast(int({short}) + if(int({short}) >= {YEAR_PIVOT}, 1900, 2000) as string)"
+
+    return f"""case when not ({x} rlike '{DATE_LIKE}') or (contains({x}, '-') and contains({x}, '/')) then null
+        else cast(case
+          when length({first}) = 4 and length({last}) <= 2 then {day(first, middle, last)}
+          when length({last}) = 4 and length({first}) <= 2
+            then coalesce({day(last, middle, first)}, {day(last, first, middle)})
+          when length({first}) <= 2 and length({last}) <= 2 then coalesce(
+            if(contains({x}, '-') and length({first}) = 2, {day(long(first), middle, last)}, null),
+            if(length({last}) = 2, {day(long(last), middle, first)}, null))
+          end as string) end"""
+
+
+def normalise_text(x: str) -> str:
     """One form per cell: NULL and blank alike, midnight as a date, 5.0 as 5, dates as ISO."""
-    cell = strip(col)
-    size = F.length(cell)
-    return (
-        F.when(cell.isNull(), F.lit(""))
-        .when(
-            (size == 19) & (F.substring(cell, 5, 1) == "-") & cell.endswith("00:00:00"),
-            F.substring(cell, 1, 10),
-        )
-        .when(
-            cell.endswith(".0") & F.regexp_like(cell, F.lit(r"^-*[0-9]+\.0$")),
-            F.substring(cell, F.lit(1), size - 2),
-        )
-        .when(size.between(5, 12), F.coalesce(iso_date(cell), cell))
-        .otherwise(cell)
-    )
-
-
-def normalise_cell(col: Column, dtype: T.DataType) -> Column:
+    cell = strip(x)
+    return f"""case when {x} is null then ''
+        when length({cell}) = 19 and substring({cell}, 5, 1) = '-' and endswith({cell}, '00:00:00')
+          then substring({cell}, 1, 10)
+        when endswith({cell}, '.0') and {cell} rlike '^-*[0-9]+[.]0$' then substring({cell}, 1, length({cell}) - 2)
+        when length({cell}) between 5 and 12 then coalesce({iso_date(cell)}, {cell})
+        else {cell} end"""
+
+
+def normalise_cell(x: str, dtype: T.DataType) -> str:
     """The cell as whole-row comparison sees it when the two sides' types differ."""
     if isinstance(dtype, T.BooleanType):
-        return F.when(col.isNull(), F.lit("")).when(col, F.lit("True")).otherwise(F.lit("False"))
+        return f"case when {x} is null then '' when {x} then 'True' else 'False' end"
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)):
-        return F.coalesce(col.cast("string"), F.lit(""))
+        return f"coalesce(cast({x} as string), '')"
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        midnight = F.date_trunc("day", col) == col
-        no_fraction = F.date_trunc("second", col) == col
-        return (
-            F.when(col.isNull(), F.lit(""))
-            .when(midnight, col.cast("date").cast("string"))
-            .when(no_fraction, F.date_format(col, "yyyy-MM-dd HH:mm:ss"))
-            .otherwise(F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-        )
-    return normalise_text(text(col, dtype))
-
-
-def key_text(col: Column, dtype: T.DataType) -> Column:
+        return f"""case when {x} is null then ''
+            when date_trunc('day', {x}) = {x} then cast(cast({x} as date) as string)
+            when date_trunc('second', {x}) = {x} then date_format({x}, 'yyyy-MM-dd HH:mm:ss')
+            else date_format({x}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') end"""
+    return normalise_text(text(x, dtype))
+
+
+def key_text(x: str, dtype: T.DataType) -> str:
     """A key as text: timestamps and date-like text collapse to their date."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return col.cast("date").cast("string")
+        return f"cast(cast({x} as date) as string)"
     if isinstance(dtype, T.StringType):
-        day = F.replace(F.regexp_extract(col, r"^\s*([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2})", 1), F.lit("/"), F.lit("-"))
-        as_date = F.when(F.regexp_like(col, F.lit(KEY_DATE)), day.try_cast("date").cast("string"))
-        return F.coalesce(as_date, col)
-    return text(col, dtype)
+        cell = f"trim({x})"
+        day = f"replace(regexp_extract({cell}, '^({KEY_DAY})', 1), '/', '-')"
+        return f"""case when {cell} rlike '^({KEY_DAY}){TIME}$'
+            then coalesce(cast(try_cast({day} as date) as string), {x}) else {x} end"""
+    return text(x, dtype)
 
 
 def java_pattern(pattern: str) -> str:

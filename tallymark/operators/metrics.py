@@ -17,73 +17,62 @@ from pyspark.sql import types as T
 
 from tallymark import model
 from tallymark.functions.columns import missing_columns
-from tallymark.functions.text import java_pattern, text
+from tallymark.functions.text import java_pattern, literal, text
 from tallymark.model import CheckError
 from tallymark.operators.sides import as_type, column_type, stack
 
 ALL_TABLES = "__all__"
 TABLE_BITS = 62
 
-Measure = Callable[[Column, T.DataType, str | None], Column]
+Measure = Callable[[str, T.DataType, str | None], str]
 
 
 @dataclass(frozen=True)
 class Metric:
-    """How a column is reduced (``parts``) and how table figures merge (``merge``)."""
+    """How a column is reduced (``parts``, in SQL) and how table figures merge (``merge``)."""
 
     kind: str
     label: str
     additive: bool
     parts: dict[str, Measure]
-    merge: dict[str, Callable[[Column], Column]]
+    merge: dict[str, str]
 
 
-def _tally(flag: Callable[[Column, T.DataType, str | None], Column]) -> Measure:
-    return lambda val, dtype, pattern: F.sum(F.when(flag(val, dtype, pattern), F.lit(1)).otherwise(F.lit(0)))
-
-
-def _size(val: Column, dtype: T.DataType, _: str | None) -> Column:
-    return F.length(text(val, dtype)).cast("bigint")
+def _matches(val: str, dtype: T.DataType, pattern: str | None) -> str:
+    return f"{text(val, dtype)} rlike {literal(java_pattern(str(pattern)))}"
 
 
 METRICS: dict[str, Metric] = {
     model.NULLS: Metric(
         "count", "nulls", True,
-        {"metric": _tally(lambda val, dtype, pattern: val.isNull())}, {"metric": F.sum},
+        {"metric": lambda val, dtype, pattern: f"sum(if({val} is null, 1, 0))"}, {"metric": "sum"},
     ),
     model.UNIQUENESS: Metric("count", "distinct values", False, {}, {}),
     model.RANGE: Metric(
         "range", "range", False,
-        {"low": lambda val, dtype, pattern: F.min(val), "high": lambda val, dtype, pattern: F.max(val)},
-        {"low": F.min, "high": F.max},
+        {"low": lambda val, dtype, pattern: f"min({val})", "high": lambda val, dtype, pattern: f"max({val})"},
+        {"low": "min", "high": "max"},
     ),
     model.VOLUME: Metric(
         "count2", "volume", True,
-        {
-            "metric": lambda val, dtype, pattern: F.count(F.lit(1)),
-            "non_null": lambda val, dtype, pattern: F.count(val),
-        },
-        {"metric": F.sum, "non_null": F.sum},
+        {"metric": lambda val, dtype, pattern: "count(1)", "non_null": lambda val, dtype, pattern: f"count({val})"},
+        {"metric": "sum", "non_null": "sum"},
     ),
     model.LENGTH: Metric(
         "range", "value length", False,
         {
-            "low": lambda val, dtype, pattern: F.min(_size(val, dtype, pattern)),
-            "high": lambda val, dtype, pattern: F.max(_size(val, dtype, pattern)),
+            "low": lambda val, dtype, pattern: f"bigint(min(length({text(val, dtype)})))",
+            "high": lambda val, dtype, pattern: f"bigint(max(length({text(val, dtype)})))",
         },
-        {"low": F.min, "high": F.max},
+        {"low": "min", "high": "max"},
     ),
     model.REGEX: Metric(
         "count", "values matching the pattern", True,
-        {"metric": _tally(
-            lambda val, dtype, pattern: val.isNotNull()
-            & F.regexp_like(text(val, dtype), F.lit(java_pattern(str(pattern))))
-        )},
-        {"metric": F.sum},
+        {"metric": lambda val, dtype, pattern: f"sum(if({_matches(val, dtype, pattern)}, 1, 0))"}, {"metric": "sum"},
     ),
     model.FRESHNESS: Metric(
         "scalar", "most recent value", False,
-        {"metric": lambda val, dtype, pattern: F.max(val)}, {"metric": F.max},
+        {"metric": lambda val, dtype, pattern: f"max({val})"}, {"metric": "max"},
     ),
 }
 
@@ -106,33 +95,31 @@ def measure(frames: Mapping[str, DataFrame], wanted: Sequence[Wanted]) -> DataFr
     types = [column_type(frames, w.columns) for w in wanted]
     arms = []
     for table, df in frames.items():
-        aggregates = [F.count(F.lit(1)).alias("rows")]
+        aggregates = ["count(1) as rows"]
         for i, (w, dtype) in enumerate(zip(wanted, types)):
             val = as_type(df, w.columns[table], dtype)
             aggregates += [
-                part(val, dtype, w.pattern).alias(f"m{i}_{name}")
-                for name, part in METRICS[w.metric].parts.items()
+                f"{part(val, dtype, w.pattern)} as m{i}_{name}" for name, part in METRICS[w.metric].parts.items()
             ]
-        arms.append(df.agg(*aggregates).select(F.lit(table).alias("src_table"), "*"))
+        arms.append(df.selectExpr(*aggregates).withColumn("src_table", F.lit(table)))
     return _merge(stack(arms), wanted, types)
 
 
 def _merge(per_table: DataFrame, wanted: Sequence[Wanted], types: Sequence[T.DataType]) -> DataFrame:
-    aggregates: list[Column] = []
+    aggregates = []
     for i, (w, dtype) in enumerate(zip(wanted, types)):
-        merge = METRICS[w.metric].merge
 
-        def shown(name: str, value: Column, metric: str = w.metric, dtype: T.DataType = dtype) -> Column:
-            return (text(value, dtype) if metric == model.FRESHNESS else value).alias(name)
+        def shown(value: str, metric: str = w.metric, dtype: T.DataType = dtype) -> str:
+            return text(value, dtype) if metric == model.FRESHNESS else value
 
-        figures = [shown(name, F.col(f"m{i}_{name}")) for name in merge]
-        total = F.struct(
-            F.sum("rows").alias("rows"),
-            *(shown(name, how(F.col(f"m{i}_{name}"))) for name, how in merge.items()),
-        )
-        tables = F.collect_list(F.when(F.col("rows") > 0, F.struct("src_table", "rows", *figures)))
-        aggregates.append(F.struct(total.alias("total"), tables.alias("tables")).alias(f"m{i}"))
-    return per_table.agg(*aggregates)
+        merge = METRICS[w.metric].merge
+        totals = ", ".join(f"'{name}', {shown(f'{how}(m{i}_{name})')}" for name, how in merge.items())
+        figures = ", ".join(f"'{name}', {shown(f'm{i}_{name}')}" for name in merge)
+        aggregates.append(f"""named_struct(
+            'total', named_struct('rows', sum(rows), {totals}),
+            'tables', collect_list(if(rows > 0, named_struct('src_table', src_table, 'rows', rows, {figures}), null))
+        ) as m{i}""")
+    return per_table.selectExpr(*aggregates)
 
 
 def measure_distinct(frames: Mapping[str, DataFrame], columns: Mapping[str, str]) -> DataFrame:
@@ -153,7 +140,7 @@ def measure_distinct(frames: Mapping[str, DataFrame], columns: Mapping[str, str]
         ]
 
     tagged = stack([
-        df.select(as_type(df, columns[table], dtype).alias("val"), *bits(i))
+        df.select(F.expr(as_type(df, columns[table], dtype)).alias("val"), *bits(i))
         for i, (table, df) in enumerate(frames.items())
     ])
     per_value = tagged.groupBy("val").agg(

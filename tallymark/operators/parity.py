@@ -10,11 +10,11 @@ from pyspark.sql import types as T
 
 from tallymark import model
 from tallymark.functions.columns import c, columns_for, rename_to_common, shared_columns
-from tallymark.functions.text import key_text, normalise_cell, text
+from tallymark.functions.text import key_text, literal, normalise_cell, q, text
 from tallymark.model import CheckError, ColumnParity
 from tallymark.operators.metrics import METRICS, Wanted, measure, measure_distinct, require
 from tallymark.operators.sides import INTEGERS, comparable_rows, column_type, stack, tagged_union
-from tallymark.operators.verdicts import grouped_digits, joined, same_value, shown, together, verdict
+from tallymark.operators.verdicts import grouped_digits, same_value, shown, together, verdict
 
 Frames = Mapping[str, DataFrame]
 
@@ -43,57 +43,45 @@ def row_count_match(source: Frames, destination: Frames) -> DataFrame:
 
 # --- column metrics -------------------------------------------------------------------------
 
-def _figure(metric: str, row: Column, schema: T.StructType) -> Column:
+def _figure(metric: str, row: str, schema: T.StructType) -> str:
     kind = METRICS[metric].kind
     if kind == "range":
-        low, high = schema["low"].dataType, schema["high"].dataType
-        return F.concat(F.lit("["), shown(row["low"], low), F.lit(", "), shown(row["high"], high), F.lit("]"))
-    value = shown(row["metric"], schema["metric"].dataType)
+        low, high = (shown(f"{row}.{name}", schema[name].dataType) for name in ("low", "high"))
+        return f"concat('[', {low}, ', ', {high}, ']')"
+    value = shown(f"{row}.metric", schema["metric"].dataType)
     if kind == "count2":
-        return F.concat(value, F.lit(" rows/"), shown(row["non_null"], T.LongType()), F.lit(" non-null"))
+        return f"concat({value}, ' rows/', {shown(f'{row}.non_null', T.LongType())}, ' non-null')"
     return value
 
 
-def _breakdown(metric: str, tables: Column, schema: T.StructType) -> Column:
+def _breakdown(metric: str, tables: str, schema: T.StructType) -> str:
     additive = METRICS[metric].additive
-    gap = ": " if additive else " "
-    parts = F.transform(
-        F.array_sort(tables),
-        lambda t: F.concat(t["src_table"], F.lit(gap), _figure(metric, t, schema)),
-    )
-    listed = joined(" (" if additive else " (per-table: ", parts, ")")
-    return F.when(F.size(tables) >= 2, listed).otherwise(F.lit(""))
+    part = f"concat(t.src_table, '{': ' if additive else ' '}', {_figure(metric, 't', schema)})"
+    listed = f"array_join(transform(array_sort({tables}), t -> {part}), ', ')"
+    return f"if(size({tables}) >= 2, concat('{' (' if additive else ' (per-table: '}', {listed}, ')'), '')"
 
 
-def _metric_verdict(metric: str, s: Column, d: Column, s_type: T.StructType, d_type: T.StructType) -> list[Column]:
+def _metric_verdict(metric: str, s: str, d: str, s_type: T.StructType, d_type: T.StructType) -> list[Column]:
     spec = METRICS[metric]
     s_total, d_total = s_type["total"].dataType, d_type["total"].dataType
-    names = ["low", "high"] if spec.kind == "range" else ["metric", "non_null"] if spec.kind == "count2" else ["metric"]
-    equal = F.lit(True)
-    gaps = F.lit(0)
-    for name in names:
-        left, right = s["total"][name], d["total"][name]
-        equal = equal & same_value(left, s_total[name].dataType, right, d_total[name].dataType)
-        if spec.kind in ("count", "count2"):
-            gaps = gaps + F.coalesce(F.abs(left - right), F.lit(0))
-    flag = F.when(equal, F.lit(0)).otherwise(F.lit(1))
-    if spec.kind == "count2":
-        violations = gaps
-    elif spec.kind == "count":
-        both = s["total"]["metric"].isNotNull() & d["total"]["metric"].isNotNull()
-        violations = F.when(both, gaps).otherwise(flag)
-    else:
-        violations = flag
+    names = {"range": ("low", "high"), "count2": ("metric", "non_null")}.get(spec.kind, ("metric",))
+    equal = " and ".join(
+        same_value(f"{s}.total.{n}", s_total[n].dataType, f"{d}.total.{n}", d_total[n].dataType) for n in names
+    )
+    violations = f"if({equal}, 0, 1)"
+    if spec.kind in ("count", "count2"):
+        gaps = [f"abs({s}.total.{n} - {d}.total.{n})" for n in names]
+        violations = f"coalesce({gaps[0]}, {violations})" if spec.kind == "count" else " + ".join(
+            f"coalesce({gap}, 0)" for gap in gaps
+        )
     sides = []
-    for side, column, dtype in (("source", s, s_type), ("destination", d, d_type)):
+    for side, at, dtype in (("source", s, s_type), ("destination", d, d_type)):
         entry = dtype["tables"].dataType.elementType
-        sides.append(F.concat(
-            F.lit(f"{side} {spec.label} = "),
-            _figure(metric, column["total"], dtype["total"].dataType),
-            _breakdown(metric, column["tables"], entry),
-        ))
-    details = F.concat_ws(" | ", *sides)
-    return verdict(equal, violations, F.coalesce(d["total"]["rows"], F.lit(0)), details)
+        sides.append(f"""concat('{side} {spec.label} = ', {_figure(metric, f'{at}.total', dtype['total'].dataType)},
+            {_breakdown(metric, f'{at}.tables', entry)})""")
+    return verdict(
+        F.expr(equal), F.expr(violations), F.expr(f"coalesce({d}.total.rows, 0)"), F.expr(f"concat_ws(' | ', {', '.join(sides)})")
+    )
 
 
 def _wanted(check: ColumnParity, column_map: Sequence[Mapping], source: Frames, destination: Frames):
@@ -124,7 +112,7 @@ def column_parity_many(
     s_types, d_types = sides.schema["s"].dataType, sides.schema["d"].dataType
     rows = F.array(*(
         F.struct(F.lit(i).alias("position"), *_metric_verdict(
-            check.validation_type, F.col("s")[f"m{i}"], F.col("d")[f"m{i}"],
+            check.validation_type, f"s.m{i}", f"d.m{i}",
             s_types[f"m{i}"].dataType, d_types[f"m{i}"].dataType,
         ))
         for i, check in enumerate(checks)
@@ -150,7 +138,7 @@ def column_parity(
     )
     s_types, d_types = sides.schema["s"].dataType, sides.schema["d"].dataType
     return sides.select(*_metric_verdict(
-        model.UNIQUENESS, F.col("s.m0"), F.col("d.m0"), s_types["m0"].dataType, d_types["m0"].dataType
+        model.UNIQUENESS, "s.m0", "d.m0", s_types["m0"].dataType, d_types["m0"].dataType
     ))
 
 
@@ -167,7 +155,7 @@ def category_sets(
         dtype = column_type(frames, columns)
         union = tagged_union(frames, columns)
         arms.append(union.select(
-            F.lit(side).alias("side"), text(F.col("val"), dtype).alias("val"),
+            F.lit(side).alias("side"), F.expr(text("val", dtype)).alias("val"),
             *(((F.col("src_table") == t) & F.lit(side == IN_SOURCE)).alias(f"in{i}") for i, t in enumerate(source)),
         ))
     return stack(arms).groupBy("val").agg(
@@ -239,9 +227,8 @@ def key_sides(
     numeric = isinstance(s_type, INTEGERS) and isinstance(d_type, INTEGERS)
 
     def arm(frames: Frames, columns: Mapping[str, str], dtype: T.DataType, side: int) -> DataFrame:
-        val = F.col("val")
-        key = val.cast("bigint") if numeric else key_text(val, dtype)
-        return tagged_union(frames, columns).select(key.alias("key"), F.lit(side).alias("side"))
+        key = "cast(val as bigint)" if numeric else key_text("val", dtype)
+        return tagged_union(frames, columns).select(F.expr(key).alias("key"), F.lit(side).alias("side"))
 
     both = arm(source, source_columns, s_type, IN_SOURCE).unionByName(
         arm(destination, destination_columns, d_type, IN_DESTINATION)
@@ -350,11 +337,13 @@ def row_differences(source: Frames, destination: Frames, column_map: Sequence[Ma
 
 
 def _row_text(df: DataFrame, shared: Sequence[str]) -> Column:
+    """A row as ``(name=cell, ...)``; text cells are in their normal form already."""
     cells = []
     for name in shared:
-        value = normalise_cell(c(name), df.schema[name].dataType)
-        cells.append(F.when(value != "", F.concat(F.lit(f"{name}="), value)))
-    return F.concat(F.lit("("), F.left(F.concat_ws(", ", *cells), F.lit(SAMPLE_WIDTH)), F.lit(")"))
+        dtype = df.schema[name].dataType
+        cell = q(name) if isinstance(dtype, T.StringType) else normalise_cell(q(name), dtype)
+        cells.append(f"concat({literal(name + '=')}, nullif({cell}, ''))")
+    return F.expr(f"concat('(', left(concat_ws(', ', {', '.join(cells)}), {SAMPLE_WIDTH}), ')')")
 
 
 def row_parity(

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tallymark import model
 from tallymark.functions.columns import c
-from tallymark.functions.text import text
+from tallymark.functions.text import literal, q, text
 from tallymark.operators.verdicts import NUMBERS
 
 DUPLICATE = "Duplicate of an existing rule"
@@ -19,32 +19,25 @@ FEW_VALUES = 20
 MOMENTS = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def _json_type(dtype: T.DataType) -> str:
+def _family(dtype: T.DataType) -> str:
     return "number" if isinstance(dtype, NUMBERS) else "moment" if isinstance(dtype, MOMENTS) else "text"
 
 
 def profile(df: DataFrame) -> DataFrame:
     """One row per column from one scan: nulls, distinct estimate, bounds and lengths."""
     usable = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    aggregates = [F.count(F.lit(1)).alias("rows")]
+    aggregates, entries = ["count(1) as rows"], []
     for i, f in enumerate(usable):
-        col, as_text = c(f.name), text(c(f.name), f.dataType)
+        x = q(f.name)
+        length = f"length({text(x, f.dataType)})"
         aggregates += [
-            F.count_if(col.isNull()).alias(f"nulls{i}"),
-            F.approx_count_distinct(col, 0.01).alias(f"distinct{i}"),
-            text(F.min(col), f.dataType).alias(f"low{i}"), text(F.max(col), f.dataType).alias(f"high{i}"),
-            F.min(F.length(as_text)).alias(f"short{i}"), F.max(F.length(as_text)).alias(f"long{i}"),
+            f"count_if({x} is null) as nulls{i}", f"approx_count_distinct({x}, 0.01) as distinct{i}",
+            f"min({x}) as low{i}", f"max({x}) as high{i}", f"min({length}) as short{i}", f"max({length}) as long{i}",
         ]
-    entries = F.array(*(
-        F.struct(
-            F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.lit(_json_type(f.dataType)).alias("family"),
-            F.col("rows"), F.col(f"nulls{i}").alias("nulls"), F.col(f"distinct{i}").alias("distinct_estimate"),
-            F.col(f"low{i}").alias("low"), F.col(f"high{i}").alias("high"),
-            F.col(f"short{i}").alias("min_length"), F.col(f"long{i}").alias("max_length"),
-        )
-        for i, f in enumerate(usable)
-    ))
-    return df.agg(*aggregates).select(F.explode(entries).alias("p")).select("p.*")
+        entries.append(f"""named_struct('position', {i}, 'column_name', {literal(f.name)}, 'family', '{_family(f.dataType)}',
+            'rows', rows, 'nulls', nulls{i}, 'distinct_estimate', distinct{i}, 'low', {text(f'low{i}', f.dataType)},
+            'high', {text(f'high{i}', f.dataType)}, 'min_length', short{i}, 'max_length', long{i})""")
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))")
 
 
 def common_values(df: DataFrame, columns: Sequence[str], n: int = FEW_VALUES) -> DataFrame:
@@ -54,7 +47,7 @@ def common_values(df: DataFrame, columns: Sequence[str], n: int = FEW_VALUES) ->
     column's values meet in one place.
     """
     pairs = F.array(*(
-        F.struct(F.lit(name).alias("column_name"), text(c(name), df.schema[name].dataType).alias("value"))
+        F.struct(F.lit(name).alias("column_name"), F.expr(text(q(name), df.schema[name].dataType)).alias("value"))
         for name in columns
     ))
     counts = df.select(F.explode(pairs).alias("p")).groupBy("p.column_name", "p.value").agg(F.count(F.lit(1)).alias("rows"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallymark import model
 from tallymark.functions.columns import c
-from tallymark.functions.text import java_pattern, text
+from tallymark.functions.text import java_pattern, q, text
 from tallymark.model import CheckError
 from tallymark.operators.verdicts import verdict
 
@@ -54,13 +54,13 @@ def in_range(column: str, low: object = None, high: object = None) -> Rule:
 def matches(df: DataFrame, column: str, pattern: str) -> Rule:
     if not pattern:
         raise CheckError(f"{model.REGEX} needs a regex pattern")
-    value = text(c(column), df.schema[column].dataType)
+    value = F.expr(text(q(column), df.schema[column].dataType))
     bad = value.isNotNull() & ~F.regexp_like(value, F.lit(java_pattern(pattern)))
     return _row_rule(f"{column} matches", model.REGEX, bad, f"{column} value(s) not matching the pattern")
 
 
 def length_between(df: DataFrame, column: str, low: int = 0, high: int | None = None) -> Rule:
-    size = F.length(text(c(column), df.schema[column].dataType))
+    size = F.length(F.expr(text(q(column), df.schema[column].dataType)))
     bad = size < low if high is None else ~size.between(low, high)
     return _row_rule(f"{column} length", model.LENGTH, bad, f"{column} value(s) with a length outside [{low}, {high}]")
 

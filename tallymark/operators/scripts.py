@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+from tallymark.functions.text import literal, q
 from tallymark.model import CheckError
 from tallymark.operators.verdicts import NUMBERS, same_value, shown, together, verdict
 from tallymark.session import quoted_identifiers
@@ -72,12 +73,12 @@ def _names(df: DataFrame) -> dict[str, str]:
     return {name.lower(): name for name in df.columns}
 
 
-def _extras(row: Column, schema: T.StructType, reserved: Sequence[str]) -> Column | None:
+def _extras(row: str, schema: T.StructType, reserved: Sequence[str]) -> Column | None:
     parts = [
-        F.concat(F.lit(f"{f.name} = "), shown(row[f.name], f.dataType))
+        f"concat({literal(f.name + ' = ')}, {shown(f'{row}.{q(f.name)}', f.dataType)})"
         for f in schema.fields if f.name.lower() not in reserved
     ]
-    return F.concat_ws(", ", *parts) if parts else None
+    return F.expr(f"concat_ws(', ', {', '.join(parts)})") if parts else None
 
 
 def _passed(value: Column, dtype: T.DataType) -> Column:
@@ -98,7 +99,7 @@ def grade(df: DataFrame, measured_note: str = MEASURED) -> DataFrame:
     row = F.col("row")
     out = together(row=first_row(df))
     read = {n: row[names[n]] for n in CHECK_COLUMNS if n in names}
-    extras = _extras(row, schema, CHECK_COLUMNS)
+    extras = _extras("row", schema, CHECK_COLUMNS)
     details = F.concat_ws(
         " | ",
         F.nullif(read["details"].cast("string"), F.lit("")) if "details" in read else F.lit(None),
@@ -108,7 +109,7 @@ def grade(df: DataFrame, measured_note: str = MEASURED) -> DataFrame:
         passed = _passed(read["passed"], schema[names["passed"]].dataType)
         unread = F.concat(
             F.lit("Could not interpret 'passed' value: "),
-            shown(read["passed"], schema[names["passed"]].dataType),
+            F.expr(shown(f"row.{q(names['passed'])}", schema[names["passed"]].dataType)),
         )
         details = F.when(passed.isNull(), F.concat_ws(" | ", unread, extras if extras is not None else F.lit(None))).otherwise(details)
     else:
@@ -178,8 +179,9 @@ def dual_value(source: DataFrame, destination: DataFrame) -> DataFrame:
     schemas = {"source": source.schema, "destination": destination.schema}
     pair = together(source=first_row(source), destination=first_row(destination))
     types = {side: schemas[side][used[side]].dataType for side in used}
-    s, d = F.col("source")[used["source"]], F.col("destination")[used["destination"]]
-    equal = same_value(s, types["source"], d, types["destination"])
+    at = {side: f"{side}.{q(name)}" for side, name in used.items()}
+    s, d = F.expr(at["source"]), F.expr(at["destination"])
+    equal = F.expr(same_value(at["source"], types["source"], at["destination"], types["destination"]))
     both_numbers = all(isinstance(t, NUMBERS) for t in types.values())
     flag = F.when(equal, F.lit(0)).otherwise(F.lit(1))
     violations = F.coalesce(F.abs(s - d).cast("double"), flag.cast("double")) if both_numbers else flag
@@ -188,14 +190,14 @@ def dual_value(source: DataFrame, destination: DataFrame) -> DataFrame:
         row = F.col(side)
         held = {f.name.lower(): f.name for f in schema.fields}
         parts = [F.nullif(row[held["details"]].cast("string"), F.lit(""))] if "details" in held else []
-        extras = _extras(row, schema, (*VALUE_COLUMNS, used[side].lower()))
+        extras = _extras(side, schema, (*VALUE_COLUMNS, used[side].lower()))
         parts += [extras] if extras is not None else []
         if parts:
             said = F.concat_ws(", ", *parts)
             notes.append(F.when(said != "", F.concat(F.lit(f"{side}: "), said)))
     details = F.concat(
-        F.lit("source value = "), shown(s, types["source"]),
-        F.lit(" | destination value = "), shown(d, types["destination"]),
+        F.lit("source value = "), F.expr(shown(at["source"], types["source"])),
+        F.lit(" | destination value = "), F.expr(shown(at["destination"], types["destination"])),
     )
     if notes:
         said = F.concat_ws("; ", *notes)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions.columns import c, missing_columns
-from tallymark.functions.text import normalise_cell, text
+from tallymark.functions.columns import missing_columns
+from tallymark.functions.text import normalise_cell, q, text
 from tallymark.model import CheckError
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -54,19 +54,19 @@ def column_type(frames: Mapping[str, DataFrame], columns: Mapping[str, str]) ->
     return common_type([frames[t].schema[columns[t]].dataType for t in frames])
 
 
-def as_type(df: DataFrame, column: str, dtype: T.DataType):
-    """The column as ``dtype``; text goes through the library's own text form."""
+def as_type(df: DataFrame, column: str, dtype: T.DataType) -> str:
+    """The column as ``dtype``, in SQL; text goes through the library's own text form."""
     own = df.schema[column].dataType
     if isinstance(dtype, T.StringType):
-        return text(c(column), own)
-    return c(column) if own == dtype else c(column).cast(dtype)
+        return text(q(column), own)
+    return q(column) if own == dtype else f"cast({q(column)} as {dtype.simpleString()})"
 
 
 def tagged_union(frames: Mapping[str, DataFrame], columns: Mapping[str, str]) -> DataFrame:
     """``src_table, val`` over every table: one column scanned per table."""
     dtype = column_type(frames, columns)
     return stack([
-        df.select(F.lit(table).alias("src_table"), as_type(df, columns[table], dtype).alias("val"))
+        df.select(F.lit(table).alias("src_table"), F.expr(as_type(df, columns[table], dtype)).alias("val"))
         for table, df in frames.items()
     ])
 
@@ -89,15 +89,15 @@ def comparable_rows(
         nested = isinstance(dtype, (T.StringType, T.StructType, T.ArrayType, T.MapType))
         forms[name] = None if nested or mixed or moments else dtype
 
-    def cell(df: DataFrame, name: str):
+    def cell(df: DataFrame, name: str) -> str:
         dtype = forms[name]
         if name not in df.columns:
-            return (F.lit("") if dtype is None else F.lit(None).cast(dtype)).alias(name)
+            return "''" if dtype is None else f"cast(null as {dtype.simpleString()})"
         if dtype is None:
-            return normalise_cell(c(name), df.schema[name].dataType).alias(name)
-        return as_type(df, name, dtype).alias(name)
+            return normalise_cell(q(name), df.schema[name].dataType)
+        return as_type(df, name, dtype)
 
     def cut(frames: Mapping[str, DataFrame]) -> list[DataFrame]:
-        return [df.select(*(cell(df, name) for name in columns)) for df in frames.values()]
+        return [df.selectExpr(*(f"{cell(df, name)} as {q(name)}" for name in columns)) for df in frames.values()]
 
     return cut(source), cut(destination)

@@ -30,32 +30,27 @@ def verdict(passed: Column, violations: Column, total_rows: Column, details: Col
     ]
 
 
-def same_value(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType) -> Column:
-    """Equality of two figures whose types may differ; unlike families never match."""
+def same_value(a: str, a_type: T.DataType, b: str, b_type: T.DataType) -> str:
+    """Equality of two figures whose types may differ, in SQL; unlike families never match."""
     if a_type == b_type or (isinstance(a_type, NUMBERS) and isinstance(b_type, NUMBERS)):
-        return a.eqNullSafe(b)
-    if isinstance(a_type, T.NullType) or isinstance(b_type, T.NullType):
-        return a.isNull() & b.isNull()
+        return f"({a} <=> {b})"
     pair = {type(a_type), type(b_type)}
     if T.BooleanType in pair and any(issubclass(t, NUMBERS) for t in pair):
-        return a.cast("double").eqNullSafe(b.cast("double"))
+        return f"(cast({a} as double) <=> cast({b} as double))"
     if pair == {T.TimestampType, T.TimestampNTZType}:
-        return a.cast("timestamp").eqNullSafe(b.cast("timestamp"))
-    return a.isNull() & b.isNull()
+        return f"(cast({a} as timestamp) <=> cast({b} as timestamp))"
+    return f"({a} is null and {b} is null)"
 
 
-def shown(value: Column, dtype: T.DataType) -> Column:
+def shown(x: str, dtype: T.DataType) -> str:
+    """A figure as it stands in details, in SQL."""
     if isinstance(dtype, T.NullType):
-        return F.lit("None")
+        return "'None'"
     if isinstance(dtype, T.BooleanType):
-        return F.when(value.isNull(), F.lit("None")).when(value, F.lit("True")).otherwise(F.lit("False"))
-    return F.coalesce(text(value, dtype), F.lit("None"))
+        return f"case when {x} is null then 'None' when {x} then 'True' else 'False' end"
+    return f"coalesce({text(x, dtype)}, 'None')"
 
 
 def grouped_digits(value: Column) -> Column:
     """1234567 as 1,234,567."""
     return F.format_number(value, 0)
-
-
-def joined(prefix: str, parts: Column, suffix: str = "") -> Column:
-    return F.concat(F.lit(prefix), F.array_join(parts, ", "), F.lit(suffix))

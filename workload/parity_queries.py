@@ -370,7 +370,7 @@ def normalise_dates(t: Tables) -> DataFrame:
     written = F.coalesce(*(
         F.when(F.col("o_orderkey") % 9 == i, F.date_format("o_orderdate", layout)) for i, (layout, _) in enumerate(LAYOUTS)
     ))
-    return t.orders.select("o_orderkey", written.alias("written")).withColumn("cell", normalise_text(F.col("written")))
+    return t.orders.select("o_orderkey", written.alias("written")).withColumn("cell", F.expr(normalise_text("written")))
 
 
 # --- a whole run -------------------------------------------------------------------------------
