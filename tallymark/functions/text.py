@@ -6,7 +6,9 @@ wide the table is, and stays inside generated code. ``F.expr`` turns it into a C
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,13 +69,19 @@ def text(x: str, dtype: T.DataType) -> str:
     return f"cast({x} as string)"
 
 
-def iso_date(x: str) -> str:
+def date_parts(cell: str) -> str:
+    """The three numbers of a cell that may be a date, NULL for any other cell."""
+    return f"""case when length({cell}) between 5 and 12 and {cell} rlike '{DATE_LIKE}'
+        and not (contains({cell}, '-') and contains({cell}, '/')) then split({cell}, '[-/]') end"""
+
+
+def date_of(cell: str, parts: str) -> str:
     """ISO text of a date written in one of nine day/month/year layouts, else NULL.
 
     Four-digit years win over two-digit ones and day-first wins over month-first:
     Y-m-d, Y/m/d, d-m-Y, d/m/Y, m-d-Y, m/d/Y, y-m-d, d-m-y, d/m/y.
     """
-    first, middle, last = (f"get(split({x}, '[-/]'), {i})" for i in range(3))
+    first, middle, last = (f"get({parts}, {i})" for i in range(3))
 
     def day(year: str, month: str, number: str) -> str:
         return f"if({year} = '0000', null, try_cast(concat_ws('-', {year}, {month}, {number}) as date))"
@@ -81,40 +89,73 @@ def iso_date(x: str) -> str:
     def long(short: str) -> str:
         return f"cast(int({short}) + if(int({short}) >= {YEAR_PIVOT}, 1900, 2000) as string)"
 
-    return f"""case when not ({x} rlike '{DATE_LIKE}') or (contains({x}, '-') and contains({x}, '/')) then null
-        else cast(case
-          when length({first}) = 4 and length({last}) <= 2 then {day(first, middle, last)}
-          when length({last}) = 4 and length({first}) <= 2
-            then coalesce({day(last, middle, first)}, {day(last, first, middle)})
-          when length({first}) <= 2 and length({last}) <= 2 then coalesce(
-            if(contains({x}, '-') and length({first}) = 2, {day(long(first), middle, last)}, null),
-            if(length({last}) = 2, {day(long(last), middle, first)}, null))
-          end as string) end"""
+    return f"""cast(case when {parts} is null then null
+        when length({first}) = 4 and length({last}) <= 2 then {day(first, middle, last)}
+        when length({last}) = 4 and length({first}) <= 2
+          then coalesce({day(last, middle, first)}, {day(last, first, middle)})
+        when length({first}) <= 2 and length({last}) <= 2 then coalesce(
+          if(contains({cell}, '-') and length({first}) = 2, {day(long(first), middle, last)}, null),
+          if(length({last}) = 2, {day(long(last), middle, first)}, null))
+        end as string)"""
 
 
-def normalise_text(x: str) -> str:
-    """One form per cell: NULL and blank alike, midnight as a date, 5.0 as 5, dates as ISO."""
-    cell = strip(x)
-    return f"""case when {x} is null then ''
+def iso_date(x: str) -> str:
+    return date_of(x, date_parts(x))
+
+
+def settled(cell: str, parts: str) -> str:
+    """A stripped cell in its one form: midnight as a date, 5.0 as 5, dates as ISO, NULL as blank."""
+    return f"""case when {cell} is null then ''
         when length({cell}) = 19 and substring({cell}, 5, 1) = '-' and endswith({cell}, '00:00:00')
           then substring({cell}, 1, 10)
         when endswith({cell}, '.0') and {cell} rlike '^-*[0-9]+[.]0$' then substring({cell}, 1, length({cell}) - 2)
-        when length({cell}) between 5 and 12 then coalesce({iso_date(cell)}, {cell})
-        else {cell} end"""
+        else coalesce({date_of(cell, parts)}, {cell}) end"""
 
 
-def normalise_cell(x: str, dtype: T.DataType) -> str:
-    """The cell as whole-row comparison sees it when the two sides' types differ."""
+def normalise_text(x: str) -> str:
+    """One form per cell, in one expression; whole tables take :func:`normalise_columns`."""
+    return settled(strip(x), date_parts(strip(x)))
+
+
+def normalise_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named text columns in their one form.
+
+    Three projections, so that each cell is stripped and split once however often the rules
+    look at it.
+    """
+    if not names:
+        return df
+    chosen = set(names)
+    parts = {name: q(f"{name}\u0001parts") for name in names}
+    stripped = df.selectExpr(*(f"{strip(q(n))} as {q(n)}" if n in chosen else q(n) for n in df.columns))
+    split = stripped.selectExpr("*", *(f"{date_parts(q(n))} as {parts[n]}" for n in names))
+    return split.selectExpr(*(f"{settled(q(n), parts[n])} as {q(n)}" if n in chosen else q(n) for n in df.columns))
+
+
+def plain_cell(x: str, dtype: T.DataType) -> str | None:
+    """A cell whose type settles its form, as text; NULL is blank. None for types that arrive as text."""
     if isinstance(dtype, T.BooleanType):
         return f"case when {x} is null then '' when {x} then 'True' else 'False' end"
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)):
         return f"coalesce(cast({x} as string), '')"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        wide = f"cast({x} as double)"
+        return f"""case when {x} is null then ''
+            when abs({wide}) < 1e15 and {wide} = floor({wide}) then cast(cast({wide} as bigint) as string)
+            else regexp_replace({double_text(wide)}, '[.]0$', '') end"""
+    if isinstance(dtype, T.DecimalType):
+        return f"coalesce(regexp_replace(cast({x} as string), '^(-?[0-9]+)[.]0$', '$1'), '')"
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return f"""case when {x} is null then ''
             when date_trunc('day', {x}) = {x} then cast(cast({x} as date) as string)
             when date_trunc('second', {x}) = {x} then date_format({x}, 'yyyy-MM-dd HH:mm:ss')
             else date_format({x}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') end"""
-    return normalise_text(text(x, dtype))
+    return None
+
+
+def normalise_cell(x: str, dtype: T.DataType) -> str:
+    """The cell as whole-row comparison sees it when the two sides' types differ."""
+    return plain_cell(x, dtype) or normalise_text(text(x, dtype))
 
 
 def key_text(x: str, dtype: T.DataType) -> str:

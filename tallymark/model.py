@@ -223,7 +223,7 @@ class RuleCheck(Check):
 
     def target(self, mapping: Mapping) -> str:
         frames = mapping.source if self.side == "source" else mapping.destination
-        return self.table or next(iter(frames))
+        return self.table or next(iter(frames), "")
 
 
 def admit(check: Check, mapping: Mapping) -> None:

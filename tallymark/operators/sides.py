@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.columns import missing_columns
-from tallymark.functions.text import normalise_cell, q, text
+from tallymark.functions.text import normalise_columns, plain_cell, q, text
 from tallymark.model import CheckError
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -93,11 +93,16 @@ def comparable_rows(
         dtype = forms[name]
         if name not in df.columns:
             return "''" if dtype is None else f"cast(null as {dtype.simpleString()})"
+        own = df.schema[name].dataType
         if dtype is None:
-            return normalise_cell(q(name), df.schema[name].dataType)
+            return plain_cell(q(name), own) or text(q(name), own)
         return as_type(df, name, dtype)
 
-    def cut(frames: Mapping[str, DataFrame]) -> list[DataFrame]:
-        return [df.selectExpr(*(f"{cell(df, name)} as {q(name)}" for name in columns)) for df in frames.values()]
+    def cut(df: DataFrame) -> DataFrame:
+        texts = [
+            n for n in columns
+            if forms[n] is None and n in df.columns and not plain_cell(q(n), df.schema[n].dataType)
+        ]
+        return normalise_columns(df.selectExpr(*(f"{cell(df, n)} as {q(n)}" for n in columns)), texts)
 
-    return cut(source), cut(destination)
+    return [cut(df) for df in source.values()], [cut(df) for df in destination.values()]

@@ -23,14 +23,15 @@ def local_name(tag: str) -> str:
 
 
 def count_children(content: bytes) -> tuple[str, Counter, Counter]:
-    """(root tag, tags directly under it, tags deeper down that are not inside a same-named record)."""
+    """(root, names directly under it, names deeper down outside a record of that name)."""
     path: list[str] = []
     direct: Counter = Counter()
     deeper: Counter = Counter()
     root = ""
 
-    def opened(tag: str, _: object) -> None:
+    def opened(name: str, _: object) -> None:
         nonlocal root
+        tag = local_name(name)
         if not path:
             root = tag
         elif len(path) == 1:
@@ -76,7 +77,7 @@ def find_layout(spark: SparkSession, path: str, record_element: str | None = Non
     root = max((r for r in counted if r.tag == ""), key=lambda r: r.files).root
     tags = {r.tag: r for r in counted if r.tag and r.children and r.root == root}
     ranked = sorted(tags, key=lambda t: -tags[t].children)
-    names = tuple(local_name(t) for t in ranked)
+    names = tuple(ranked)
     n_files = sum(r.files for r in counted if r.tag == "")
     if record_element is not None and record_element not in names:
         raise ValueError(f"no <{record_element}> under the root; there are: {', '.join(names)}")
@@ -85,7 +86,7 @@ def find_layout(spark: SparkSession, path: str, record_element: str | None = Non
     alone = n_files == 1 and len(ranked) > 1 and tags[ranked[0]].children == 1
     if record_element is None and alone:
         return Layout(root, names, None)
-    chosen = ranked[names.index(record_element)] if record_element else ranked[0]
+    chosen = record_element or ranked[0]
     return Layout(root, names, chosen, strays=any(r.strays for r in counted if r.tag == chosen))
 
 
@@ -133,7 +134,7 @@ def _record_columns(df: DataFrame, element: str) -> list[Column]:
     for f in df.schema.fields:
         if f.name == TEXT:
             if not children and not attributes:
-                cells.setdefault(local_name(element), []).append(F.trim(c(TEXT).cast("string")))
+                cells.setdefault(element, []).append(F.trim(c(TEXT).cast("string")))
         elif not _declares_namespace(f.name):
             for name, col in _cells(c(f.name), f.name, f.dataType):
                 cells.setdefault(name, []).append(col)
@@ -156,9 +157,8 @@ def read_xml(spark: SparkSession, path: str, record_element: str | None = None)
     elif layout.strays:
         element = layout.chosen
         whole = _reader(spark, path, layout.root)
-        name = element if element in whole.columns else local_name(element)
-        dtype = whole.schema[name].dataType
-        listed = c(name) if isinstance(dtype, T.ArrayType) else F.array(c(name))
+        dtype = whole.schema[element].dataType
+        listed = c(element) if isinstance(dtype, T.ArrayType) else F.array(c(element))
         rows = whole.select(F.explode(listed).alias("r"))
         inner = rows.schema["r"].dataType
         records = rows.select("r.*") if isinstance(inner, T.StructType) else rows.select(F.col("r").alias(TEXT))
