@@ -37,7 +37,9 @@ def literal(value: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"btrim({x}, {literal(BLANKS)})"
+    """The text without blanks around it; text that starts and ends in plain ASCII is left alone."""
+    plain = f"ascii({x}) between 33 and 126 and ascii(substring({x}, -1, 1)) between 33 and 126"
+    return f"if({plain}, {x}, btrim({x}, {literal(BLANKS)}))"
 
 
 def double_text(x: str) -> str:
@@ -89,7 +91,7 @@ def date_of(cell: str, parts: str) -> str:
     def long(short: str) -> str:
         return f"cast(int({short}) + if(int({short}) >= {YEAR_PIVOT}, 1900, 2000) as string)"
 
-    return f"""cast(case when {parts} is null then null
+    return f"""cast(case
         when length({first}) = 4 and length({last}) <= 2 then {day(first, middle, last)}
         when length({last}) = 4 and length({first}) <= 2
           then coalesce({day(last, middle, first)}, {day(last, first, middle)})
@@ -104,12 +106,17 @@ def iso_date(x: str) -> str:
 
 
 def settled(cell: str, parts: str) -> str:
-    """A stripped cell in its one form: midnight as a date, 5.0 as 5, dates as ISO, NULL as blank."""
+    """A stripped cell in its one form: midnight as a date, 5.0 as 5, dates as ISO, NULL as blank.
+
+    Dates are read inside a lambda. That keeps their long code out of the fused stage, which
+    would otherwise outgrow what the JVM compiles once a table has a few text columns.
+    """
     return f"""case when {cell} is null then ''
         when length({cell}) = 19 and substring({cell}, 5, 1) = '-' and endswith({cell}, '00:00:00')
           then substring({cell}, 1, 10)
         when endswith({cell}, '.0') and {cell} rlike '^-*[0-9]+[.]0$' then substring({cell}, 1, length({cell}) - 2)
-        else coalesce({date_of(cell, parts)}, {cell}) end"""
+        when {parts} is null then {cell}
+        else coalesce(get(transform(array({parts}), p -> {date_of(cell, 'p')}), 0), {cell}) end"""
 
 
 def normalise_text(x: str) -> str:

@@ -14,7 +14,7 @@ from tallymark.functions.text import key_text, literal, normalise_cell, q, text
 from tallymark.model import CheckError, ColumnParity
 from tallymark.operators.metrics import METRICS, Wanted, measure, measure_distinct, require
 from tallymark.operators.sides import INTEGERS, comparable_rows, column_type, stack, tagged_union
-from tallymark.operators.verdicts import grouped_digits, same_value, shown, together, verdict
+from tallymark.operators.verdicts import grouped_digits, row_digest, same_value, shown, together, verdict
 
 Frames = Mapping[str, DataFrame]
 
@@ -316,8 +316,7 @@ def row_balance(
     s, d, shared, skipped = _lined_up(source, destination, column_map)
     rows = _tagged_rows(s, d, shared)
     if digest:
-        packed = F.to_json(F.struct(*(c(n) for n in shared)), {"ignoreNullFields": "false"})
-        rows = rows.select(F.unhex(F.sha2(packed, 256)).alias("__digest"), "__source")
+        rows = rows.select(row_digest(shared).alias("__digest"), "__source")
         keys = ["__digest"]
     else:
         keys = list(shared)

@@ -15,6 +15,8 @@ from tallymark.operators.verdicts import NUMBERS
 
 DUPLICATE = "Duplicate of an existing rule"
 FEW_VALUES = 20
+# 2^14 registers: distinct counts within one percent or so.
+SKETCH_BITS = 14
 
 MOMENTS = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -23,6 +25,10 @@ def _family(dtype: T.DataType) -> str:
     return "number" if isinstance(dtype, NUMBERS) else "moment" if isinstance(dtype, MOMENTS) else "text"
 
 
+def _hashable(x: str, dtype: T.DataType) -> str:
+    return x if isinstance(dtype, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)) else f"cast({x} as string)"
+
+
 def profile(df: DataFrame) -> DataFrame:
     """One row per column from one scan: nulls, distinct estimate, bounds and lengths."""
     usable = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
@@ -31,7 +37,8 @@ def profile(df: DataFrame) -> DataFrame:
         x = q(f.name)
         length = f"length({text(x, f.dataType)})"
         aggregates += [
-            f"count_if({x} is null) as nulls{i}", f"approx_count_distinct({x}, 0.01) as distinct{i}",
+            f"count_if({x} is null) as nulls{i}",
+            f"hll_sketch_estimate(hll_sketch_agg({_hashable(x, f.dataType)}, {SKETCH_BITS})) as distinct{i}",
             f"min({x}) as low{i}", f"max({x}) as high{i}", f"min({length}) as short{i}", f"max({length}) as long{i}",
         ]
         entries.append(f"""named_struct('position', {i}, 'column_name', {literal(f.name)}, 'family', '{_family(f.dataType)}',

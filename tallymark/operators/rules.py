@@ -18,7 +18,7 @@ from tallymark import model
 from tallymark.functions.columns import c
 from tallymark.functions.text import java_pattern, q, text
 from tallymark.model import CheckError
-from tallymark.operators.verdicts import verdict
+from tallymark.operators.verdicts import row_digest, verdict
 
 
 @dataclass(frozen=True)
@@ -114,12 +114,15 @@ def check_rule(df: DataFrame, rule: Rule) -> DataFrame:
     return check_rows(df, [rule]).drop("position", "rule", "validation_type")
 
 
-def unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Violations are the key values that occur more than once; NULL keys are left out."""
+def unique(df: DataFrame, columns: Sequence[str], digest: bool = False) -> DataFrame:
+    """Violations are the key values that occur more than once; NULL keys are left out.
+
+    With ``digest`` the shuffle carries the SHA-256 of the key, for keys that are long texts.
+    """
     filled = F.lit(True)
     for name in columns:
         filled = filled & c(name).isNotNull()
-    keys = [c(name).alias(f"k{i}") for i, name in enumerate(columns)]
+    keys = [row_digest(columns).alias("k")] if digest else [c(name).alias(f"k{i}") for i, name in enumerate(columns)]
     copies = df.groupBy(*keys, filled.alias("filled")).agg(F.count(F.lit(1)).alias("n"))
     repeated = F.col("filled") & (F.col("n") > 1)
     measured = copies.agg(

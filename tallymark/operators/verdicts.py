@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions.text import text
+from tallymark.functions.text import q, text
 from tallymark.operators.sides import FLOATS, INTEGERS, stack
 
 PASS, FAIL, ERROR = "PASS", "FAIL", "ERROR"
@@ -51,6 +53,12 @@ def shown(x: str, dtype: T.DataType) -> str:
     return f"coalesce({text(x, dtype)}, 'None')"
 
 
+def row_digest(columns: Sequence[str]) -> Column:
+    """SHA-256 over the columns, each with its name, so that unlike rows never read alike."""
+    packed = F.to_json(F.struct(*(F.col(q(n)) for n in columns)), {"ignoreNullFields": "false"})
+    return F.unhex(F.sha2(packed, 256))
+
+
 def grouped_digits(value: Column) -> Column:
     """1234567 as 1,234,567."""
     return F.format_number(value, 0)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators import catalog as k
 from tallymark.operators import proposals as p
+from tallymark.operators.sides import stack
 from tallymark.operators.verdicts import together
 from workload.inputs import ASSETS, HARVESTED
 from workload.registry import TABLES, Tables, duck, query
@@ -59,6 +62,33 @@ def snapshot_diff(t: Tables) -> DataFrame:
     return k.snapshot_diff(snapshot(before), snapshot(after))
 
 
+HARVESTED_TABLES = {
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+    "labels": ("doc_id", "quality", "toxic"),
+}
+
+
+@query("harvest_columns", " UNION ALL ".join(
+    f"SELECT 'lake:{table}' AS asset_id, '{table}' AS table_name, '{name}' AS column_name, CAST({i} AS INT) AS position, "
+    f"count(*) AS rows, count(*) - count({name}) AS nulls FROM {table}"
+    for table, names in HARVESTED_TABLES.items() for i, name in enumerate(names)
+))
+def harvest_columns(t: Tables) -> DataFrame:
+    """The harvested columns of three tables with the rows and nulls a profile finds in them."""
+    items = [{"id": name, "name": name, "type": "Table"} for name in HARVESTED_TABLES]
+    assets, _ = k.harvest(
+        t.spark, items, lambda item: {item["name"]: getattr(t, item["name"])}, "c1", "lake", "lake", datetime(2026, 1, 1)
+    )
+    figures = [
+        p.profile(getattr(t, name)).select(F.lit(name).alias("table_name"), "column_name", "rows", "nulls")
+        for name in HARVESTED_TABLES
+    ]
+    return k.asset_columns(assets).select("asset_id", "table_name", "column_name", "position").join(
+        stack(figures), ["table_name", "column_name"]
+    )
+
+
 DRIFT_BEFORE = """
 SELECT p_brand AS table_name, concat('c', CAST(p_partkey AS VARCHAR(20))) AS column_name, p_type AS data_type
 FROM {part} WHERE p_partkey % 5 <> 0

@@ -186,9 +186,11 @@ UNION ALL SELECT 3, 'Row-level quality', CAST(quality_pct AS VARCHAR) || '%',
        format('{{:,}}', CAST(clean AS BIGINT)) || ' clean of ' || format('{{:,}}', examined) || ' rows examined' FROM s
 UNION ALL SELECT 4, 'Null values found', format('{{:,}}', CAST(null_violations AS BIGINT)),
        'across ' || CAST(null_checks AS VARCHAR) || ' null checks' FROM s
-UNION ALL SELECT 5, 'Note', CAST(excluded AS VARCHAR) || ' checks report no row counts and are left out of row-level quality.', '' FROM s
-UNION ALL SELECT 6, 'Note', CAST(orphaned_runs AS VARCHAR) || ' runs of deleted test layers are included.', '' FROM s
-UNION ALL SELECT 7, 'Note', 'A check can report more violations than rows, so row-level quality clamps per check.', ''
+UNION ALL SELECT 5, 'Scope', 'All test layers  |  all runs  |  all time  |  ' || CAST(runs_covered AS VARCHAR) || ' runs, '
+       || CAST(layers_covered AS VARCHAR) || ' test layers', '' FROM s
+UNION ALL SELECT 6, 'Note', CAST(excluded AS VARCHAR) || ' checks report no row counts and are left out of row-level quality.', '' FROM s
+UNION ALL SELECT 7, 'Note', CAST(orphaned_runs AS VARCHAR) || ' runs of deleted test layers are included.', '' FROM s
+UNION ALL SELECT 8, 'Note', 'A check can report more violations than rows, so row-level quality clamps per check.', ''
 """)
 def export_summary(t: Tables) -> DataFrame:
     return r.export_tables(*frames(t), h.Scope(basis="all"))["summary"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark import model as m
-from tallymark.functions.text import normalise_text
+from tallymark.functions.text import normalise_columns
 from tallymark.model import ColumnParity, DualScriptCheck, KeyParity, Mapping, RowCountMatch, RuleCheck, ScriptCheck
 from tallymark.operators import parity
 from tallymark.operators.metrics import Wanted, metric_table
@@ -370,7 +370,8 @@ def normalise_dates(t: Tables) -> DataFrame:
     written = F.coalesce(*(
         F.when(F.col("o_orderkey") % 9 == i, F.date_format("o_orderdate", layout)) for i, (layout, _) in enumerate(LAYOUTS)
     ))
-    return t.orders.select("o_orderkey", written.alias("written")).withColumn("cell", F.expr(normalise_text("written")))
+    texts = t.orders.select("o_orderkey", written.alias("written")).withColumn("cell", F.col("written"))
+    return normalise_columns(texts, ["cell"])
 
 
 # --- a whole run -------------------------------------------------------------------------------

@@ -87,7 +87,7 @@ SELECT CASE WHEN count(*) FILTER (n > 1) = 0 THEN 'PASS' ELSE 'FAIL' END AS stat
        CAST(count(*) FILTER (n > 1) AS DOUBLE) AS violations, CAST(sum(n) AS BIGINT) AS total_rows FROM k
 """)
 def rule_unique_texts(t: Tables) -> DataFrame:
-    return verdict_of(rules.unique(t.documents, ["text"]))
+    return verdict_of(rules.unique(t.documents, ["text"], digest=True))
 
 
 @query("rule_referential", """
