@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,16 +57,27 @@ def table_counts(frames: Tables) -> DataFrame:
 
 
 def guarded_table_counts(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
-    """As :func:`table_counts`, but a table that cannot be read is listed with a NULL count."""
-    frames, broken = {}, []
-    for name, load in sources.items():
+    """As :func:`table_counts`, but a table that cannot be read is listed with a NULL count.
+
+    All tables are counted in one job; only if that fails is each counted on its own. One
+    number per table passes through the driver.
+    """
+
+    def counted(names: list[str]) -> dict[str, int]:
+        return {r.table_name: r.row_count for r in table_counts({n: sources[n]() for n in names}).collect()}
+
+    def alone(name: str) -> dict[str, int | None]:
         try:
-            frames[name] = load()
-            frames[name].schema
+            return counted([name])
         except Exception:  # any reason it cannot be read leaves it uncounted
-            broken.append((name, None))
-    unread = spark.createDataFrame(broken, "table_name string, row_count bigint")
-    return table_counts(frames).unionByName(unread) if frames else unread
+            return {name: None}
+
+    try:
+        counts: dict[str, int | None] = counted(list(sources)) if sources else {}
+    except Exception:
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            counts = {name: n for part in pool.map(alone, sources) for name, n in part.items()}
+    return spark.createDataFrame([(name, counts[name]) for name in sources], "table_name string, row_count bigint")
 
 
 def table_totals(counts: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+import threading
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,8 @@ TEXT_OR_COMMENT = re.compile(r"('(?:''|[^'])*(?:'|\Z))|--[^\n]*|/\*.*?(?:\*/|\Z)
 REFUSED_WORD = re.compile(rf"\b({'|'.join(REFUSED)})\b", re.IGNORECASE)
 
 NO_ROWS = "Query returned no rows - expected exactly one row"
+ANALYSIS = threading.Lock()
+
 MEASURED = 'Measured only - the script has no "passed" column, so nothing was asserted'
 
 
@@ -47,12 +51,32 @@ def select_only(sql: str) -> str:
     return statement
 
 
+@contextmanager
+def _as_views(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Iterator[None]:
+    """The tables as views by name, for as long as a statement is analysed."""
+    covered = {}
+    for name, df in tables.items():
+        if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary:
+            covered[name] = spark.table(name)
+        df.createOrReplaceTempView(name)
+    try:
+        yield
+    finally:
+        for name in tables:
+            if name in covered:
+                covered[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
 def user_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """The user's SELECT over the given tables, analysed but not run."""
+    """The user's SELECT over the given tables, analysed but not run.
+
+    Views and the quoting setting belong to the session, so one statement is analysed at a
+    time; running what comes out needs neither.
+    """
     statement = select_only(sql)
-    for name, df in (tables or {}).items():
-        df.createOrReplaceTempView(name)
-    with quoted_identifiers(spark):
+    with ANALYSIS, _as_views(spark, tables or {}), quoted_identifiers(spark):
         return spark.sql(statement)
 
 

@@ -72,18 +72,18 @@ def find_layout(spark: SparkSession, path: str, record_element: str | None = Non
     """Pick the record element; only the counts per tag reach the driver."""
     files = spark.read.format("binaryFile").load(path).select("content")
     counted = files.mapInPandas(_count_files, COUNTS).groupBy("root", "tag").agg(
-        F.sum("children").alias("children"), F.sum("strays").alias("strays"), F.sum("files").alias("files")
+        F.sum("children").alias("children"), F.max("children").alias("most"), F.sum("strays").alias("strays"),
+        F.sum("files").alias("files"),
     ).collect()
     root = max((r for r in counted if r.tag == ""), key=lambda r: r.files).root
     tags = {r.tag: r for r in counted if r.tag and r.children and r.root == root}
     ranked = sorted(tags, key=lambda t: -tags[t].children)
     names = tuple(ranked)
-    n_files = sum(r.files for r in counted if r.tag == "")
     if record_element is not None and record_element not in names:
         raise ValueError(f"no <{record_element}> under the root; there are: {', '.join(names)}")
     if not ranked:
         return Layout(root, (), None)
-    alone = n_files == 1 and len(ranked) > 1 and tags[ranked[0]].children == 1
+    alone = len(ranked) > 1 and all(tags[t].most == 1 for t in ranked)
     if record_element is None and alone:
         return Layout(root, names, None)
     chosen = record_element or ranked[0]

@@ -12,9 +12,15 @@ def test_counts_list_unreadable_and_empty_tables(spark):
     def broken():
         raise OSError("gone")
 
-    counts = k.guarded_table_counts(spark, {"a": lambda: spark.range(3), "b": lambda: spark.range(0), "c": broken})
-    assert {r.table_name: r.row_count for r in counts.collect()} == {"a": 3, "b": 0, "c": None}
-    assert k.table_totals(counts).first().asDict() == {"tables": 3, "total_rows": 3, "empty_tables": 1, "unreadable": 1}
+    def fails_late():
+        return spark.range(5).filter("assert_true(id < 3) is null")
+
+    sources = {"a": lambda: spark.range(3), "b": lambda: spark.range(0), "c": broken, "d": fails_late}
+    counts = k.guarded_table_counts(spark, sources)
+    assert {r.table_name: r.row_count for r in counts.collect()} == {"a": 3, "b": 0, "c": None, "d": None}
+    assert k.table_totals(counts).first().asDict() == {"tables": 4, "total_rows": 3, "empty_tables": 1, "unreadable": 2}
+    whole = k.guarded_table_counts(spark, {"a": lambda: spark.range(3)})
+    assert [tuple(r) for r in whole.collect()] == [("a", 3)] and k.guarded_table_counts(spark, {}).isEmpty()
 
 
 def test_snapshot_diff(spark):

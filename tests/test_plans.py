@@ -61,3 +61,7 @@ def test_examples_reuse_the_shuffle(spark, folder):
 def test_referential_check_is_a_grouping(spark, folder):
     plan = plan_of(entry.queries()["rule_referential"](spark, folder))
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_frequent_values_are_limited_in_each_task(spark, folder):
+    assert plan_of(entry.queries()["common_values"](spark, folder)).count("WindowGroupLimit") == 2

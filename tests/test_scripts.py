@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from tallymark.model import CheckError
@@ -32,6 +34,16 @@ def test_quoted_names_are_columns(spark):
     assert graded(spark, 'SELECT max("Order ID") AS n FROM t', t=df)[1].endswith("n = 1")
 
 
+def test_views_and_settings_are_put_back(spark):
+    spark.range(9).createOrReplaceTempView("mine")
+    with ThreadPoolExecutor(4) as pool:
+        frames = list(pool.map(lambda n: scripts.user_sql(spark, 'SELECT count("id") AS n FROM mine', {"mine": spark.range(n)}), range(8)))
+    assert [f.first().n for f in frames] == list(range(8))
+    assert spark.table("mine").count() == 9 and spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers") == "false"
+    scripts.user_sql(spark, "SELECT 1 FROM passing", {"passing": spark.range(1)})
+    assert not spark.catalog.tableExists("passing")
+
+
 @pytest.mark.parametrize("sql", [
     "SELECT 1; SELECT 2", "DELETE FROM t", "WITH x AS (SELECT 1) SELECT * FROM x", "-- only a comment", "SELECT 1 /* ; */; DROP TABLE t",
     "SELECT merge FROM t", "/* SELECT */ INSERT INTO t VALUES (1)",

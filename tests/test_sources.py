@@ -128,6 +128,14 @@ def test_xml_same_name_elsewhere(spark, tmp_path):
     assert sorted(r["k"] for r in df.collect()) == [1, 2] and "order.k" in df.columns
 
 
+def test_xml_folders(spark, tmp_path):
+    folder = tmp_path / "records"
+    folder.mkdir()
+    for n in (1, 2, 3):
+        put(folder / f"{n}.xml", f"<person><name>p{n}</name><age>{n}</age></person>")
+    assert rows(files.read_table(spark, str(folder), "xml")) == [(1, "p1"), (2, "p2"), (3, "p3")]
+
+
 def test_table_names():
     assert files.safe_table_name("My Orders (v2).csv") == "my_orders__v2"
     assert files.safe_table_name("2024.csv") == "t_2024"

@@ -76,16 +76,12 @@ def row_quality(t: Tables) -> DataFrame:
 
 
 @query("row_quality_window", f"""
-WITH {scoped("started_at >= TIMESTAMP '2001-05-04 00:00:00' AND mapping_id % 5 = 0", "JOIN")} {ROW_QUALITY}
+WITH {scoped("started_at >= TIMESTAMP '2001-05-04 00:00:00'")} {ROW_QUALITY}
 """)
 def row_quality_window(t: Tables) -> DataFrame:
-    """Three months of the mappings whose id is a multiple of five."""
+    """The last three months."""
     results, runs, mappings = frames(t)
-    chosen = runs.filter("mapping_id % 5 = 0")
-    scope = h.Scope(mapping_ids=None, basis="all", window="3m", as_of=AS_OF)
-    kept = h.with_names(h.in_window(chosen, scope), mappings, keep_deleted=False)
-    named = kept.select(F.col("id").alias("run_id"), "mapping_id", "mapping_name")
-    return r.row_quality(results.join(named, "run_id"))
+    return r.row_quality(h.scoped_results(results, runs, mappings, h.Scope(basis="all", window="3m", as_of=AS_OF)))
 
 
 BY_TYPE = f"""
@@ -218,15 +214,12 @@ def worst_offenders(t: Tables) -> DataFrame:
 
 @query("offenders_sorted", f"""
 WITH {scoped()}, o AS ({OFFENDERS})
-SELECT run_id, test_label, violations, total_rows FROM o
-ORDER BY total_rows DESC NULLS LAST, run_id, test_label, violations LIMIT 190
+SELECT run_id, test_label, violations, total_rows FROM o ORDER BY total_rows DESC NULLS LAST
 """)
 def offenders_sorted(t: Tables) -> DataFrame:
     """Sorted by rows; unknown row counts come last even when the largest come first."""
     top = r.offenders(h.scoped_results(*frames(t), h.Scope(basis="all")))
-    return r.sort_checks(top, "total_rows", True, "run_id", "test_label", "violations").select(
-        "run_id", "test_label", "violations", "total_rows"
-    ).limit(190)
+    return r.sort_checks(top, "total_rows", True).select("run_id", "test_label", "violations", "total_rows")
 
 
 TREND = f"""
