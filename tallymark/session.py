@@ -22,6 +22,8 @@ def build_session(app: str = "tallymark", master: str | None = None, **conf: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # The JVM leaves longer methods interpreted; such a stage is better run operator by operator.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Recording a call site per expression costs more than building the plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
