@@ -105,11 +105,8 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         first = last
 
 
-def word_hashes(data: np.ndarray, begins: np.ndarray, rules=PLAIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Karp-Rabin hash of every word, and where each text's words begin (and the end)."""
-    ends, values = rules
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(begins), np.int64)
+def word_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every word and the byte after its last; no word goes beyond its text."""
     inside = ~ends[data]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -119,12 +116,24 @@ def word_hashes(data: np.ndarray, begins: np.ndarray, rules=PLAIN_WORDS) -> tupl
     closes[:-1] &= ~inside[1:]
     lasts = firsts[1:] - 1
     closes[lasts] = inside[lasts]
-    starts, stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Karp-Rabin hashes of stretches of bytes, all from one running sum."""
     powers, inverses = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * powers[:len(data)], out=sums[1:])
-    hashes = mixed((sums[stops] - sums[starts]) * inverses[starts])
-    return hashes, np.searchsorted(starts, begins)
+    return mixed((sums[stops] - sums[starts]) * inverses[starts])
+
+
+def word_hashes(data: np.ndarray, begins: np.ndarray, rules=PLAIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and where each text's words begin (and the end)."""
+    ends, values = rules
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(begins), np.int64)
+    starts, stops = word_spans(data, begins, ends)
+    return span_hashes(data, starts, stops, values), np.searchsorted(starts, begins)
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -165,9 +174,9 @@ def bitmap(df: DataFrame, column: str) -> tuple[np.ndarray, int]:
     rows = df.select(F.col(column).cast("long").alias("h"))
     count = rows.count()
     log2 = int(min(MOST_BITS_LOG2, max(16, np.ceil(np.log2(max(1, count) * 64)))))
-    place = F.shiftrightunsigned("h", 64 - log2)
     words = (
-        rows.select(F.shiftrightunsigned(place, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b"))
+        rows.select(F.expr(f"shiftrightunsigned(h, {64 - log2})").alias("place"))
+        .select(F.expr("shiftright(place, 6)").alias("w"), F.expr("shiftleft(1L, cast(place & 63 AS int))").alias("b"))
         .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     )
     bits = np.zeros(1 << (log2 - 6), np.uint64)

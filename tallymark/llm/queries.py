@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import chat, packing
+from tallymark.llm import chat, embedding, licenses, lines, lmscore, packing, quality, secret_scan, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,59 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_pack_tokens")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(spark, table(spark, folder, "documents"))
+
+
+@query("op1_decontaminate")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = tiling.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("whole")
+
+
+@query("op2_line_dedup", r"""
+WITH pieces AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos, source FROM documents
+), lines AS (
+  SELECT doc_id, raw, pos, source, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM pieces
+), boilerplate AS (
+  SELECT line, min((doc_id, pos)) AS first FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
+), kept AS (
+  SELECT l.*, b.line IS NOT NULL AND (l.doc_id, l.pos) <> b.first AS gone FROM lines l LEFT JOIN boilerplate b USING (line)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       length(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_chars,
+       sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM kept GROUP BY doc_id
+""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = lines.remove_boilerplate(table(spark, folder, "documents"))
+    return cleaned.select(
+        "doc_id", F.col("lines").alias("n_lines"), F.col("removed_lines").alias("n_removed"),
+        F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+@query("op8_edit_fingerprints")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding.document_prints(table(spark, folder, "documents"))
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, folder, "documents"))
+
+
+@query("op7_lm_score")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return lmscore.score(docs, lmscore.fit(docs, good))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(table(spark, folder, "documents"))
