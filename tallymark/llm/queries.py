@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import chat, embedding, licenses, lines, lmscore, packing, quality, secret_scan, tiling
+from tallymark.llm import chat, embedding, jaccard, licenses, lines, lmscore, packing, quality, secret_scan, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,28 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_secret_scan")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
+
+
+@query("op3_jaccard_join", r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, CASE WHEN len(w) >= 3 THEN unnest(list_transform(range(1, greatest(len(w) - 1, 2)), i -> array_to_string(w[i:i + 2], ' ')))
+                        ELSE array_to_string(w, ' ') END AS s
+    FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * i >= 90 * (p.n + q.n - i)
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, (SELECT min(y) FROM reached r WHERE r.x = d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.group_documents(table(spark, folder, "documents"))
