@@ -120,7 +120,7 @@ WITH RECURSIVE words AS (
   FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, s FROM (
-    SELECT doc_id, CASE WHEN len(w) >= 3 THEN unnest(list_transform(range(1, greatest(len(w) - 1, 2)), i -> array_to_string(w[i:i + 2], ' ')))
+    SELECT doc_id, CASE WHEN len(w) >= 3 THEN unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' ')))
                         ELSE array_to_string(w, ' ') END AS s
     FROM words WHERE len(w) > 0)
 ), sizes AS (

@@ -62,7 +62,7 @@ def candidates(docs: DataFrame, doc: str = "doc_id", text: str = "text", path: s
         F.coalesce(F.get("words", F.col("hit.at") + 1), F.lit("")).alias("after"),
     )
     # A name and its value may stand in one word: of name=value only the value is a candidate.
-    assigned = F.regexp_replace("whole", r"([A-Za-z_]{2,32})=(?=[A-Za-z0-9+/_-]{16,})", "$1 ")
+    assigned = F.regexp_replace("whole", r"([A-Za-z_]{2,32})=(?=[A-Za-z0-9+/_-]{16,})", "$1= ")
     parts = F.regexp_extract_all(assigned, F.lit(f"({VALUE})"), F.lit(1))
     each = found.withColumn("opened", assigned).select("*", F.posexplode(parts).alias("part", "value"))
     start = F.instr(F.col("opened"), F.col("value"))
