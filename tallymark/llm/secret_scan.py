@@ -98,10 +98,11 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def certain_findings(found: DataFrame) -> DataFrame:
-    """Findings whose label follows from their form: ``label`` 1 or 0; all others are left out.
+    """Findings (with FEATURES) whose label follows from their form: ``label`` 1 or 0; all others are left out.
 
     Certain secrets: values given to a name that says so, or with a vendor's prefix. Certain others: numbers, digests that are
-    called digests, values that are part of an address, words joined by marks, values of one repeated character.
+    called digests, values that are part of an address, words joined by marks, values of one repeated character or
+    covered by dictionary words for two fifths.
     """
     value = F.col("value")
     named = F.lower(F.concat_ws(" ", "before", "prefix")).rlike(f"({CREDENTIAL})[a-z_]*[\"']?\\s*[=: ][\\s\"']*$")
@@ -109,7 +110,7 @@ def certain_findings(found: DataFrame) -> DataFrame:
     other = (
         value.rlike("^[0-9+/_=-]+$") | F.lower(F.concat_ws(" ", "before", "prefix")).rlike(DIGEST)
         | F.col("suffix").rlike("^@|^[.]?[a-z0-9]*@") | F.col("prefix").rlike("@|://") | value.rlike("^(.)\\1+$")
-        | value.rlike("^[A-Za-z]+([-_/][A-Za-z]+)+$") | value.rlike("^[A-Z]?[a-z]+$")
+        | value.rlike("^[A-Za-z]+([-_/][A-Za-z]+)+$") | value.rlike("^[A-Z]?[a-z]+$") | (F.col("dictionary") >= 0.4)
     )
     return found.withColumn("label", F.when(other, F.lit(0.0)).when(named | vendor, F.lit(1.0))).where("label is not null")
 
