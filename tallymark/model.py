@@ -214,7 +214,10 @@ class DualScriptCheck(Check):
 
 @dataclass(frozen=True, kw_only=True)
 class RuleCheck(Check):
-    """A one-sided rule: ``rule`` takes the table and gives a one-row verdict."""
+    """A one-sided rule over one table, or over the rows of all tables of the side when none is named.
+
+    ``rule`` is a Rule, or takes the rows and gives a Rule or a one-row verdict.
+    """
 
     rule: Callable[[DataFrame], DataFrame]
     side: str = "source"
@@ -223,7 +226,7 @@ class RuleCheck(Check):
 
     def target(self, mapping: Mapping) -> str:
         frames = mapping.source if self.side == "source" else mapping.destination
-        return self.table or next(iter(frames), "")
+        return self.table or ", ".join(frames)
 
 
 def admit(check: Check, mapping: Mapping) -> None:

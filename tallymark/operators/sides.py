@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions.columns import missing_columns
+from tallymark.functions.columns import columns_on_every_table, missing_columns, rename_to_common
 from tallymark.functions.text import normalise_columns, plain_cell, q, text
 from tallymark.model import CheckError
 
@@ -71,6 +71,29 @@ def tagged_union(frames: Mapping[str, DataFrame], columns: Mapping[str, str]) ->
     ])
 
 
+def side_rows(frames: Mapping[str, DataFrame], column_map: Sequence[Mapping] = (), side: str = "source") -> DataFrame:
+    """The rows of all tables of a side, under common names, with the columns that every table owns.
+
+    One table alone keeps its own names and types. A column that some table lacks is not there, so a
+    rule that asks for it cannot be run and no table's rows are passed over.
+    """
+    if len(frames) == 1:
+        return next(iter(frames.values()))
+    named = {t: rename_to_common(df, column_map, side, t) for t, df in frames.items()}
+    kept = columns_on_every_table(named)
+    if not kept:
+        raise CheckError(f"no column is on every one of the tables {', '.join(frames)}")
+    types = {n: common_type([df.schema[n].dataType for df in named.values()]) for n in kept}
+    return stack([df.selectExpr(*(f"{as_type(df, n, types[n])} as {q(n)}" for n in kept)) for df in named.values()])
+
+
+def lacking(frames: Mapping[str, DataFrame], column_map: Sequence[Mapping], side: str) -> dict[str, list[str]]:
+    """Columns that some but not all tables own, with the tables that lack them."""
+    owned = {t: set(rename_to_common(df, column_map, side, t).columns) for t, df in frames.items()}
+    every = set().union(*owned.values())
+    return {n: [t for t in frames if n not in owned[t]] for n in sorted(every) if any(n not in o for o in owned.values())}
+
+
 def comparable_rows(
     source: Mapping[str, DataFrame], destination: Mapping[str, DataFrame], columns: Sequence[str]
 ) -> tuple[list[DataFrame], list[DataFrame]]:

@@ -7,6 +7,7 @@ are submitted side by side so that their stages share the cluster.
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -19,12 +20,12 @@ from pyspark.sql import functions as F
 
 from tallymark import model
 from tallymark.model import (
-    ALL_COLUMNS, Check, ColumnParity, DualScriptCheck, KeyParity, Mapping, RowCountMatch, RuleCheck, ScriptCheck,
+    ALL_COLUMNS, Check, CheckError, ColumnParity, DualScriptCheck, KeyParity, Mapping, RowCountMatch, RuleCheck, ScriptCheck,
     admit,
 )
 from tallymark.operators import parity, scripts
 from tallymark.operators.rules import Rule, check_rows, check_rule
-from tallymark.operators.sides import stack
+from tallymark.operators.sides import lacking, side_rows, stack
 from tallymark.operators.verdicts import ERROR, PASS
 
 WORKERS = 4
@@ -39,10 +40,24 @@ def side_tables(check: ScriptCheck, mapping: Mapping) -> dict[str, DataFrame]:
     return mapping.every_table()
 
 
-def _rule_or_plan(check: RuleCheck, mapping: Mapping) -> Rule | DataFrame:
-    frames = mapping.side(check.side, [check.table] if check.table else ())
-    df = next(iter(frames.values()))
-    return check.rule if isinstance(check.rule, Rule) else check.rule(df)
+def _rule_rows(check: RuleCheck, mapping: Mapping) -> DataFrame:
+    """The rows a rule judges: those of every table of the side, unless the check names one."""
+    return side_rows(mapping.side(check.side, [check.table] if check.table else ()), mapping.column_map, check.side)
+
+
+def _rule_or_plan(check: RuleCheck, mapping: Mapping) -> tuple[DataFrame, Rule | DataFrame]:
+    rows = _rule_rows(check, mapping)
+    try:
+        made = check.rule if isinstance(check.rule, Rule) else check.rule(rows)
+        if isinstance(made, Rule):
+            rows.agg(made.violations, made.note)
+    except Exception as problem:
+        gaps = lacking(mapping.side(check.side, [check.table] if check.table else ()), mapping.column_map, check.side)
+        named = [f"{', '.join(tables)} lacks {name}" for name, tables in gaps.items() if re.search(rf"(?<!\w){re.escape(name)}(?!\w)", str(problem))]
+        if named:
+            raise CheckError(f"the rule needs a column of every table: {'; '.join(named)}") from problem
+        raise
+    return rows, made
 
 
 def plan(spark: SparkSession, mapping: Mapping, check: Check) -> DataFrame:
@@ -69,12 +84,9 @@ def plan(spark: SparkSession, mapping: Mapping, check: Check) -> DataFrame:
             return scripts.callable_check(spark, check.script, side_tables(check, mapping))
         return scripts.sql_check(spark, check.script, side_tables(check, mapping))
     if isinstance(check, RuleCheck):
-        made = _rule_or_plan(check, mapping)
-        if isinstance(made, Rule):
-            frames = mapping.side(check.side, [check.table] if check.table else ())
-            return check_rule(next(iter(frames.values())), made)
-        return made
-    raise model.CheckError(f"no plan for a {type(check).__name__}")
+        rows, made = _rule_or_plan(check, mapping)
+        return check_rule(rows, made) if isinstance(made, Rule) else made
+    raise CheckError(f"no plan for a {type(check).__name__}")
 
 
 @dataclass
@@ -97,7 +109,7 @@ def units(spark: SparkSession, mapping: Mapping, checks: Sequence[Check]) -> lis
         elif isinstance(check, RuleCheck) and mapping.kind == model.TWO_SIDED or (
             isinstance(check, RuleCheck) and check.side == "source"
         ):
-            made = _quietly(lambda check=check: _rule_or_plan(check, mapping))
+            made = _quietly(lambda check=check: _rule_or_plan(check, mapping)[1])
             if isinstance(made, Rule):
                 shared_rules.setdefault((check.side, check.table), []).append((i, made))
             else:
@@ -107,12 +119,10 @@ def units(spark: SparkSession, mapping: Mapping, checks: Sequence[Check]) -> lis
     out = []
     for members in shared_parity.values():
         out.append(Unit(members, lambda members=members: _parity_unit(mapping, [checks[i] for i in members])))
-    for (side, table), pairs in shared_rules.items():
+    for pairs in shared_rules.values():
         out.append(Unit(
             [i for i, _ in pairs],
-            lambda side=side, table=table, pairs=pairs: check_rows(
-                next(iter(mapping.side(side, [table] if table else ()).values())), [rule for _, rule in pairs]
-            ),
+            lambda pairs=pairs: check_rows(_rule_rows(checks[pairs[0][0]], mapping), [rule for _, rule in pairs]),
         ))
     return out + single
 

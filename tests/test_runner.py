@@ -77,6 +77,17 @@ def test_source_only_mappings_refuse_two_sided_checks(spark):
     assert [r["status"] for r in outcome.rows] == ["ERROR", "PASS", "ERROR", "PASS"]
 
 
+def test_rules_without_a_table_judge_every_table(spark):
+    a, b = spark.range(1, 3).toDF("x"), spark.sql("SELECT CAST(NULL AS int) AS x, 1 AS only UNION ALL SELECT 3, 2")
+    both = Mapping("both", {"a": a, "b": b}, kind=m.SOURCE_ONLY)
+    rows = run(spark, both, [
+        RuleCheck(name="filled", rule=not_null("x")), RuleCheck(name="alone", rule=not_null("x"), table="a"), RuleCheck(name="lacking", rule=not_null("only")),
+    ]).rows
+    assert [(r["status"], r["violations"], r["total_rows"], r["rule_target"]) for r in rows] == [
+        ("FAIL", 1.0, 4, "a, b"), ("PASS", 0.0, 2, "a"), ("ERROR", None, None, "a, b")]
+    assert "a lacks only" in rows[2]["error_message"]
+
+
 def test_definitions_are_checked(spark):
     with pytest.raises(ValueError):
         Mapping("x", {})

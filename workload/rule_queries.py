@@ -7,9 +7,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark import model
+from tallymark.model import Mapping, RuleCheck
 from tallymark.operators import rules
 from tallymark.operators.scripts import callable_check, sql_check
-from workload.inputs import DST
+from tallymark.plans.runner import run
+from workload.inputs import DST, SRC_A
 from workload.parity_queries import VERDICT, verdict_of
 from workload.registry import Tables, duck, query
 
@@ -175,3 +178,37 @@ def callable_script(t: Tables) -> DataFrame:
         return figures.withColumn("passed", F.col("violations") == 0)
 
     return verdict_of(callable_check(t.spark, script, {"dst": t.sql(DST)}))
+
+
+# Odd orders under another key name, with the only defects and without a priority.
+SRC_B_DEFECTS = """
+SELECT o_orderkey AS order_no, CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE o_custkey END AS o_custkey, o_orderstatus,
+       CASE WHEN o_orderkey % 59 = 0 THEN -1.0 ELSE o_totalprice END AS o_totalprice
+FROM {orders} WHERE o_orderkey % 2 = 1
+"""
+
+
+@query("rule_all_tables", """
+WITH n AS (SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 2 = 1 AND o_orderkey % 53 = 0) AS empty,
+                  count(*) FILTER (o_orderkey % 2 = 1 AND o_orderkey % 59 = 0) AS negative FROM orders)
+SELECT 'customer filled' AS test_name, 'a, b' AS rule_target, CASE WHEN empty = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
+       CAST(empty AS DOUBLE) AS violations, rows AS total_rows FROM n
+UNION ALL SELECT 'price not negative', 'a, b', CASE WHEN negative = 0 THEN 'PASS' ELSE 'FAIL' END, CAST(negative AS DOUBLE), rows FROM n
+UNION ALL SELECT 'key unique', 'a, b', 'PASS', 0.0, rows FROM n
+UNION ALL SELECT 'first table alone', 'a', 'PASS', 0.0, (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) FROM n
+UNION ALL SELECT 'priority filled', 'a, b', 'ERROR', NULL, NULL FROM n
+""")
+def rule_all_tables(t: Tables) -> DataFrame:
+    """Rules without a table judge every table of the side; a column that one lacks is refused."""
+    mapping = Mapping(
+        "orders in two tables", {"a": t.sql(SRC_A), "b": t.sql(SRC_B_DEFECTS)}, kind=model.SOURCE_ONLY,
+        column_map=[{"name": "o_orderkey", "source": {"a": "o_orderkey", "b": "order_no"}}],
+    )
+    checks = [
+        RuleCheck(name="customer filled", rule=rules.not_null("o_custkey")),
+        RuleCheck(name="price not negative", rule=rules.in_range("o_totalprice", 0)),
+        RuleCheck(name="key unique", rule=lambda rows: rules.unique(rows, ["o_orderkey"])),
+        RuleCheck(name="first table alone", rule=rules.not_null("o_custkey"), table="a"),
+        RuleCheck(name="priority filled", rule=rules.not_null("o_orderpriority")),
+    ]
+    return run(t.spark, mapping, checks).results.select("test_name", "rule_target", "status", "violations", "total_rows")
