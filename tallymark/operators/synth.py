@@ -1,8 +1,9 @@
 """Made-up rows for a schema: any number of them, the same ones for the same seed.
 
-Every cell is a Column expression over a hash of (row, seed, column), so rows are made in
-parallel and a lost task makes the same rows again. Cells are text, as they are when typed
-in by hand; the typed append casts them to the target's types.
+A recipe says what a cell looks like; its slots are drawn from an MD5 of (row, seed, column, slot),
+so rows are made in parallel, a lost task makes the same rows again, and another engine can
+make them too. Cells are text, as they are when typed in by hand; the typed append casts them to
+the target's types.
 """
 
 from __future__ import annotations
@@ -14,20 +15,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FIRST = ("Amara", "Bela", "Chidi", "Dana", "Elif", "Farid", "Greta", "Hiro", "Ines", "Jonas", "Kavya", "Lena", "Mateo", "Nora")
-LAST = ("Okafor", "Silva", "Tanaka", "Novak", "Haddad", "Larsen", "Moreau", "Pillai", "Rossi", "Schmidt", "Vargas", "Weiss")
-STREETS = ("High St", "Mill Lane", "Station Rd", "Church St", "Victoria Ave", "Garden Row", "Harbour Way")
-CITIES = ("Lisbon", "Osaka", "Nairobi", "Leeds", "Pune", "Denver", "Graz", "Quito", "Perth", "Turin")
-STATES = ("Texas", "Ontario", "Bavaria", "Kerala", "Queensland", "Oregon", "Gujarat")
-COUNTRIES = ("India", "Canada", "Germany", "Kenya", "Japan", "Portugal")
-STATUSES = ("Active", "Pending", "Closed", "Inactive", "Completed")
-DEPARTMENTS = ("Engineering", "Sales", "Finance", "Legal", "Support", "Operations")
-FORMS = ("Inc", "LLC", "Corp", "Group")
-REMARKS = ("Looks fine", "Needs a second look", "Waiting for reply", "Nothing found", "Call back")
-DOMAINS = ("example.com", "example.org", "example.net")
-WORDS = ("Amber", "Birch", "Cobalt", "Dune", "Ember", "Fjord", "Grove", "Harbor", "Iris", "Juniper")
-
-FIRST_DAY, DAYS = "2020-01-01", 2557
+from tallymark.functions.text import literal
+
+SYLLABLES = "bakelimorutasovi"
+# Short names of ISO 3166-1 countries and of their parts, and the words that the other slots choose from.
+CHOICES = {
+    "land": ("AO", "BT", "CL", "DK", "EE", "FJ", "GA", "IS"),
+    "part": ("CL-03", "DK-82", "EE-37", "IS-05"),
+    "step": ("draft", "open", "paid", "void"),
+    "unit": ("archive", "kitchen", "garage", "library"),
+    "flag": ("false", "true"),
+    "tail": ("cooperative", "foundation", "workshop"),
+}
+# Names under "example" are reserved for documentation (RFC 2606); no country answers to +999 (E.164).
+RECIPES = {
+    "email": "<word>@<word>.example", "first_name": "<Word>", "last_name": "<Word>", "full_name": "<Word> <Word>",
+    "timestamp": "<date> <time>", "date": "<date>", "time": "<time>", "phone": "+999<8>", "street": "<Word> road <2>",
+    "city": "<Word>", "zip": "<6>", "country": "<land>", "state": "<part>", "status": "<step>", "url": "https://<word>.example/",
+    "department": "<unit>", "company": "<Word> <tail>", "remark": "<word> <word> <word>", "code": "<3>-<3>",
+    "boolean": "<flag>", "fraction": "<2>.<2>", "integer": "<2>", "uuid": "<uuid>", "": "<Word> <2>",
+}
+FIRST_DAY, DAYS = "2001-01-01", 9000
 
 # What a column's name says about its content, the first match wins.
 NAME_KINDS = (
@@ -64,98 +72,82 @@ TYPE_KINDS = (
 )
 
 
-class _Dice:
-    """Draws for one column, each from its own hash."""
 
-    def __init__(self, seed: int, column: str) -> None:
-        self.seed, self.column, self.drawn = seed, column, 0
+class Dialect:
+    """How an engine says the few things that engines say differently."""
 
-    def hash(self) -> Column:
+    def __init__(self, text: str, number: str, day: str) -> None:
+        self.text, self.number, self.day = text, number, day
+
+
+SPARK = Dialect("string", "cast(conv({0}, 16, 10) as bigint)", "date_add(date'{1}', cast({0} as int))")
+DUCKDB = Dialect("varchar", "cast('0x' || {0} as bigint)", "(date '{1}' + cast({0} as int))")
+
+
+class _Draws:
+    """The slots of one column's recipe, each from a hash of its own."""
+
+    def __init__(self, seed: int, column: str, dialect: Dialect) -> None:
+        self.seed, self.column, self.dialect, self.drawn = seed, column, dialect, 0
+
+    def hex(self) -> str:
         self.drawn += 1
-        return F.xxhash64(F.col("id"), F.lit(self.seed), F.lit(self.column), F.lit(self.drawn))
-
-    def whole(self, low: int, high: int) -> Column:
-        return F.pmod(self.hash(), F.lit(high - low + 1)) + F.lit(low)
-
-    def pick(self, values: Sequence[str]) -> Column:
-        return F.element_at(F.array(*(F.lit(v) for v in values)), self.whole(1, len(values)).cast("int"))
-
-    def digits(self, low: int, high: int, width: int = 1) -> Column:
-        return F.lpad(self.whole(low, high).cast("string"), width, "0") if width > 1 else self.whole(low, high).cast("string")
-
-    def date(self) -> Column:
-        return F.date_add(F.lit(FIRST_DAY).cast("date"), self.whole(0, DAYS - 1).cast("int")).cast("string")
-
-    def time(self) -> Column:
-        return F.concat_ws(":", self.digits(0, 23, 2), self.digits(0, 59, 2), self.digits(0, 59, 2))
-
-    def amount(self, scale: int) -> Column:
-        return (self.whole(0, 999 * 10**scale + 10**scale - 1).cast("decimal(38,0)") / F.lit(10**scale).cast("decimal(38,0)")).cast(
-            T.DecimalType(38, scale)
-        ).cast("string")
-
-
-def _by_name(kind: str, column: str, dice: _Dice) -> Column:
-    if kind == "email":
-        return F.concat(F.lower(dice.pick(FIRST)), F.lit("."), F.lower(dice.pick(LAST)), dice.digits(1, 99), F.lit("@"), dice.pick(DOMAINS))
-    if kind == "full_name":
-        return F.concat_ws(" ", dice.pick(FIRST), dice.pick(LAST))
-    if kind == "timestamp":
-        return F.concat_ws(" ", dice.date(), dice.time())
-    if kind == "date":
-        return dice.date()
-    if kind == "time":
-        return dice.time()
-    if kind == "phone":
-        return F.concat_ws("-", F.lit("+1"), dice.digits(200, 999), dice.digits(200, 999), dice.digits(0, 9999, 4))
-    if kind == "street":
-        return F.concat_ws(" ", dice.digits(1, 9999), dice.pick(STREETS))
-    if kind == "zip":
-        return dice.digits(10000, 99999)
-    if kind == "url":
-        return F.concat(F.lit("https://www."), F.lower(dice.pick(WORDS)), F.lit(".com"))
-    if kind == "company":
-        return F.concat_ws(" ", dice.pick(LAST), dice.pick(FORMS))
-    if kind == "code":
-        return F.concat_ws("-", F.lit(column.lower()[:3].upper()), dice.digits(1000, 9999))
-    lists = {
-        "first_name": FIRST, "last_name": LAST, "city": CITIES, "country": COUNTRIES, "state": STATES,
-        "status": STATUSES, "department": DEPARTMENTS, "remark": REMARKS,
-    }
-    return dice.pick(lists[kind])
-
-
-def _by_type(kind: str, data_type: str, dice: _Dice) -> Column:
-    if kind == "boolean":
-        return F.when(dice.whole(0, 1) == 1, F.lit("true")).otherwise(F.lit("false"))
+        key = literal(f":{self.seed}:{self.column}:{self.drawn}")
+        return f"md5(concat(cast(id as {self.dialect.text}), {key}))"
+
+    def below(self, count: int) -> str:
+        return f"({self.dialect.number.format(f'substr({self.hex()}, 1, 8)')} % {count})"
+
+    def digits(self, width: int) -> str:
+        return f"lpad(cast({self.below(10**width)} as {self.dialect.text}), {width}, '0')"
+
+    def of(self, slot: str) -> str:
+        if slot.isdigit():
+            return self.digits(int(slot))
+        if slot in CHOICES:
+            words = CHOICES[slot]
+            arms = " ".join(f"when {k} then {literal(w)}" for k, w in enumerate(words))
+            return f"case {self.below(len(words))} {arms} end"
+        if slot == "word":
+            return "concat(" + ", ".join(f"substr('{SYLLABLES}', cast(1 + 2 * {self.below(len(SYLLABLES) // 2)} as int), 2)" for _ in range(3)) + ")"
+        if slot == "Word":
+            made = self.of("word")
+            return f"concat(upper(substr({made}, 1, 1)), substr({made}, 2))"
+        if slot == "date":
+            return f"cast({self.dialect.day.format(self.below(DAYS), FIRST_DAY)} as {self.dialect.text})"
+        if slot == "time":
+            parts = [f"lpad(cast({self.below(n)} as {self.dialect.text}), 2, '0')" for n in (24, 60, 60)]
+            return f"concat_ws(':', {', '.join(parts)})"
+        if slot == "uuid":  # version 4, variant 8
+            made = self.hex()
+            return f"concat_ws('-', substr({made}, 1, 8), substr({made}, 9, 4), concat('4', substr({made}, 14, 3)), concat('8', substr({made}, 18, 3)), substr({made}, 21, 12))"
+        raise KeyError(slot)
+
+
+def recipe_of(column: str, data_type: str) -> str:
+    """A typed column's recipe follows from its type, a text column's from its name, else it is a word and a number."""
+    wanted = data_type.lower().replace("timestamp_ntz", "timestamp")
+    kind = next((kind for kind, pattern in TYPE_KINDS if re.fullmatch(pattern, wanted)), None)
     if kind == "decimal":
-        scale = re.match(r"decimal\(\s*\d+\s*,\s*(\d+)\s*\)", data_type)
-        return dice.amount(int(scale.group(1)) if scale else 2)
-    if kind == "fraction":
-        return dice.amount(2)
-    if kind == "integer":
-        return dice.digits(1, 10000)
-    if kind == "uuid":
-        h = F.md5(F.concat_ws(":", dice.hash().cast("string"), dice.hash().cast("string")))
-        variant = F.element_at(F.array(*(F.lit(v) for v in "89ab")), dice.whole(1, 4).cast("int"))
-        return F.concat(
-            F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit("-"),
-            variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12),
-        )
-    return _by_name(kind, "", dice)
+        found = re.match(r"decimal\(\s*(\d+)\s*,\s*(\d+)\s*\)", wanted)
+        precision, scale = (int(n) for n in found.groups()) if found else (18, 2)
+        whole = f"<{min(2, precision - scale)}>" if precision > scale else "0"
+        return f"{whole}.<{scale}>" if scale else whole
+    if kind is None:
+        kind = next((kind for kind, pattern in NAME_KINDS if re.search(pattern, column.lower())), "")
+    return RECIPES[kind]
+
+
+def cell_sql(column: str, data_type: str, seed: int, dialect: Dialect = SPARK) -> str:
+    """The column's value for the row ``id``, in SQL."""
+    draws = _Draws(seed, column, dialect)
+    pieces = re.split(r"<(\w+)>", recipe_of(column, data_type))
+    parts = [draws.of(piece) if k % 2 else literal(piece) for k, piece in enumerate(pieces) if piece]
+    return f"concat({', '.join(parts)})"
 
 
 def cell(column: str, data_type: str, seed: int) -> Column:
-    """The column's value: by its type, for text by its name, else a word and a number."""
-    dice = _Dice(seed, column)
-    wanted = data_type.lower().replace("timestamp_ntz", "timestamp")
-    for kind, pattern in TYPE_KINDS:
-        if re.fullmatch(pattern, wanted):
-            return _by_type(kind, wanted, dice)
-    for kind, pattern in NAME_KINDS:
-        if re.search(pattern, column.lower()):
-            return _by_name(kind, column, dice)
-    return F.concat(dice.pick(WORDS), dice.digits(1, 99))
+    return F.expr(cell_sql(column, data_type, seed))
 
 
 def columns_of(schema: T.StructType | Sequence[tuple[str, str]]) -> list[tuple[str, str]]:

@@ -160,9 +160,10 @@ def test_ingest_and_reingest(spark, tmp_path):
 
 def test_sampling(spark):
     df = spark.range(1000)
-    drawn = files.sample_rows(df, 20, seed=1).collect()
-    assert len({r.id for r in drawn}) == 20 and drawn == files.sample_rows(df, 20, seed=1).collect()
-    assert drawn != files.sample_rows(df, 20, seed=2).collect() and len(files.sample_rows(df.limit(5), 20).collect()) == 5
+    drawn = files.sample_rows(df, ["id"], 20, seed=1).collect()
+    assert files.sample_rows(df.repartition(7), ["id"], 20, seed=1).collect() == drawn
+    assert len({r.id for r in drawn}) == 20 and drawn == files.sample_rows(df, ["id"], 20, seed=1).collect()
+    assert drawn != files.sample_rows(df, ["id"], 20, seed=2).collect() and len(files.sample_rows(df.limit(5), ["id"], 20).collect()) == 5
 
 
 def test_typed_append(spark, tmp_path):

@@ -11,10 +11,10 @@ SCHEMA = [
     ("price", "DECIMAL(10,3)"), ("ratio", "DOUBLE"), ("n", "INTEGER"), ("u", "UUID"), ("d", "DATE"), ("ts", "TIMESTAMP"), ("t", "TIME"),
 ]
 SHAPES = {
-    "email": r"[a-z]+\.[a-z]+\d{1,2}@example\.(com|org|net)", "first_name": r"[A-Z][a-z]+", "datetime_text": r"20\d\d-\d\d-\d\d \d\d:\d\d:\d\d",
-    "start_date": r"20\d\d-\d\d-\d\d", "lunch_time": r"\d\d:\d\d:\d\d", "phone": r"\+1-\d{3}-\d{3}-\d{4}", "street": r"\d{1,4} .+",
-    "zip": r"\d{5}", "customer_id": r"CUS-\d{4}", "odd": r"[A-Z][a-z]+\d{1,2}", "flag": "true|false", "price": r"\d{1,3}\.\d{3}",
-    "ratio": r"\d{1,3}\.\d{2}", "n": r"\d{1,5}", "u": r"[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}",
+    "email": r"[a-z]{6}@[a-z]{6}\.example", "first_name": r"[A-Z][a-z]{5}", "datetime_text": r"20\d\d-\d\d-\d\d \d\d:\d\d:\d\d",
+    "start_date": r"20\d\d-\d\d-\d\d", "lunch_time": r"\d\d:\d\d:\d\d", "phone": r"\+999\d{8}", "street": r"[A-Z][a-z]{5} road \d\d",
+    "zip": r"\d{6}", "customer_id": r"\d{3}-\d{3}", "odd": r"[A-Z][a-z]+ \d\d", "flag": "true|false", "price": r"\d\d\.\d{3}",
+    "ratio": r"\d\d\.\d{2}", "n": r"\d\d", "u": r"[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-8[0-9a-f]{3}-[0-9a-f]{12}",
     "d": r"20\d\d-\d\d-\d\d", "ts": r"20\d\d-\d\d-\d\d \d\d:\d\d:\d\d", "t": r"\d\d:\d\d:\d\d",
 }
 
@@ -25,7 +25,7 @@ def test_cells_have_the_shape_their_type_and_name_ask_for(spark):
     for name, shape in SHAPES.items():
         assert all(re.fullmatch(shape, r[name]) for r in rows), (name, rows[0][name])
     assert len({r["u"] for r in rows}) == 300
-    assert all(1 <= int(r["n"]) <= 10000 and r["d"] < "2027" for r in rows)
+    assert all(0 <= int(r["n"]) < 100 and "2001" <= r["d"] < "2026" for r in rows)
 
 
 def test_the_same_seed_gives_the_same_rows_whatever_the_partitions(spark):

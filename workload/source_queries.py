@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.operators import rules
-from tallymark.operators.synth import fill, non_empty
+from tallymark.operators.sides import stack
+from tallymark.operators.synth import DUCKDB, cell_sql, fill, non_empty
 from tallymark.session import scratch_dir
 from tallymark.sources import files
 from tallymark.sources.append import append_rows, cast_to, read_staged, split_rejected, write_rows
@@ -34,9 +35,9 @@ def select_value(t: Tables) -> DataFrame:
     return files.select_value(t.lineitem, "l_shipdate")
 
 
-@query("sample_rows")
+@query("sample_rows", "SELECT * FROM orders ORDER BY md5('7:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 20")
 def sample_rows(t: Tables) -> DataFrame:
-    return files.sample_rows(t.orders, 20, seed=7)
+    return files.sample_rows(t.orders, ["o_orderkey"], 20, seed=7)
 
 
 # --- round trips through files --------------------------------------------------------------------
@@ -109,14 +110,40 @@ def ingest_xml(t: Tables) -> DataFrame:
 
 # --- made-up rows and appends ------------------------------------------------------------------------
 
-@query("synth_rows")
+CONTACT = [
+    ("email", "VARCHAR"), ("first_name", "VARCHAR"), ("signup_date", "DATE"), ("last_seen", "TIMESTAMP"), ("event_datetime", "VARCHAR"),
+    ("balance", "DECIMAL(10,2)"), ("score", "INTEGER"), ("customer_id", "VARCHAR"), ("token", "UUID"), ("city", "VARCHAR"),
+    ("opening_time", "VARCHAR"), ("home_phone", "VARCHAR"), ("website", "VARCHAR"), ("active", "BOOLEAN"), ("anything", "VARCHAR"),
+    ("country", "VARCHAR"), ("company", "VARCHAR"), ("remark", "VARCHAR"), ("street", "VARCHAR"), ("zip", "VARCHAR"), ("status", "VARCHAR"),
+]
+
+
+@query("synth_rows", "SELECT " + ", ".join(
+    f'{cell_sql(name, kind, 11, DUCKDB)} AS "{name}"' for name, kind in CONTACT) + " FROM (SELECT c_custkey AS id FROM customer)")
 def synth_rows(t: Tables) -> DataFrame:
     """A made-up contact for every customer."""
-    schema = [
-        ("email", "VARCHAR"), ("first_name", "VARCHAR"), ("signup_date", "DATE"), ("last_seen", "TIMESTAMP"),
-        ("balance", "DECIMAL(10,2)"), ("score", "INTEGER"), ("customer_id", "VARCHAR"), ("token", "UUID"), ("city", "VARCHAR"),
-    ]
-    return fill(t.customer.select(F.col("c_custkey").alias("id")), schema, seed=11)
+    return fill(t.customer.select(F.col("c_custkey").alias("id")), CONTACT, seed=11)
+
+
+NAME_RULES = [
+    ("contact_email_address", "VARCHAR", "^[a-z]{6}@[a-z]{6}[.]example$"), ("event_datetime", "VARCHAR", "^[0-9-]{10} [0-9:]{8}$"),
+    ("birthdate", "VARCHAR", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), ("seen", "TIMESTAMP WITH TIME ZONE", "^[0-9-]{10} [0-9:]{8}$"),
+    ("seen_at", "TIME", "^[0-9:]{8}$"), ("city_id", "VARCHAR", "^[A-Z][a-z]{5}$"), ("order_ref", "VARCHAR", "^[0-9]{3}-[0-9]{3}$"),
+    ("whatever", "VARCHAR", "^[A-Z][a-z]{5} [0-9]{2}$"),
+]
+
+
+@query("synth_name_rules", " UNION ALL ".join(
+    f"SELECT CAST({k} AS INT) AS position, '{name}' AS column_name, '{shape}' AS shape, count(*) AS rows, count(*) AS fitting FROM customer"
+    for k, (name, _, shape) in enumerate(NAME_RULES)))
+def synth_name_rules(t: Tables) -> DataFrame:
+    """The first rule that fits a column's type or name decides, whatever fits after it."""
+    made = fill(t.customer.select(F.col("c_custkey").alias("id")), [(name, kind) for name, kind, _ in NAME_RULES], seed=3)
+    return stack([
+        made.agg(F.lit(k).alias("position"), F.lit(name).alias("column_name"), F.lit(shape).alias("shape"), F.count("*").alias("rows"),
+                 F.count_if(F.col(name).rlike(shape)).alias("fitting"))
+        for k, (name, _, shape) in enumerate(NAME_RULES)
+    ])
 
 
 def staged_orders(t: Tables) -> DataFrame:
