@@ -172,7 +172,6 @@ class KeyParity(SideBySide):
     """Key sets on both sides; the key ``*`` compares whole rows."""
 
     key: str = ALL_COLUMNS
-    digest: bool = False
 
     def target(self, mapping: Mapping) -> str:
         suffix = "all columns" if self.key == ALL_COLUMNS else f"key: {self.key}"

@@ -48,10 +48,17 @@ def in_window(runs: DataFrame, scope: Scope) -> DataFrame:
     if scope.mapping_ids is not None:
         runs = runs.filter(F.col("mapping_id").isin(list(scope.mapping_ids)))
     if scope.since is not None:
-        runs = runs.filter(F.col("started_at") >= _moment(runs, "started_at", scope.since))
+        runs = since_day(runs, scope).filter(F.col("started_at") >= _moment(runs, "started_at", scope.since))
     return runs
 
 
+def since_day(df: DataFrame, scope: Scope) -> DataFrame:
+    """Stored tables are partitioned by ``run_date``: days before the window are not read."""
+    if scope.since is None or "run_date" not in df.columns:
+        return df
+    return df.filter(F.col("run_date") >= F.lit(scope.since.date()))
+
+
 def latest_runs(runs: DataFrame) -> DataFrame:
     """Each mapping's newest runs, ties kept: a grouped maximum joined back.
 
@@ -68,20 +75,27 @@ def with_names(runs: DataFrame, mappings: DataFrame, keep_deleted: bool) -> Data
     return joined.withColumn("mapping_name", F.coalesce("mapping_name", F.lit(DELETED)))
 
 
-def scoped_runs(runs: DataFrame, mappings: DataFrame, scope: Scope, basis: str | None = None) -> DataFrame:
-    """Runs in scope with ``mapping_name``; runs of deleted mappings only without a filter."""
+def scoped_runs(
+    runs: DataFrame, mappings: DataFrame, scope: Scope, basis: str | None = None, named: bool = True
+) -> DataFrame:
+    """Runs in scope with ``mapping_name``; runs of deleted mappings only without a filter.
+
+    Without a filter every run is kept whether its mapping is there or not, so ``named=False`` spares the join.
+    """
     chosen = in_window(runs, scope)
     if (basis or scope.basis) == "latest":
         chosen = latest_runs(chosen)
+    if not named and scope.mapping_ids is None:
+        return chosen.withColumn("mapping_name", F.lit(None).cast("string"))
     return with_names(chosen, mappings, keep_deleted=scope.mapping_ids is None)
 
 
-def scoped_results(results: DataFrame, runs: DataFrame, mappings: DataFrame, scope: Scope) -> DataFrame:
-    """Result rows in scope with their run and mapping."""
-    chosen = scoped_runs(runs, mappings, scope).select(
+def scoped_results(results: DataFrame, runs: DataFrame, mappings: DataFrame, scope: Scope, named: bool = True) -> DataFrame:
+    """Result rows in scope with their run and mapping; stored results of earlier days are not read."""
+    chosen = scoped_runs(runs, mappings, scope, named=named).select(
         F.col("id").alias("run_id"), "mapping_id", "mapping_name", F.col("started_at").alias("run_started_at"),
     )
-    return results.join(chosen, "run_id")
+    return since_day(results, scope).join(chosen, "run_id")
 
 
 def roll_up(results: DataFrame) -> DataFrame:

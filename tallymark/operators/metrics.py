@@ -29,11 +29,10 @@ Measure = Callable[[str, T.DataType, str | None], str]
 
 @dataclass(frozen=True)
 class Metric:
-    """How a column is reduced (``parts``, in SQL) and how table figures merge (``merge``)."""
+    """What is reported, how a column is reduced to it (in SQL) and how the figures of tables merge."""
 
     kind: str
-    label: str
-    additive: bool
+    said: str
     parts: dict[str, Measure]
     merge: dict[str, str]
 
@@ -44,22 +43,22 @@ def _matches(val: str, dtype: T.DataType, pattern: str | None) -> str:
 
 METRICS: dict[str, Metric] = {
     model.NULLS: Metric(
-        "count", "nulls", True,
+        "count", "empty",
         {"metric": lambda val, dtype, pattern: f"sum(if({val} is null, 1, 0))"}, {"metric": "sum"},
     ),
-    model.UNIQUENESS: Metric("count", "distinct values", False, {}, {}),
+    model.UNIQUENESS: Metric("count", "different", {}, {}),
     model.RANGE: Metric(
-        "range", "range", False,
+        "range", "from to",
         {"low": lambda val, dtype, pattern: f"min({val})", "high": lambda val, dtype, pattern: f"max({val})"},
         {"low": "min", "high": "max"},
     ),
     model.VOLUME: Metric(
-        "count2", "volume", True,
+        "count2", "rows",
         {"metric": lambda val, dtype, pattern: "count(1)", "non_null": lambda val, dtype, pattern: f"count({val})"},
         {"metric": "sum", "non_null": "sum"},
     ),
     model.LENGTH: Metric(
-        "range", "value length", False,
+        "range", "characters",
         {
             "low": lambda val, dtype, pattern: f"bigint(min(length({text(val, dtype)})))",
             "high": lambda val, dtype, pattern: f"bigint(max(length({text(val, dtype)})))",
@@ -67,11 +66,11 @@ METRICS: dict[str, Metric] = {
         {"low": "min", "high": "max"},
     ),
     model.REGEX: Metric(
-        "count", "values matching the pattern", True,
+        "count", "matching",
         {"metric": lambda val, dtype, pattern: f"sum(if({_matches(val, dtype, pattern)}, 1, 0))"}, {"metric": "sum"},
     ),
     model.FRESHNESS: Metric(
-        "scalar", "most recent value", False,
+        "scalar", "newest",
         {"metric": lambda val, dtype, pattern: f"max({val})"}, {"metric": "max"},
     ),
 }

@@ -13,8 +13,8 @@ from tallymark.functions.columns import c, columns_for, rename_to_common, shared
 from tallymark.functions.text import key_text, literal, normalise_cell, q, text
 from tallymark.model import CheckError, ColumnParity
 from tallymark.operators.metrics import METRICS, Wanted, measure, measure_distinct, require
-from tallymark.operators.sides import INTEGERS, comparable_rows, column_type, stack, tagged_union
-from tallymark.operators.verdicts import grouped_digits, row_digest, same_value, shown, together, verdict
+from tallymark.operators.sides import FLOATS, INTEGERS, comparable_rows, column_type, stack, tagged_union
+from tallymark.operators.verdicts import row_digest, same_value, shown, together, verdict
 
 Frames = Mapping[str, DataFrame]
 
@@ -55,10 +55,8 @@ def _figure(metric: str, row: str, schema: T.StructType) -> str:
 
 
 def _breakdown(metric: str, tables: str, schema: T.StructType) -> str:
-    additive = METRICS[metric].additive
-    part = f"concat(t.src_table, '{': ' if additive else ' '}', {_figure(metric, 't', schema)})"
-    listed = f"array_join(transform(array_sort({tables}), t -> {part}), ', ')"
-    return f"if(size({tables}) >= 2, concat('{' (' if additive else ' (per-table: '}', {listed}, ')'), '')"
+    part = f"concat(t.src_table, ': ', {_figure(metric, 't', schema)})"
+    return f"if(size({tables}) >= 2, concat(' (', array_join(transform(array_sort({tables}), t -> {part}), ', '), ')'), '')"
 
 
 def _metric_verdict(metric: str, s: str, d: str, s_type: T.StructType, d_type: T.StructType) -> list[Column]:
@@ -77,7 +75,7 @@ def _metric_verdict(metric: str, s: str, d: str, s_type: T.StructType, d_type: T
     sides = []
     for side, at, dtype in (("source", s, s_type), ("destination", d, d_type)):
         entry = dtype["tables"].dataType.elementType
-        sides.append(f"""concat('{side} {spec.label} = ', {_figure(metric, f'{at}.total', dtype['total'].dataType)},
+        sides.append(f"""concat('{side} {spec.said} = ', {_figure(metric, f'{at}.total', dtype['total'].dataType)},
             {_breakdown(metric, f'{at}.tables', entry)})""")
     return verdict(
         F.expr(equal), F.expr(violations), F.expr(f"coalesce({d}.total.rows, 0)"), F.expr(f"concat_ws(' | ', {', '.join(sides)})")
@@ -176,30 +174,20 @@ def categorical_parity(
         F.count_if(F.col("sides") == IN_DESTINATION).alias("extra"),
         F.count_if(F.col("sides").bitwiseAND(IN_SOURCE) > 0).alias("source_values"),
         F.coalesce(F.sum("destination_rows"), F.lit(0)).alias("destination_rows"),
+        # The examples need every column; asked for here too, all three parts share one shuffle.
+        F.max("val").alias("last"), *(F.max(f"in{i}").alias(f"any{i}") for i in range(len(source))),
     )
-    quoted = F.when(F.col("val").isNull(), F.lit("None")).otherwise(F.concat(F.lit("'"), F.col("val"), F.lit("'")))
+    quoted = F.when(F.col("val").isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("'"), F.col("val"), F.lit("'")))
     origin = F.array_join(F.array(*(F.when(F.col(f"in{i}"), F.lit(t)) for i, t in enumerate(source))), ", ")
-    named = {
-        "missing": (IN_SOURCE, F.concat(quoted, F.lit(" (in "), origin, F.lit(")"))),
-        "extra": (IN_DESTINATION, quoted),
-    }
+    named = {"missing": (IN_SOURCE, F.concat(quoted, F.lit(" of "), origin)), "extra": (IN_DESTINATION, quoted)}
     parts = {"counts": counts}
     for name, (side, label) in named.items() if samples else ():
         top = values.filter(F.col("sides") == side).orderBy(F.col("val").asc_nulls_last()).limit(samples)
-        parts[name] = _listed(top.select(F.struct(F.col("val").isNull(), F.col("val"), label.alias("label")).alias("at")))
+        parts[name] = _listed(top.select(F.struct(F.col("val").isNull(), F.col("val"), label.alias("label"), "destination_rows").alias("at")))
     out = together(**parts)
     n = F.col("counts")
-    notes = {
-        "missing": " source value(s) absent from destination",
-        "extra": " destination value(s) with no source counterpart",
-    }
-    broken = F.concat_ws("; ", *(
-        F.when(n[name] > 0, F.concat(n[name].cast("string"), F.lit(note), _examples(name, ": ", samples)))
-        for name, note in notes.items()
-    ))
     passed = (n["missing"] == 0) & (n["extra"] == 0)
-    held = F.concat(F.lit("all "), n["source_values"].cast("string"), F.lit(" distinct value(s) present on both sides"))
-    details = F.when(passed, held).otherwise(broken)
+    details = _found("values", n["source_values"] - n["missing"], n["source_values"], n, samples)
     return out.select(*verdict(passed, n["missing"] + n["extra"], n["destination_rows"], details))
 
 
@@ -208,10 +196,14 @@ def _listed(top: DataFrame) -> DataFrame:
     return top.agg(F.transform(F.array_sort(F.collect_list("at")), lambda e: e["label"]).alias("labels"))
 
 
-def _examples(name: str, lead: str, samples: int, tail: str = "", gap: str = ", ") -> Column:
-    if not samples:
-        return F.lit("")
-    return F.concat(F.lit(lead), F.array_join(F.col(name)["labels"], gap), F.lit(tail))
+def _found(what: str, held: Column, of: Column, n: Column, samples: int) -> Column:
+    """``9 of 10 keys on both sides; 1 only in source: 7; 2 only in destination: 11, 12``."""
+    def only(name: str, side: str) -> Column:
+        listed = F.concat(F.lit(": "), F.array_join(F.col(name)["labels"], ", ")) if samples else F.lit("")
+        return F.when(n[name] > 0, F.concat(n[name].cast("string"), F.lit(f" only in {side}"), listed))
+
+    both = F.concat(held.cast("string"), F.lit(" of "), of.cast("string"), F.lit(f" {what} on both sides"))
+    return F.concat_ws("; ", both, only("missing", "source"), only("extra", "destination"))
 
 
 # --- key sets -------------------------------------------------------------------------------
@@ -260,26 +252,12 @@ def key_parity(
     parts = {"counts": counts}
     for name, side in (("missing", IN_SOURCE), ("extra", IN_DESTINATION)) if samples else ():
         top = keys.filter(F.col("sides") == side).orderBy(F.col("key").asc_nulls_last()).limit(samples)
-        label = F.coalesce(F.col("key").cast("string"), F.lit("None")).alias("label")
+        label = F.coalesce(F.col("key").cast("string"), F.lit("NULL")).alias("label")
         parts[name] = _listed(top.select(F.struct(F.col("key").isNull(), F.col("key"), label).alias("at")))
     out = together(**parts)
     n = F.col("counts")
     passed = (n["missing"] == 0) & (n["extra"] == 0)
-    held = F.concat(F.lit("All "), grouped_digits(n["source_keys"]), F.lit(f" '{key}' values are present on both sides."))
-    broken = F.concat(F.concat_ws(
-        ". ",
-        F.concat(
-            grouped_digits(n["source_keys"] - n["missing"]), F.lit(" of "), grouped_digits(n["source_keys"]),
-            F.lit(f" source '{key}' values matched"),
-        ),
-        F.when(n["missing"] > 0, F.concat(
-            grouped_digits(n["missing"]), F.lit(" missing from destination"), _examples("missing", " (e.g. ", samples, ")"),
-        )),
-        F.when(n["extra"] > 0, F.concat(
-            grouped_digits(n["extra"]), F.lit(" in destination with no source row"), _examples("extra", " (e.g. ", samples, ")"),
-        )),
-    ), F.lit("."))
-    details = F.when(passed, held).otherwise(broken)
+    details = _found(f"{key} keys", n["source_keys"] - n["missing"], n["source_keys"], n, samples)
     return out.select(*verdict(passed, n["missing"] + n["extra"], n["source_keys"], details))
 
 
@@ -305,26 +283,30 @@ def _tagged_rows(source: Frames, destination: Frames, shared: Sequence[str]) ->
 
 
 def row_balance(
-    source: Frames, destination: Frames, column_map: Sequence[Mapping] = (), digest: bool = False
+    source: Frames, destination: Frames, column_map: Sequence[Mapping] = ()
 ) -> tuple[DataFrame, list[str], list[str]]:
     """Distinct rows with their number of copies on each side.
 
     One shuffle: copies collapse to two counts on the map side, so a row that makes up a third
-    of a table travels once per task. With ``digest`` the shuffle carries the SHA-256 of the
-    row and not the row, for tables of long texts.
+    of a table travels once per task.
     """
     s, d, shared, skipped = _lined_up(source, destination, column_map)
-    rows = _tagged_rows(s, d, shared)
-    if digest:
-        rows = rows.select(row_digest(shared).alias("__digest"), "__source")
-        keys = ["__digest"]
-    else:
-        keys = list(shared)
-    balance = rows.groupBy(*(c(k) for k in keys)).agg(
+    return _copies(_tagged_rows(s, d, shared), [c(n) for n in shared]), shared, skipped
+
+
+def _copies(rows: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    return rows.groupBy(*keys).agg(
         F.count_if("__source").alias("source_copies"),
         F.count_if(~F.col("__source")).alias("destination_copies"),
     )
-    return balance, shared, skipped
+
+
+def _with_digest(rows: DataFrame, shared: Sequence[str]) -> DataFrame:
+    """The rows with the SHA-256 of their cells; -0.0 is 0.0, as it is when rows are grouped."""
+    level = rows.select(*(
+        (c(n) + F.lit(0.0)).alias(n) if isinstance(rows.schema[n].dataType, FLOATS) else c(n) for n in shared
+    ), "__source")
+    return level.select("*", row_digest(shared).alias("__digest"))
 
 
 def row_differences(source: Frames, destination: Frames, column_map: Sequence[Mapping] = ()) -> DataFrame:
@@ -346,11 +328,16 @@ def _row_text(df: DataFrame, shared: Sequence[str]) -> Column:
 
 
 def row_parity(
-    source: Frames, destination: Frames, column_map: Sequence[Mapping] = (),
-    samples: int = ROW_SAMPLES, digest: bool = False,
+    source: Frames, destination: Frames, column_map: Sequence[Mapping] = (), samples: int = ROW_SAMPLES,
 ) -> DataFrame:
-    """Does every row exist on both sides, with the same number of copies?"""
-    balance, shared, skipped = row_balance(source, destination, column_map, digest)
+    """Does every row exist on both sides, with the same number of copies?
+
+    The shuffle carries 32 bytes per distinct row. The few rows shown as examples, those with the
+    smallest digests, are fetched by their digests.
+    """
+    s, d, shared, skipped = _lined_up(source, destination, column_map)
+    rows = _with_digest(_tagged_rows(s, d, shared), shared)
+    balance = _copies(rows, [F.col("__digest")])
     net = F.col("source_copies") - F.col("destination_copies")
     counts = balance.agg(
         F.coalesce(F.sum(F.greatest(net, F.lit(0))), F.lit(0)).alias("missing"),
@@ -359,38 +346,15 @@ def row_parity(
         F.coalesce(F.sum("destination_copies"), F.lit(0)).alias("destination_rows"),
     )
     parts = {"counts": counts}
-    samples = 0 if digest else samples
     for name, side in (("missing", net > 0), ("extra", net < 0)) if samples else ():
-        top = balance.filter(side).orderBy(*(c(n).asc_nulls_last() for n in shared)).limit(samples)
-        parts[name] = _listed(top.select(F.struct(_row_text(balance, shared).alias("label")).alias("at")))
+        top = balance.filter(side).orderBy("__digest").limit(samples).select("__digest")
+        shown_rows = rows.join(F.broadcast(top), "__digest").groupBy("__digest").agg(F.min(_row_text(rows, shared)).alias("label"))
+        parts[name] = _listed(shown_rows.select(F.struct("__digest", "label").alias("at")))
     out = together(**parts)
     n = F.col("counts")
     passed = (n["missing"] == 0) & (n["extra"] == 0)
-    empty = (n["source_rows"] == 0) & (n["destination_rows"] == 0)
-    held = F.concat(
-        F.lit("All "), grouped_digits(n["source_rows"]),
-        F.lit(f" rows are present on both sides, identical across {len(shared)} compared column(s)."),
-    )
-    broken = F.concat(F.concat_ws(
-        ". ",
-        F.concat(
-            grouped_digits(n["source_rows"] - n["missing"]), F.lit(" of "), grouped_digits(n["source_rows"]),
-            F.lit(" source rows matched"),
-        ),
-        F.when(n["missing"] > 0, F.concat(
-            grouped_digits(n["missing"]), F.lit(" row(s) missing from destination"),
-            _examples("missing", " e.g. ", samples, gap="; "),
-        )),
-        F.when(n["extra"] > 0, F.concat(
-            grouped_digits(n["extra"]), F.lit(" row(s) in destination with no source match"),
-            _examples("extra", " e.g. ", samples, gap="; "),
-        )),
-    ), F.lit("."))
-    note = ""
+    details = _found("rows", n["source_rows"] - n["missing"], n["source_rows"], n, samples)
+    scope = f"; compared on {len(shared)} columns"
     if skipped:
-        more = " ..." if len(skipped) > SKIPPED_SHOWN else ""
-        note = f" Columns on only one side, so not compared: {', '.join(skipped[:SKIPPED_SHOWN])}{more}."
-    details = F.when(empty, F.lit("Both sides are empty - nothing to compare.")).otherwise(
-        F.concat(F.when(passed, held).otherwise(broken), F.lit(note))
-    )
-    return out.select(*verdict(passed, n["missing"] + n["extra"], n["source_rows"], details))
+        scope += f", {len(skipped)} are on one side only: {', '.join(skipped[:SKIPPED_SHOWN])}"
+    return out.select(*verdict(passed, n["missing"] + n["extra"], n["source_rows"], F.concat(details, F.lit(scope))))

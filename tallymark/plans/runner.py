@@ -70,7 +70,7 @@ def plan(spark: SparkSession, mapping: Mapping, check: Check) -> DataFrame:
     if isinstance(check, KeyParity):
         source, destination = check.frames(mapping)
         if check.key == ALL_COLUMNS:
-            return parity.row_parity(source, destination, mapping.column_map, digest=check.digest)
+            return parity.row_parity(source, destination, mapping.column_map)
         return parity.key_parity(source, destination, check.key, mapping.column_map)
     if isinstance(check, DualScriptCheck):
         tables = mapping.every_table()

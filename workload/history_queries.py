@@ -41,8 +41,8 @@ def frames(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return t.sql(RESULTS), t.sql(RUNS), t.sql(MAPPINGS)
 
 
-def digested(t: Tables, scope: h.Scope) -> DataFrame:
-    return r.scoped_digest(*frames(t), scope)
+def digested(t: Tables, scope: h.Scope, named: bool = True) -> DataFrame:
+    return r.scoped_digest(*frames(t), scope, named)
 
 
 @query("status_counts", f"""
@@ -51,14 +51,14 @@ WITH {scoped()}, n AS (SELECT count(*) FILTER (status = 'PASS') AS n_pass, count
 SELECT *, n_pass + n_fail + n_error AS total FROM n
 """)
 def status_counts(t: Tables) -> DataFrame:
-    return r.status_counts(digested(t, h.Scope(basis="all")))
+    return r.status_counts(digested(t, h.Scope(basis="all"), named=False))
 
 
 @query("status_shares", f"""
 WITH {scoped(LATEST)} SELECT status, count(*) AS checks FROM r WHERE status IN ('PASS', 'FAIL', 'ERROR') GROUP BY status
 """)
 def status_shares(t: Tables) -> DataFrame:
-    return r.status_shares(digested(t, h.Scope()))
+    return r.status_shares(digested(t, h.Scope(), named=False))
 
 
 ROW_QUALITY = f"""
@@ -103,7 +103,7 @@ FROM r GROUP BY 1, 2
 
 @query("by_type", f"WITH {scoped()} {BY_TYPE}")
 def by_type(t: Tables) -> DataFrame:
-    return r.by_type(digested(t, h.Scope(basis="all")))
+    return r.by_type(digested(t, h.Scope(basis="all"), named=False))
 
 
 @query("by_layer", f"WITH {scoped()} {BY_LAYER}")
@@ -120,7 +120,7 @@ def latest_basis(t: Tables) -> DataFrame:
 WITH {scoped(f"started_at >= TIMESTAMP '2000-08-02 00:00:00' AND {LATEST}")} {BY_TYPE}
 """)
 def latest_in_window(t: Tables) -> DataFrame:
-    return r.by_type(digested(t, h.Scope(window="1y", as_of=AS_OF)))
+    return r.by_type(digested(t, h.Scope(window="1y", as_of=AS_OF), named=False))
 
 
 @query("latest_of_layers", f"""
@@ -145,7 +145,7 @@ SELECT CAST(coalesce(sum(bad), 0) AS DOUBLE) AS violations,
 FROM r WHERE validation_type = 'Null Value Constraint'
 """)
 def null_summary(t: Tables) -> DataFrame:
-    return r.null_summary(digested(t, h.Scope(basis="all")))
+    return r.null_summary(digested(t, h.Scope(basis="all"), named=False))
 
 
 SUMMARY = f"""
@@ -174,19 +174,11 @@ def summary(t: Tables) -> DataFrame:
 
 @query("export_summary", f"""
 WITH {scoped()}, s AS ({SUMMARY})
-SELECT CAST(1 AS INT) AS position, 'Checks passed' AS measure,
-       CAST(n_pass AS VARCHAR) || ' of ' || CAST(n_pass + n_fail + n_error AS VARCHAR) AS value,
-       CAST(CAST(round(n_pass * 100.0 / (n_pass + n_fail + n_error)) AS BIGINT) AS VARCHAR) || '% of checks run' AS detail FROM s
-UNION ALL SELECT 2, 'Checks failed', format('{{:,}}', n_fail), CAST(n_error AS VARCHAR) || ' errored (could not run)' FROM s
-UNION ALL SELECT 3, 'Row-level quality', CAST(quality_pct AS VARCHAR) || '%',
-       format('{{:,}}', CAST(clean AS BIGINT)) || ' clean of ' || format('{{:,}}', examined) || ' rows examined' FROM s
-UNION ALL SELECT 4, 'Null values found', format('{{:,}}', CAST(null_violations AS BIGINT)),
-       'across ' || CAST(null_checks AS VARCHAR) || ' null checks' FROM s
-UNION ALL SELECT 5, 'Scope', 'All test layers  |  all runs  |  all time  |  ' || CAST(runs_covered AS VARCHAR) || ' runs, '
-       || CAST(layers_covered AS VARCHAR) || ' test layers', '' FROM s
-UNION ALL SELECT 6, 'Note', CAST(excluded AS VARCHAR) || ' checks report no row counts and are left out of row-level quality.', '' FROM s
-UNION ALL SELECT 7, 'Note', CAST(orphaned_runs AS VARCHAR) || ' runs of deleted test layers are included.', '' FROM s
-UNION ALL SELECT 8, 'Note', 'A check can report more violations than rows, so row-level quality clamps per check.', ''
+""" + " UNION ALL ".join(
+    f"SELECT CAST({i + 1} AS INT) AS position, '{name}' AS measure, CAST(CAST({name} AS DECIMAL(38,2)) AS VARCHAR) AS value FROM s"
+    for i, name in enumerate(r.FIGURES)
+) + """
+UNION ALL SELECT 14, 'basis', 'all' UNION ALL SELECT 15, 'since', NULL UNION ALL SELECT 16, 'layers', 'all'
 """)
 def export_summary(t: Tables) -> DataFrame:
     return r.export_tables(*frames(t), h.Scope(basis="all"))["summary"]
@@ -213,13 +205,14 @@ def worst_offenders(t: Tables) -> DataFrame:
 
 
 @query("offenders_sorted", f"""
-WITH {scoped()}, o AS ({OFFENDERS})
-SELECT run_id, test_label, violations, total_rows FROM o ORDER BY total_rows DESC NULLS LAST
+WITH {scoped()}
+SELECT run_id, test_label, violations, total_rows FROM r WHERE violations > 0
+ORDER BY total_rows DESC NULLS LAST, run_started_at, run_id, test_label, test_name, rule_target LIMIT 200
 """)
 def offenders_sorted(t: Tables) -> DataFrame:
-    """Sorted by rows; unknown row counts come last even when the largest come first."""
-    top = r.offenders(h.scoped_results(*frames(t), h.Scope(basis="all")))
-    return r.sort_checks(top, "total_rows", True).select("run_id", "test_label", "violations", "total_rows")
+    """The offenders with most rows among all offenders; unknown row counts come last."""
+    scoped_rows = h.scoped_results(*frames(t), h.Scope(basis="all"))
+    return r.offenders(scoped_rows, by="total_rows").select("run_id", "test_label", "violations", "total_rows")
 
 
 TREND = f"""
@@ -244,7 +237,7 @@ SELECT CAST(started_at AS DATE) AS day, 'All layers' AS series,
 """)
 def trend_daily(t: Tables) -> DataFrame:
     _, runs, mappings = frames(t)
-    return r.daily_trend(r.trend(runs, mappings, h.Scope()))
+    return r.daily_trend(r.trend(runs, mappings, h.Scope()), pooled=True)
 
 
 @query("trend_daily_layers", f"""
