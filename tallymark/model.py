@@ -40,6 +40,7 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("validation_type", T.StringType()),
     T.StructField("severity", T.StringType()),
     T.StructField("origin", T.StringType()),
+    T.StructField("description", T.StringType()),
     T.StructField("status", T.StringType()),
     T.StructField("evaluated_query", T.StringType()),
     T.StructField("details", T.StringType()),

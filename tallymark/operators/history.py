@@ -239,13 +239,17 @@ def mappings_of_source(mappings: DataFrame, cases: DataFrame, suites: DataFrame,
 # --- storage --------------------------------------------------------------------------------
 
 def append_history(runs: DataFrame, results: DataFrame, path: str) -> None:
-    """Add one run to the stored history, partitioned by the day it started."""
+    """Add runs to the stored history, partitioned by the day they started and by run.
+
+    A run's folders are overwritten, so appending it again after a failure doubles nothing; results come
+    first, and a run is only there once its results are.
+    """
     day = F.to_date("started_at")
     stamped = results.join(
         runs.select(F.col("id").alias("run_id"), day.alias("run_date")), "run_id"
     ).select(*results.columns, "run_date")
-    stamped.write.mode("append").partitionBy("run_date").parquet(f"{path}/results")
-    runs.withColumn("run_date", day).write.mode("append").partitionBy("run_date").parquet(f"{path}/runs")
+    for name, rows, run in (("results", stamped, "run_id"), ("runs", runs.withColumn("run_date", day), "id")):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", run).parquet(f"{path}/{name}")
 
 
 def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

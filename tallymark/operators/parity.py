@@ -183,7 +183,7 @@ def categorical_parity(
     parts = {"counts": counts}
     for name, (side, label) in named.items() if samples else ():
         top = values.filter(F.col("sides") == side).orderBy(F.col("val").asc_nulls_last()).limit(samples)
-        parts[name] = _listed(top.select(F.struct(F.col("val").isNull(), F.col("val"), label.alias("label"), "destination_rows").alias("at")))
+        parts[name] = _listed(top.select(F.struct(F.col("val").isNull(), F.col("val"), label.alias("label"), origin.alias("origin"), "destination_rows").alias("at")))
     out = together(**parts)
     n = F.col("counts")
     passed = (n["missing"] == 0) & (n["extra"] == 0)

@@ -230,7 +230,7 @@ def run(
         rows.append({
             "run_id": run_id, "test_case_id": check.id, "test_label": label(i + 1), "test_name": check.name,
             "rule_target": check.target(mapping), "validation_type": check.validation_type,
-            "severity": check.severity, "origin": check.origin, "status": row["status"],
+            "severity": check.severity, "origin": check.origin, "description": check.description, "status": row["status"],
             "evaluated_query": _evidence(check, mapping), "details": row.get("details"),
             "error_message": row.get("error_message"), "violations": row.get("violations"),
             "total_rows": row.get("total_rows"), "duration_seconds": round(seconds, 3),

@@ -101,3 +101,10 @@ def test_callables(spark):
         scripts.callable_check(spark, lambda s, r: 3, tables)
     with pytest.raises(CheckError, match="no such table"):
         scripts.callable_check(spark, lambda s, r: r("u"), tables)
+
+
+def test_literals_and_comments_are_never_refused(spark):
+    tables = {"t": spark.range(3)}
+    for sql, ok in (("SELECT 'delete me; please' AS details", True), ("SELECT max(id) -- ; drop it\nFROM t", True), ("SELECT 1; ", True),
+                    ("SELECT id FROM t; DROP TABLE t", False), ("DELETE FROM t", False), ("SELECT nope FROM t", False), ("selected", False)):
+        assert scripts.bind(spark, sql, tables)[0] is ok, sql

@@ -188,3 +188,18 @@ def test_scratch_folder_follows_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_dir(spark, "x"), scratch_dir(spark, "x")
     assert first.startswith(root) and first != second
+
+
+def test_headers_settle_the_delimiter_or_it_has_to_be_named(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x|y\n" + "1,5|b\n" * 30)
+    (folder / "b.csv").write_text('x|y\n2|"two\nlines"\n')
+    assert files.read_table(spark, str(folder), "csv").count() == 31
+    (folder / "c.csv").write_text("x,y\n1,b\n")
+    with pytest.raises(files.IngestError, match="name it"):
+        files.read_table(spark, str(folder), "csv")
+    (tmp_path / "tie.csv").write_text("a|b,c\n1|x,y\n")
+    with pytest.raises(files.IngestError, match="name it"):
+        files.read_table(spark, str(tmp_path / "tie.csv"))
+    assert files.read_delimited(spark, str(tmp_path / "tie.csv"), sep="|").columns == ["a", "b,c"]

@@ -11,10 +11,11 @@ from tallymark.model import ColumnParity, DualScriptCheck, KeyParity, Mapping, R
 from tallymark.operators import parity
 from tallymark.operators.metrics import Wanted, metric_table
 from tallymark.operators.rules import expression, in_range, not_null, referential, unique
-from tallymark.operators.history import roll_up
+from tallymark.operators.history import append_history, read_history, roll_up
 from tallymark.operators.scripts import dual_frames, dual_value
 from tallymark.operators.sides import stack, tagged_union
 from tallymark.plans.runner import plan_all, run
+from tallymark.session import scratch_dir
 from workload.inputs import DOCUMENTS_COPY, DST, LINEITEM_COPY, SRC_A, SRC_B
 from workload.registry import Tables, duck, query
 
@@ -472,3 +473,30 @@ SELECT count(*) AS total_checkpoints, count(*) FILTER (status = 'PASS') AS pass_
 """)
 def run_rollup(t: Tables) -> DataFrame:
     return roll_up(run(t.spark, *suite(t)).results).drop("run_id")
+
+
+@query("history_round_trip", """
+SELECT 'row count' AS test_name, 'TC-001' AS test_label, 'critical' AS severity, 'manual' AS origin, 'as many rows' AS description,
+       'PASS' AS status, 'passed' AS run_status, DATE '2024-05-06' AS run_date
+UNION ALL SELECT 'keys', 'TC-002', 'error', 'proposed', '', 'PASS', 'passed', DATE '2024-05-06'
+""")
+def history_round_trip(t: Tables) -> DataFrame:
+    """A suite with an inactive check, stored twice under one run id next to an older run, read back from its day on."""
+    folder = scratch_dir(t.spark, "history")
+    mapping = Mapping("orders", {"orders": t.orders}, {"copy": t.orders})
+    checks = [
+        RowCountMatch(name="row count", severity="critical", description="as many rows"),
+        KeyParity(name="keys", key="o_orderkey", origin="proposed"),
+        RuleCheck(name="asleep", rule=not_null("o_orderkey"), active=False),
+    ]
+    outcome = run(t.spark, mapping, checks, suite_id="s1", run_id="r1")
+    at = lambda text: outcome.runs.withColumn("started_at", F.lit(text).cast("timestamp"))
+    old = outcome.results.withColumn("run_id", F.lit("r0")), at("2024-01-02 03:04:05").withColumn("id", F.lit("r0"))
+    append_history(old[1], old[0], folder)
+    for _ in range(2):
+        append_history(at("2024-05-06 07:08:09"), outcome.results, folder)
+    runs, results = read_history(t.spark, folder)
+    days = [df.filter(F.col("run_date") >= F.lit("2024-03-01").cast("date")) for df in (runs, results)]
+    states = days[0].select(F.col("id").alias("run_id"), F.col("status").alias("run_status"))
+    return days[1].join(states, "run_id").select(
+        "test_name", "test_label", "severity", "origin", "description", "status", "run_status", "run_date")

@@ -212,3 +212,4 @@ def rule_all_tables(t: Tables) -> DataFrame:
         RuleCheck(name="priority filled", rule=rules.not_null("o_orderpriority")),
     ]
     return run(t.spark, mapping, checks).results.select("test_name", "rule_target", "status", "violations", "total_rows")
+

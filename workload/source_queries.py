@@ -87,13 +87,63 @@ def ingest_ndjson(t: Tables) -> DataFrame:
 
 
 @query("ingest_parquet", """
-SELECT vec_id, label, CAST(len(embedding) AS INT) AS width FROM embeddings
+SELECT vec_id, label, CAST(len(embedding) AS INT) AS width, CAST(unnest(range(len(embedding))) AS INT) AS pos, unnest(embedding) AS cell FROM embeddings
 """)
 def ingest_parquet(t: Tables) -> DataFrame:
-    """A list column becomes one text; the row count stays."""
+    """A list column becomes one text that holds every number of the list; the row count stays."""
     flat = files.read_table(t.spark, f"{t.folder}/embeddings.parquet")
-    width = F.size(F.from_json("embedding", "array<double>"))
-    return flat.select("vec_id", "label", width.alias("width"))
+    cells = F.from_json("embedding", "array<float>")
+    return flat.select("vec_id", "label", F.size(cells).alias("width"), F.posexplode(cells).alias("pos", "cell"))
+
+
+@query("ingest_json", """
+SELECT c_custkey, c_name AS "c.name", CAST(c_nationkey AS BIGINT) AS "c.nation", c_acctbal AS balance FROM customer
+""")
+def ingest_json(t: Tables) -> DataFrame:
+    """Arrays of objects, one per file."""
+    folder = scratch_dir(t.spark, "json")
+    nested = F.struct("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("c"), F.col("c_acctbal").alias("balance"))
+    arrays = t.customer.groupBy(F.col("c_custkey") % 3).agg(F.to_json(F.collect_list(nested)).alias("value"))
+    arrays.select("value").repartition(3).write.text(folder, lineSep="\n")
+    return files.read_table(t.spark, folder, "json")
+
+
+@query("ingest_to_table", """
+SELECT 'orders_2024' AS stem, CAST((SELECT count(*) FROM supplier) AS BIGINT) AS row_count, CAST(4 AS BIGINT) AS column_count,
+       (SELECT count(*) FROM supplier) AS stored
+""")
+def ingest_to_table(t: Tables) -> DataFrame:
+    """A file becomes a table of the catalog under a safe name."""
+    folder = scratch_dir(t.spark, "table")
+    t.supplier.write.csv(folder, header=True)
+    made = files.ingest(t.spark, folder, "Orders 2024.csv", "csv")
+    try:
+        stored = t.spark.table(made["table"]).count()
+    finally:
+        t.spark.sql(f"DROP TABLE `{made['table']}`")
+    stem = made["table"][:len("orders_2024")]
+    return t.spark.createDataFrame([(stem, made["row_count"], made["column_count"], stored)], "stem string, row_count bigint, column_count bigint, stored bigint")
+
+
+@query("xml_reread", """
+SELECT 'note' AS element, count(*) * 2 AS rows, 'note' AS columns FROM supplier
+UNION ALL SELECT 'supplier', count(*), '@key,name' FROM supplier
+""")
+def xml_reread(t: Tables) -> DataFrame:
+    """A table of the most frequent element is built again from another one."""
+    folder = scratch_dir(t.spark, "reread")
+    body = F.concat(*(F.concat(F.lit(f"<note>{n} "), F.col("s_suppkey").cast("string"), F.lit("</note>")) for n in "ab"),
+                    F.lit('<supplier key="'), F.col("s_suppkey").cast("string"), F.lit('"><name>'), F.col("s_name"), F.lit("</name></supplier>"))
+    whole = t.supplier.agg(F.concat(F.lit("<all>"), F.array_join(F.collect_list(body), ""), F.lit("</all>")).alias("value"))
+    whole.coalesce(1).write.text(folder)
+    made = files.ingest(t.spark, folder, "notes reread", "xml")
+    first = t.spark.table(made["table"])
+    rows = [("note", first.count(), ",".join(first.columns))]
+    again = files.reingest_xml(t.spark, folder, made["table"], "supplier")
+    second = t.spark.table(again["table"])
+    rows.append(("supplier", second.count(), ",".join(second.columns)))
+    t.spark.sql(f"DROP TABLE `{again['table']}`")
+    return t.spark.createDataFrame(rows, "element string, rows bigint, columns string")
 
 
 @query("ingest_xml", """
