@@ -12,13 +12,6 @@ from pyspark.sql import types as T
 
 from tallymark.operators.sides import stack
 
-# Prefixes of containers the platform creates for itself.
-INTERNAL_PREFIXES = (
-    "staginglakehousefordataflows",
-    "dataflowsstaginglakehouse",
-    "dataflowsstagingwarehouse",
-)
-
 COLUMN_TYPE = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("data_type", T.StringType()),
     T.StructField("nullable", T.BooleanType()), T.StructField("position", T.IntegerType()),
@@ -121,7 +114,8 @@ def harvested_only(tables: DataFrame, harvested: DataFrame | None) -> DataFrame:
     return tables.join(harvested.select("table_name").distinct(), "table_name", "left_semi")
 
 
-def without_internal(df: DataFrame, column: str = "name", prefixes: Sequence[str] = INTERNAL_PREFIXES) -> DataFrame:
+def without_internal(df: DataFrame, prefixes: Sequence[str], column: str = "name") -> DataFrame:
+    """Rows whose name begins with none of the prefixes, case aside."""
     name = F.lower(F.trim(F.col(column)))
     internal = F.lit(False)
     for prefix in prefixes:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark import model
 from tallymark.functions.columns import c
 from tallymark.functions.text import literal, q, text
+from tallymark.model import RuleCheck
+from tallymark.operators.rules import expression, unique
 from tallymark.operators.verdicts import NUMBERS
 
 DUPLICATE = "Duplicate of an existing rule"
@@ -64,37 +66,104 @@ def common_values(df: DataFrame, columns: Sequence[str], n: int = FEW_VALUES) ->
     return counts.withColumn("place", place).filter(F.col("place") <= n).drop("place")
 
 
-def candidate_rules(profiled: DataFrame, table: str) -> DataFrame:
-    """Rules the profile holds for: ``position, name, table_name, column_name, validation_type, condition``."""
-    column, rows = F.col("column_name"), F.col("rows")
-    quoted = F.concat(F.lit("`"), column, F.lit("`"))
-
-    def rule(when: Column, kind: str, name: Column, condition: Column) -> Column:
-        return F.when(when, F.struct(F.lit(kind).alias("validation_type"), name.alias("name"), condition.alias("condition")))
-
-    quote = F.when(F.col("family") == "number", F.lit("")).otherwise(F.lit("'"))
-    bounds = F.concat(quoted, F.lit(" between "), quote, F.col("low"), quote, F.lit(" and "), quote, F.col("high"), quote)
-    rules = F.array(
-        rule((F.col("nulls") == 0) & (rows > 0), model.NULLS, F.concat(column, F.lit(" is filled")),
-             F.concat(quoted, F.lit(" is not null"))),
-        rule((rows > 0) & (F.col("distinct_estimate") >= rows * 0.95) & (F.col("nulls") == 0), model.UNIQUENESS,
-             F.concat(column, F.lit(" is unique")), F.lit(None).cast("string")),
-        rule(F.col("family").isin("number", "moment") & F.col("low").isNotNull(), model.RANGE,
-             F.concat(column, F.lit(" in range")), bounds),
-        rule((F.col("family") == "text") & (F.col("distinct_estimate") > FEW_VALUES), model.LENGTH,
-             F.concat(column, F.lit(" length")),
-             F.concat(F.lit("length("), quoted, F.lit(") between "), F.col("min_length").cast("string"), F.lit(" and "),
-                      F.col("max_length").cast("string"))),
-        rule((F.col("family") == "text") & F.col("distinct_estimate").between(1, FEW_VALUES), model.CATEGORICAL,
-             F.concat(column, F.lit(" allowed")), F.lit(None).cast("string")),
-    )
-    exploded = profiled.select(
-        F.col("position").alias("at"), "column_name", F.posexplode(rules).alias("i", "r")
-    ).filter("r is not null")
-    return exploded.select(
-        (F.col("at") * 10 + F.col("i")).alias("position"), "r.name", F.lit(table).alias("table_name"), "column_name",
-        "r.validation_type", "r.condition",
-    )
+CANDIDATE_SCHEMA = "position int, name string, table_name string, column_name string, validation_type string, condition string"
+
+
+def repeated(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
+    """For each column whether any of its values occurs twice, from one exact grouping of digests."""
+    if not columns:
+        return {}
+    pairs = F.array(*(
+        F.struct(F.lit(i).alias("i"), F.xxhash64(c(name)).alias("h"), F.unhex(F.md5(F.expr(text(q(name), df.schema[name].dataType)))).alias("v"))
+        for i, name in enumerate(columns)
+    ))
+    copies = df.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.h", "p.v").agg(F.count(F.lit(1)).alias("n"))
+    most = {r.i: r.n for r in copies.groupBy("i").agg(F.max("n").alias("n")).collect()}
+    return {name: most.get(i, 0) > 1 for i, name in enumerate(columns)}
+
+
+def few_values(df: DataFrame, column: str, n: int = FEW_VALUES) -> list[str] | None:
+    """The column's values in order as SQL literals, None when there are more than n."""
+    dtype = df.schema[column].dataType
+    rows = df.where(c(column).isNotNull()).groupBy(F.expr(text(q(column), dtype)).alias("v")).agg(F.lit(1)).orderBy("v").limit(n + 1).collect()
+    return None if len(rows) > n else [literal(r.v) for r in rows]
+
+
+def candidate_rules(df: DataFrame, table: str) -> DataFrame:
+    """Rules that hold on every row: ``position, name, table_name, column_name, validation_type, condition``.
+
+    The profile says what is worth a closer look; that a column is unique, or holds few values, is then
+    confirmed exactly. A condition is one for rows, except of uniqueness, which is one for the table.
+    """
+    profiled = profile(df).collect()
+    near = [r.column_name for r in profiled if r.rows and not r.nulls and r.distinct_estimate >= r.rows * 0.9]
+    twice = repeated(df, near)
+    found = []
+    for r in profiled:
+        name, at = q(r.column_name), df.schema[r.column_name].dataType
+        if not r.rows:
+            continue
+        made: list[tuple[int, str, str, str]] = []
+        if not r.nulls:
+            made.append((0, "is filled", model.NULLS, f"{name} is not null"))
+        if twice.get(r.column_name) is False:
+            made.append((1, "is unique", model.UNIQUENESS, f"count(distinct {name}) = count(*)"))
+        if r.family in ("number", "moment") and r.low is not None:
+            low, high = (v if r.family == "number" else f"cast({literal(v)} as {at.simpleString()})" for v in (r.low, r.high))
+            made.append((2, "in range", model.RANGE, f"{name} between {low} and {high}"))
+        if r.family == "text" and r.distinct_estimate:
+            allowed = few_values(df, r.column_name) if r.distinct_estimate <= FEW_VALUES * 1.5 else None
+            if allowed:
+                made.append((4, "allowed", model.CATEGORICAL, f"{name} in ({', '.join(allowed)})"))
+            else:
+                made.append((3, "length", model.LENGTH, f"length({name}) between {r.min_length} and {r.max_length}"))
+        found += [(r.position * 10 + i, f"{r.column_name} {said}", table, r.column_name, kind, condition) for i, said, kind, condition in made]
+    return df.sparkSession.createDataFrame(found, CANDIDATE_SCHEMA)
+
+
+def as_check(candidate: Row, side: str = "source", null_passes: bool = True) -> RuleCheck:
+    """A candidate rule as a check; rows whose condition is unknown pass, as they did when it was proposed."""
+    table, column, condition = candidate.table_name, candidate.column_name, candidate.condition
+    if candidate.validation_type == model.UNIQUENESS:
+        rule = lambda rows: unique(rows, [column])
+    else:
+        rule = expression(f"coalesce({condition}, true)" if null_passes else condition, candidate.name)
+    return RuleCheck(name=candidate.name, validation_type=candidate.validation_type, origin="proposed", rule=rule, side=side, table=table)
+
+
+def candidate_pairs(source: DataFrame, destination: DataFrame) -> DataFrame:
+    """Column checks worth proposing for two tables: ``name, source_column, destination_column, validation_type``.
+
+    Columns pair up when their names are equal but for case and both are numbers, moments or texts.
+    """
+    theirs = {f.name.casefold(): f for f in destination.schema.fields}
+    kinds = {
+        "number": (model.NULLS, model.RANGE, model.UNIQUENESS), "moment": (model.NULLS, model.RANGE, model.FRESHNESS),
+        "text": (model.NULLS, model.LENGTH, model.CATEGORICAL),
+    }
+    found = []
+    for f in source.schema.fields:
+        other = theirs.get(f.name.casefold())
+        if other is not None and _family(f.dataType) == _family(other.dataType):
+            found += [(f"{f.name}: {kind}", f.name, other.name, kind) for kind in kinds[_family(f.dataType)]]
+    return source.sparkSession.createDataFrame(found, "name string, source_column string, destination_column string, validation_type string")
+
+
+def candidate_keys(source: DataFrame, destination: DataFrame) -> DataFrame:
+    """Columns that could be the key of key parity: paired, and filled and without a repeat in the source.
+
+    ``source_column, destination_column, destination_unique``.
+    """
+    pairs = {(r.source_column, r.destination_column) for r in candidate_pairs(source, destination).collect()}
+
+    def unique_of(df: DataFrame, names: set[str]) -> set[str]:
+        near = [r.column_name for r in profile(df).collect() if r.column_name in names and r.rows and not r.nulls and r.distinct_estimate >= r.rows * 0.9]
+        return {name for name, twice in repeated(df, near).items() if not twice}
+
+    ours = unique_of(source, {s for s, _ in pairs})
+    theirs = unique_of(destination, {d for s, d in pairs if s in ours})
+    rows = [(s, d, d in theirs) for s, d in sorted(pairs) if s in ours]
+    return source.sparkSession.createDataFrame(rows, "source_column string, destination_column string, destination_unique boolean")
 
 
 def name_signature(name: Column) -> Column:

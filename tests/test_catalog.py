@@ -72,14 +72,17 @@ def test_drift(spark):
 def test_proposals_hold_on_the_table_they_come_from(spark):
     df = spark.range(200).selectExpr("id", "concat('name ', id) as name", "if(id % 2 = 0, 'x', 'y') as flag", "id * 1.5D as amount",
                                      "if(id = 3, null, id) as gap")
-    found = p.candidate_rules(p.profile(df), "t").collect()
+    found = p.candidate_rules(df, "t").collect()
     kinds = {(r.column_name, r.validation_type) for r in found}
     assert ("gap", "Null Value Constraint") not in kinds and ("flag", "Categorical Constraint") in kinds
     assert ("name", "Length Constraint") in kinds and ("id", "Uniqueness Constraint") in kinds
+    almost = spark.range(200).selectExpr("if(id = 7, 8, id) as id", "'it''s' as `odd``name`")
+    assert {(r.column_name, r.condition) for r in p.candidate_rules(almost, "t").collect() if r.validation_type in ("Uniqueness Constraint", "Categorical Constraint")} == {
+        ("odd`name", "`odd``name` in ('it\\'s')")}
     for r in found:
-        if r.condition:
+        if r.validation_type != "Uniqueness Constraint":
             assert df.filter(f"not coalesce({r.condition}, true)").isEmpty(), r.condition
-    assert p.owned_everywhere(p.candidate_rules(p.profile(df), "t"), ["id"]).select("column_name").distinct().count() == 1
+    assert p.owned_everywhere(p.candidate_rules(df, "t"), ["id"]).select("column_name").distinct().count() == 1
 
 
 def test_duplicate_proposals(spark):

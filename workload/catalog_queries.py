@@ -7,11 +7,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.model import SOURCE_ONLY, ColumnParity, Mapping
 from tallymark.operators import catalog as k
 from tallymark.operators import proposals as p
 from tallymark.operators.sides import stack
 from tallymark.operators.verdicts import together
-from workload.inputs import ASSETS, HARVESTED
+from tallymark.plans.runner import run
+from workload.inputs import ASSETS, DST, HARVESTED
 from workload.registry import TABLES, Tables, duck, query
 
 A, H = duck(ASSETS), duck(HARVESTED)
@@ -62,33 +64,65 @@ def snapshot_diff(t: Tables) -> DataFrame:
     return k.snapshot_diff(snapshot(before), snapshot(after))
 
 
+# Prefixes of containers the platform creates for itself.
+INTERNAL_PREFIXES = (
+    "staginglakehousefordataflows",
+    "dataflowsstaginglakehouse",
+    "dataflowsstagingwarehouse",
+)
 HARVESTED_TABLES = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"),
     "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                 "l_returnflag", "l_linestatus", "l_shipdate"),
     "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
-    "labels": ("doc_id", "quality", "toxic"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"), "embeddings": ("vec_id", "embedding", "label"),
+    "pages": ("page_id", "url", "html"), "benchmark": ("item_id", "text"), "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn", "role", "text"),
 }
 
 
+def harvested(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Assets and job record of a harvest of all tables and of one item that cannot be read."""
+    items = [{"id": name, "name": name, "type": "Table"} for name in (*HARVESTED_TABLES, "absent")]
+    return k.harvest(
+        t.spark, items, lambda item: {item["name"]: getattr(t, item["name"])}, "c1", "lake", "lake", datetime(2026, 1, 1)
+    )
+
+
 @query("harvest_columns", " UNION ALL ".join(
     f"SELECT 'lake:{table}' AS asset_id, '{table}' AS table_name, '{name}' AS column_name, CAST({i} AS INT) AS position, "
     f"count(*) AS rows, count(*) - count({name}) AS nulls FROM {table}"
     for table, names in HARVESTED_TABLES.items() for i, name in enumerate(names)
 ))
 def harvest_columns(t: Tables) -> DataFrame:
-    """The harvested columns of three tables with the rows and nulls a profile finds in them."""
-    items = [{"id": name, "name": name, "type": "Table"} for name in HARVESTED_TABLES]
-    assets, _ = k.harvest(
-        t.spark, items, lambda item: {item["name"]: getattr(t, item["name"])}, "c1", "lake", "lake", datetime(2026, 1, 1)
-    )
-    figures = [
-        p.profile(getattr(t, name)).select(F.lit(name).alias("table_name"), "column_name", "rows", "nulls")
-        for name in HARVESTED_TABLES
-    ]
+    """The harvested columns of every table with the rows and nulls found in them."""
+    assets, _ = harvested(t)
+    figures = []
+    for name, columns in HARVESTED_TABLES.items():
+        counted = getattr(t, name).agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(n).isNull()).alias(n) for n in columns))
+        entries = F.array(*(F.struct(F.lit(n).alias("column_name"), F.col("rows"), F.col(n).alias("nulls")) for n in columns))
+        figures.append(counted.select(F.lit(name).alias("table_name"), F.explode(entries).alias("e")).select("table_name", "e.*"))
     return k.asset_columns(assets).select("asset_id", "table_name", "column_name", "position").join(
         stack(figures), ["table_name", "column_name"]
     )
 
 
+@query("harvest_job", f"""
+SELECT 'lake' AS connector_type, 'incremental' AS mode, CAST({len(HARVESTED_TABLES)} AS INT) AS asset_count, 'success' AS status, true AS says_why,
+       {" + ".join(f"(SELECT count(*) FROM {name})" for name in HARVESTED_TABLES)} AS rows
+""")
+def harvest_job(t: Tables) -> DataFrame:
+    """The record of a harvest in which one item failed, with the rows of what was found."""
+    assets, job = harvested(t)
+    rows = k.table_counts({name: getattr(t, name) for name in HARVESTED_TABLES}).agg(F.sum("row_count").alias("rows"))
+    said = job.select("connector_type", "mode", F.col("asset_count").cast("int").alias("asset_count"), "status", F.col("error_message").isNotNull().alias("says_why"))
+    return said.withColumn("rows", F.lit(rows.first().rows))
+
+
 DRIFT_BEFORE = """
 SELECT p_brand AS table_name, concat('c', CAST(p_partkey AS VARCHAR(20))) AS column_name, p_type AS data_type
 FROM {part} WHERE p_partkey % 5 <> 0
@@ -198,7 +232,7 @@ def without_internal(t: Tables) -> DataFrame:
         F.when(F.col("doc_id") % 4 == 0, F.lit("StagingLakehouseForDataflows_"))
         .when(F.col("doc_id") % 4 == 1, F.lit(" DataflowsStagingWarehouse")).otherwise(F.lit("staging_"))
     )
-    return k.without_internal(t.documents.select("doc_id", F.concat(prefix, "source").alias("name")))
+    return k.without_internal(t.documents.select("doc_id", F.concat(prefix, "source").alias("name")), INTERNAL_PREFIXES)
 
 
 # --- rule proposals -----------------------------------------------------------------------------
@@ -225,22 +259,66 @@ SELECT {i * 10} AS position, '{name}' AS column_name, {number} AS is_number, {te
 ))
 
 
-@query("candidate_rules", f"""
-WITH c AS (SELECT *, '`' || column_name || '`' AS q, CASE WHEN is_number THEN '' ELSE '''' END AS m FROM ({CANDIDATES}))
+RULES = f"""
+WITH c AS (SELECT *, '`' || column_name || '`' AS q FROM ({CANDIDATES})),
+allowed AS (SELECT 'o_orderstatus' AS column_name, string_agg(DISTINCT chr(39) || o_orderstatus || chr(39), ', ' ORDER BY chr(39) || o_orderstatus || chr(39)) AS list FROM orders
+            UNION ALL SELECT 'o_orderpriority', string_agg(DISTINCT chr(39) || o_orderpriority || chr(39), ', ' ORDER BY chr(39) || o_orderpriority || chr(39)) FROM orders)
 SELECT position, column_name || ' is filled' AS name, column_name, 'Null Value Constraint' AS validation_type,
        q || ' is not null' AS condition FROM c WHERE filled = rows
-UNION ALL SELECT position + 1, column_name || ' is unique', column_name, 'Uniqueness Constraint', NULL FROM c
-  WHERE filled = rows AND n_distinct >= rows * 0.95
+UNION ALL SELECT position + 1, column_name || ' is unique', column_name, 'Uniqueness Constraint', 'count(distinct ' || q || ') = count(*)' FROM c
+  WHERE filled = rows AND n_distinct = rows
 UNION ALL SELECT position + 2, column_name || ' in range', column_name, 'Boundary Range Constraint',
-  q || ' between ' || m || low || m || ' and ' || m || high || m FROM c WHERE NOT is_text
+  q || ' between ' || CASE WHEN is_number THEN low || ' and ' || high
+  ELSE 'cast(' || chr(39) || low || chr(39) || ' as timestamp_ntz) and cast(' || chr(39) || high || chr(39) || ' as timestamp_ntz)' END FROM c WHERE NOT is_text
 UNION ALL SELECT position + 3, column_name || ' length', column_name, 'Length Constraint',
   'length(' || q || ') between ' || short || ' and ' || long FROM c WHERE is_text AND n_distinct > 20
-UNION ALL SELECT position + 4, column_name || ' allowed', column_name, 'Categorical Constraint', NULL FROM c
+UNION ALL SELECT position + 4, column_name || ' allowed', column_name, 'Categorical Constraint', q || ' in (' || list || ')' FROM c JOIN allowed USING (column_name)
   WHERE is_text AND n_distinct <= 20
-""")
+"""
+
+
+@query("candidate_rules", RULES)
 def candidate_rules(t: Tables) -> DataFrame:
-    """Rules that the profile of the orders holds for."""
-    return p.candidate_rules(p.profile(t.orders), "orders").drop("table_name")
+    """Rules that hold on every one of the orders."""
+    return p.candidate_rules(t.orders, "orders").drop("table_name")
+
+
+@query("candidate_checks", f"SELECT name, 'PASS' AS status, CAST(0 AS DOUBLE) AS violations, (SELECT count(*) FROM orders) AS total_rows FROM ({RULES})")
+def candidate_checks(t: Tables) -> DataFrame:
+    """Each proposed rule, run as a check of the table it was proposed for."""
+    mapping = Mapping("orders", {"orders": t.orders}, kind=SOURCE_ONLY)
+    checks = [p.as_check(r) for r in p.candidate_rules(t.orders, "orders").collect()]
+    return run(t.spark, mapping, checks).results.select(F.col("test_name").alias("name"), "status", "violations", "total_rows")
+
+
+PAIR_COLUMNS = (("o_orderkey", 0), ("o_custkey", 0), ("o_orderstatus", 2), ("o_orderpriority", 2), ("o_orderdate", 1))
+PAIR_KINDS = (
+    ("Null Value Constraint", "Boundary Range Constraint", "Uniqueness Constraint"), ("Null Value Constraint", "Boundary Range Constraint", "Data Freshness"),
+    ("Null Value Constraint", "Length Constraint", "Categorical Constraint"),
+)
+
+
+@query("candidate_pairs", " UNION ALL ".join(
+    f"SELECT '{name}' AS source_column, '{name}' AS destination_column, '{kind}' AS validation_type, true AS admitted, (SELECT count(*) FROM orders) AS rows"
+    for name, family in PAIR_COLUMNS for kind in PAIR_KINDS[family]))
+def candidate_pairs(t: Tables) -> DataFrame:
+    """Column checks proposed for the orders and their copy; each is admitted and gives a verdict."""
+    mapping = Mapping("pair", {"orders": t.orders}, {"dst": t.sql(DST)})
+    found = p.candidate_pairs(t.orders, t.sql(DST)).collect()
+    checks = [ColumnParity(name=r.name, validation_type=r.validation_type, source_column=r.source_column, destination_column=r.destination_column) for r in found]
+    verdicts = run(t.spark, mapping, checks).results.select("test_name", (F.col("status") != "ERROR").alias("admitted"))
+    proposed = p.candidate_pairs(t.orders, t.sql(DST)).join(verdicts, F.col("name") == F.col("test_name"))
+    rows = t.orders.agg(F.count(F.lit(1)).alias("rows"))
+    return proposed.select("source_column", "destination_column", "validation_type", "admitted").withColumn("rows", F.lit(rows.first().rows))
+
+
+@query("candidate_keys", f"""
+SELECT 'o_orderkey' AS source_column, 'o_orderkey' AS destination_column,
+       (SELECT count(*) = count(DISTINCT o_orderkey) FROM ({duck(DST)})) AS destination_unique
+FROM (SELECT 1) WHERE (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders)
+""")
+def candidate_keys(t: Tables) -> DataFrame:
+    return p.candidate_keys(t.orders, t.sql(DST))
 
 
 @query("common_values", """
