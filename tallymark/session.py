@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -45,11 +47,14 @@ def quoted_identifiers(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(IDENTIFIER_CONF, before)
 
 
+_made: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. A machine-local
-    folder is only set up where the session runs in one process, as in tests.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only a session in one process that
+    names none, as in tests, gets a folder of its own; on a cluster that is an error.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not root:
@@ -57,4 +62,19 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="tallymark-")
         spark.conf.set(CHECKPOINT_CONF, root)
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    if not _made:
+        atexit.register(drop_scratch)
+    _made.append(os.path.join(root, f"{purpose}-{uuid.uuid4().hex}"))
+    return _made[-1]
+
+
+def drop_scratch() -> None:
+    """Delete every scratch folder of this process; frames that read one can't be used after that.
+
+    Called when the process ends, and by a long-lived driver once its results are written.
+    """
+    gateway = SparkContext._gateway
+    while _made and gateway is not None:
+        with suppress(Exception):  # the JVM may be gone already
+            path = gateway.jvm.org.apache.hadoop.fs.Path(_made.pop())
+            path.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)

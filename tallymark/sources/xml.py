@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 from xml.parsers import expat
 
 import pandas as pd
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.columns import c
+from tallymark.operators.sides import stack
 
 TEXT = "_VALUE"
-COUNTS = "root string, tag string, children long, strays long, files long"
+COUNTS = "path string, root string, tag string, children long, strays long"
 
 
 def local_name(tag: str) -> str:
@@ -50,12 +52,12 @@ def count_children(content: bytes) -> tuple[str, Counter, Counter]:
 def _count_files(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for content in batch["content"]:
+        for path, content in zip(batch["path"], batch["content"]):
             root, direct, deeper = count_children(bytes(content))
-            rows.append((root, "", 0, 0, 1))
-            rows += [(root, tag, n, 0, 0) for tag, n in direct.items()]
-            rows += [(root, tag, 0, n, 0) for tag, n in deeper.items()]
-        yield pd.DataFrame(rows, columns=["root", "tag", "children", "strays", "files"])
+            rows.append((path, root, "", 0, 0))
+            rows += [(path, root, tag, n, 0) for tag, n in direct.items()]
+            rows += [(path, root, tag, 0, n) for tag, n in deeper.items()]
+        yield pd.DataFrame(rows, columns=["path", "root", "tag", "children", "strays"])
 
 
 @dataclass(frozen=True)
@@ -68,29 +70,38 @@ class Layout:
     strays: bool = False
 
 
-def find_layout(spark: SparkSession, path: str, record_element: str | None = None) -> Layout:
-    """Pick the record element; only the counts per tag reach the driver."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    counted = files.mapInPandas(_count_files, COUNTS).groupBy("root", "tag").agg(
+def find_layouts(spark: SparkSession, path: str, record_element: str | None = None) -> list[tuple[Layout, list[str] | None]]:
+    """A layout for each root element that the documents have, with the files of that root (None: all files).
+
+    Only counts per root and tag reach the driver, and file names where there are several roots.
+    """
+    counts = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_count_files, COUNTS)
+    counted = counts.groupBy("root", "tag").agg(
         F.sum("children").alias("children"), F.max("children").alias("most"), F.sum("strays").alias("strays"),
-        F.sum("files").alias("files"),
     ).collect()
-    root = max((r for r in counted if r.tag == ""), key=lambda r: r.files).root
-    tags = {r.tag: r for r in counted if r.tag and r.children and r.root == root}
-    ranked = sorted(tags, key=lambda t: -tags[t].children)
-    names = tuple(ranked)
-    if record_element is not None and record_element not in names:
-        raise ValueError(f"no <{record_element}> under the root; there are: {', '.join(names)}")
-    if not ranked:
+    roots = sorted({r.root for r in counted})
+    if record_element is not None and not any(r.tag == record_element and r.children for r in counted):
+        known = sorted({r.tag for r in counted if r.tag and r.children})
+        raise ValueError(f"<{record_element}> is no child of a root; the children are {', '.join(known)}")
+    files: dict[str, list[str]] = {}
+    if len(roots) > 1:
+        for row in counts.where("tag = ''").select("root", "path").toLocalIterator():
+            files.setdefault(row.root, []).append(unquote(row.path))
+    return [(_layout(root, [r for r in counted if r.root == root], record_element), files.get(root)) for root in roots]
+
+
+def _layout(root: str, counted: list, record_element: str | None) -> Layout:
+    tags = {r.tag: r for r in counted if r.tag and r.children}
+    names = tuple(sorted(tags, key=lambda t: -tags[t].children))
+    if not names or (record_element is not None and record_element not in names):
         return Layout(root, (), None)
-    alone = len(ranked) > 1 and all(tags[t].most == 1 for t in ranked)
-    if record_element is None and alone:
+    if record_element is None and len(names) > 1 and all(tags[t].most == 1 for t in names):
         return Layout(root, names, None)
-    chosen = record_element or ranked[0]
+    chosen = record_element or names[0]
     return Layout(root, names, chosen, strays=any(r.strays for r in counted if r.tag == chosen))
 
 
-def _reader(spark: SparkSession, path: str, tag: str) -> DataFrame:
+def _reader(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:
     return spark.read.format("xml").options(
         rowTag=tag, attributePrefix="@", valueTag=TEXT, inferSchema="false", ignoreNamespace="true", mode="FAILFAST",
         nullValue="", ignoreSurroundingSpaces="true",
@@ -147,11 +158,18 @@ def read_xml(spark: SparkSession, path: str, record_element: str | None = None)
     The most frequent child of the root is a record. A root without children has no records
     and a root with several different children, each there once, is itself one record. When
     the record's name also turns up elsewhere in the document, records are taken from the
-    root, which reads each file in one task.
+    root, which reads each file in one task. Documents with different roots are read root by root,
+    and a column that one kind of record lacks is NULL there.
     """
-    layout = find_layout(spark, path, record_element)
-    if not layout.candidates:
+    parts = [
+        _records(spark, files or path, layout) for layout, files in find_layouts(spark, path, record_element) if layout.candidates
+    ]
+    if not parts:
         return spark.createDataFrame([], "value string")
+    return stack(parts, fill=True)
+
+
+def _records(spark: SparkSession, path: str | list[str], layout: Layout) -> DataFrame:
     if layout.chosen is None:
         records, element = _reader(spark, path, layout.root), layout.root
     elif layout.strays:

@@ -9,10 +9,10 @@ from tallymark.sources import files
 from tallymark.sources.append import append_rows, cast_to, read_staged, split_rejected, write_rows
 from tallymark.sources.flatten import flatten
 from tallymark.sources.typing import settle_types
-from tallymark.sources.xml import find_layout
+from tallymark.sources.xml import find_layouts
 
-PEOPLE = [(1, "alice", "eng", 100), (2, "bob", "eng", 200), (3, "carol", "ops", 300), (4, "dave", "ops", 400)]
-FIELDS = ("id", "name", "dept", "salary")
+PEOPLE = [(11, "Wren", "kiln", 7), (12, "Tarn", "loom", 9), (13, "Fell", "kiln", 8)]
+FIELDS = ("tag", "maker", "room", "pots")
 
 
 def put(path, content):
@@ -41,10 +41,10 @@ def test_the_same_records_in_every_format(spark, tmp_path):
         put(tmp_path / "p.xml", "<people>" + "".join(
             "<person>" + "".join(f"<{k}>{v}</{k}>" for k, v in o.items()) + "</person>" for o in objects) + "</people>"),
     ]
-    spark.createDataFrame(PEOPLE, "id bigint, name string, dept string, salary bigint").write.parquet(str(tmp_path / "p.parquet"))
+    spark.createDataFrame(PEOPLE, "tag bigint, maker string, room string, pots bigint").write.parquet(str(tmp_path / "p.parquet"))
     tables = [files.read_table(spark, p) for p in [*paths, str(tmp_path / "p.parquet")]]
-    want_types = {"id": "bigint", "name": "string", "dept": "string", "salary": "bigint"}
-    want = sorted(((d, i, n, s) for i, n, d, s in PEOPLE), key=str)
+    want_types = {"tag": "bigint", "maker": "string", "room": "string", "pots": "bigint"}
+    want = sorted(((m, p, r, t) for t, m, r, p in PEOPLE), key=str)
     for path, df in zip([*paths, "parquet"], tables):
         assert dict(df.dtypes) == want_types, path
         assert rows(df) == want, path
@@ -117,9 +117,9 @@ def test_xml_record_element(spark, tmp_path):
     df = xml(tmp_path, tricky, spark)
     assert {r.note for r in df.collect()} == {"and me", "ignore me", "ignore me too"} and df.columns == ["note"]
     assert rows(xml(tmp_path, tricky, spark, "order")) == [(5, "A1"), (7, "B2")]
-    with pytest.raises(files.IngestError, match="there are: note, order"):
+    with pytest.raises(files.IngestError, match="children are note, order"):
         xml(tmp_path, tricky, spark, "nope")
-    layout = find_layout(spark, str(tmp_path / "x.xml"))
+    (layout, _), = find_layouts(spark, str(tmp_path / "x.xml"))
     assert (layout.root, layout.candidates, layout.chosen, layout.strays) == ("root", ("note", "order"), "note", False)
 
 
@@ -203,3 +203,28 @@ def test_headers_settle_the_delimiter_or_it_has_to_be_named(spark, tmp_path):
     with pytest.raises(files.IngestError, match="name it"):
         files.read_table(spark, str(tmp_path / "tie.csv"))
     assert files.read_delimited(spark, str(tmp_path / "tie.csv"), sep="|").columns == ["a", "b,c"]
+
+
+def test_documents_with_different_roots_are_all_read(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    put(folder / "a.xml", "<orders><order><id>1</id></order><order><id>2</id></order></orders>")
+    put(folder / "b.xml", "<orders><order><id>3</id></order></orders>")
+    put(folder / "c.xml", "<sales><sale><id>8</id><shop>x</shop></sale><sale><id>9</id></sale></sales>")
+    found = files.read_table(spark, str(folder), "xml")
+    assert rows(found) == [(1, None), (2, None), (3, None), (8, "x"), (9, None)]
+    assert rows(files.read_table(spark, str(folder), "xml", record_element="sale")) == [(8, "x"), (9, None)]
+    with pytest.raises(files.IngestError, match="no child of a root"):
+        files.read_table(spark, str(folder), "xml", record_element="nope")
+
+
+def test_scratch_folders_go_with_the_process(spark):
+    from tallymark import session
+
+    folder = scratch_dir(spark, "gone")
+    spark.range(3).write.parquet(folder)
+    kept, session._made[:] = session._made[:-1], session._made[-1:]
+    session.drop_scratch()
+    session._made[:] = kept
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)

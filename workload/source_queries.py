@@ -147,14 +147,18 @@ def xml_reread(t: Tables) -> DataFrame:
 
 
 @query("ingest_xml", """
-SELECT s_suppkey AS "@key", s_name AS name, CAST(s_nationkey AS BIGINT) AS "place.nation", s_acctbal AS "place.balance" FROM supplier
+SELECT s_suppkey AS "@key", s_name AS name, CAST(s_nationkey AS BIGINT) AS "place.nation", s_acctbal AS "place.balance", CAST(NULL AS BIGINT) AS region FROM supplier
+UNION ALL SELECT n_nationkey, n_name, NULL, NULL, n_regionkey FROM nation
 """)
 def ingest_xml(t: Tables) -> DataFrame:
+    """Documents of two kinds in one folder: suppliers, and under another root nations."""
     folder = scratch_dir(t.spark, "xml")
     place = F.struct(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
     t.supplier.select(
         F.col("s_suppkey").alias("@key"), F.col("s_name").alias("name"), place.alias("place")
     ).write.format("xml").options(rootTag="suppliers", rowTag="supplier", attributePrefix="@").save(folder)
+    t.nation.select(F.col("n_nationkey").alias("@key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).write.mode(
+        "append").format("xml").options(rootTag="nations", rowTag="nation", attributePrefix="@").save(folder)
     return files.read_table(t.spark, folder, "xml")
 
 
