@@ -122,7 +122,8 @@ def fit(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", text: str = "t
 
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
     admitted = rows.withColumn("h", F.xxhash64("doc")).mapInArrow(admit, rows.schema)
-    good = admitted.join(wanted, F.col("doc") == F.col("wanted"), "left_semi")
+    # The number of labels has no bound: they are merged at every size, never broadcast.
+    good = admitted.join(wanted.hint("merge"), F.col("doc") == F.col("wanted"), "left_semi")
     target = bigrams(good, "text", words, ids, size)
     background = bigrams(docs, text, words, ids, size)
     if target.sum():
