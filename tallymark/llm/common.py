@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallymark.session import scratch_dir
 
 #: Bytes of text hashed at once; a longer single text is hashed alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: A bitmap never has more than 2 ** 26 bits (8 MB), however many hashes it holds.
 MOST_BITS_LOG2 = 26
 
