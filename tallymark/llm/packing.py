@@ -31,8 +31,8 @@ SALTS = 64
 DEPTH = 4
 #: Second lengths tried for each longest length.
 TRIES = 12
-#: Words whose ids a worker remembers.
-MEMORY = 1_000_000
+#: Words whose ids a task remembers: so many lately used ones, and as many used before those.
+MEMORY = 300_000
 
 PIECES = "row long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -56,7 +56,7 @@ def encoder(definition: str) -> Callable[[list[str]], list[np.ndarray]]:
     """Ids of texts by a tokenizer's JSON definition, the same as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     Where the definition is a byte-level BPE over lower-cased words that drops white space, each distinct word goes through the
-    model once and is remembered; any other definition encodes whole texts.
+    model once and is remembered, until the function is called without texts; any other definition encodes whole texts.
     """
     import json
 
@@ -85,24 +85,37 @@ def encoder(definition: str) -> Callable[[list[str]], list[np.ndarray]]:
     def as_bytes(ids) -> bytes:
         return packed(f"<{len(ids)}I").pack(*ids)
 
-    class Stems(dict):
-        def __missing__(self, text: str) -> bytes:
-            name = text if text.isascii() and text.isalnum() else "".join([letters[b] for b in text.encode()])
-            found = self[text] = as_bytes([t.id for t in model.tokenize(name)])
-            return found
+    class Memory(dict):
+        """Ids by word. When MEMORY words are in, they become the older half, and words used again come back from there."""
+
+        def __init__(self, make) -> None:
+            super().__init__()
+            self.make, self.older = make, {}
+
+        def forget(self) -> None:
+            self.clear()
+            self.older = {}
 
-    class Words(dict):
         def __missing__(self, text: str) -> bytes:
-            if not text.isascii() and (_FAR.search(text) or not unicodedata.is_normalized("NFC", text)):
-                found = as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
-            elif text.isalpha():
-                found = stems[text]
-            else:
-                found = b"".join([stems[part] for part in pieces(text)])
+            found = self.older.get(text)
+            if found is None:
+                found = self.make(text)
+            if len(self) >= MEMORY:
+                self.older = dict(self)
+                self.clear()
             self[text] = found
             return found
 
-    stems, words = Stems(), Words()
+    def stem(text: str) -> bytes:
+        name = text if text.isascii() and text.isalnum() else "".join([letters[b] for b in text.encode()])
+        return as_bytes([t.id for t in model.tokenize(name)])
+
+    def word(text: str) -> bytes:
+        if not text.isascii() and (_FAR.search(text) or not unicodedata.is_normalized("NFC", text)):
+            return as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
+        return stems[text] if text.isalpha() else b"".join([stems[part] for part in pieces(text)])
+
+    stems, words = Memory(stem), Memory(word)
 
     def encode(text: str) -> np.ndarray:
         if _WHOLE.search(text) or "Σ" in text:
@@ -110,27 +123,21 @@ def encoder(definition: str) -> Callable[[list[str]], list[np.ndarray]]:
         return np.frombuffer(b"".join(map(words.__getitem__, text.lower().split())), "<u4")
 
     def encode_all(texts: list[str]) -> list[np.ndarray]:
-        for memory in (words, stems):
-            if len(memory) > MEMORY:
-                memory.clear()
+        if not texts:  # the task is over
+            words.forget()
+            stems.forget()
         return [encode(t) for t in texts]
 
     return encode_all
 
 
-_encoders: dict[int, Callable] = {}
-
-
 def pieces_of(docs: DataFrame, text: str, row: str, definition: str, end_id: int, window: int) -> DataFrame:
     """Cut every text's ids, with the end id after them, into pieces of a window and one rest."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    mark = zlib.crc32(definition.encode())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if mark not in _encoders:
-            _encoders[mark] = encoder(shared.value)
-        encode = _encoders[mark]
+        encode = encoder(shared.value)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
@@ -143,6 +150,7 @@ def pieces_of(docs: DataFrame, text: str, row: str, definition: str, end_id: int
                         for column, value in zip(out, (key, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["row", "start", "length", "ids_crc32", "doc_tokens"])
+        encode([])
 
     return docs.select(F.col(row).cast("long").alias("row"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
