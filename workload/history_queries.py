@@ -361,7 +361,7 @@ SELECT suite_id, test_case_id, printf('TC-%03d', row_number() OVER (PARTITION BY
 """)
 def check_labels(t: Tables) -> DataFrame:
     """The active checks of every suite, labelled by position."""
-    members = h.suite_cases(t.sql(SUITES), t.sql(MEMBERS), t.sql(CASES), active_only=True)
+    members = h.suite_cases(t.sql(SUITES), t.sql(MEMBERS), t.sql(CASES), active_only=True, ordered=False)
     return h.labelled(members, block=500).select("suite_id", "test_case_id", "test_label")
 
 
