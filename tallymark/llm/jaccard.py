@@ -11,6 +11,7 @@ corpus would separate nothing: every window would hold everything. Regions are t
 2. *Voronoi cells.* Sets whose regions are connected form a cell. Inside, documents are pivots: each set goes to the nearest
    pivot and, by the triangle inequality, also to every pivot that is at most twice the radius farther away, so no link is cut.
    Cells are split again until they are small, or until one component is left; what cannot be split is compared block by block.
+   Large cells are first cut along shingles that are rare in them, so that a passage many texts share holds none together.
 
 Only links that connect are kept, never all pairs of a group. Copies count once: equal sets are one point.
 """
@@ -29,7 +30,7 @@ from tallymark.llm.common import bitmap, components, in_bitmap, mixed, shingle_s
 #: Shingles in a cell that one task joins in memory; larger cells are split over tasks.
 CELL_SHINGLES = 1_000_000
 #: Keys that a task gathers before it sorts them and sends them on.
-FLUSH_KEYS = 1_000_000
+FLUSH_KEYS = 250_000
 #: Pivots that split a large cell.
 PIVOTS = 8
 
@@ -338,6 +339,36 @@ def _distances(members: DataFrame, percent: int) -> DataFrame:
         measure, "cell long, set_id long, n long, shingles binary, label long, pivots array<long>, far array<double>")
 
 
+def _refined(members: DataFrame, percent: int) -> DataFrame:
+    """The same members in finer cells: sets are connected only by shingles that are rare in their cell.
+
+    In any one order of the shingles, linked sets share one of their first ``n - ceil(p n) + 1``. The order is by how many sets
+    of the cell hold a shingle, so a passage that many texts share comes last and no longer connects them; shingles that
+    one set alone holds use up places, and a set whose places are all used up has no link.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 64):  # a row becomes as many rows as it has shingles
+                batch = whole.slice(first, 64)
+                sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("shingles")]
+                sizes = np.array([len(s) for s in sets], np.int64)
+                columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("cell", "set_id", "n")]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(np.concatenate(sets))], ["cell", "set_id", "n", "shingle"])
+
+    tokens = members.select("cell", "set_id", "n", "shingles").mapInArrow(spread, "cell long, set_id long, n long, shingle long")
+    held = tokens.groupBy("cell", "shingle").agg(F.count("*").alias("held")).where("held > 1")
+    own = tokens.join(held, ["cell", "shingle"]).groupBy("cell", "set_id").agg(
+        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
+    places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
+    first = F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))
+    keys = own.select("cell", "set_id", F.explode(first["shingle"]).alias("shingle"))
+    leaders = keys.groupBy("cell", "shingle").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader < last")
+    links = keys.join(leaders, ["cell", "shingle"]).where("set_id > leader").select("set_id", "leader").distinct()
+    cells = components(links, "set_id", "leader")
+    return members.drop("cell").join(cells, F.col("set_id") == F.col("node")).select(F.col("root").alias("cell"), "set_id", "n", "shingles", "label")
+
+
 def _split_large(members: DataFrame, percent: int, most: int) -> list[DataFrame]:
     """Links of cells with more than ``most`` shingles; ``members``: cell, set_id, n, shingles, label."""
     found, level = [], 0
@@ -400,7 +431,9 @@ def group_documents(
     sized = members.join(weights, "cell")
     small = sized.where(F.col("weight") <= cell_shingles).withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(groups)))
     found = [_joined(small.select("group", "cell", "set_id", "shingles", "label"), "group", percent)]
-    found += _split_large(sized.where(F.col("weight") > cell_shingles).drop("weight"), percent, cell_shingles)
+    large = stage(sized.where(F.col("weight") > cell_shingles).drop("weight"), "large")
+    if not large.isEmpty():
+        found += _split_large(_refined(large, percent), percent, cell_shingles)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
