@@ -101,7 +101,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
-    return lmscore.score(docs, lmscore.fit(docs, good))
+    return lmscore.score_corpus(docs, good)
 
 
 @query("op9_quality")
