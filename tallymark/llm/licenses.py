@@ -24,6 +24,20 @@ MIN_COVERAGE = 0.8
 #: Words that a stretch may have more than its template, as a share of the template.
 SLACK = 0.5
 
+_LATER = (
+    "This {} is free software; you can redistribute it and/or modify it under the terms of the {} as published by the Free Software "
+    "Foundation; either version {} of the License, or (at your option) any later version.")
+_GRANT = "you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation"
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. ")
+_ADVERTISE = "All advertising materials mentioning features or use of this software must display the following acknowledgement "
+_ENDORSE = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission.")
+
 #: Sentences by which public licenses are named or granted.
 TEMPLATES = {
     "Apache-2.0": [
@@ -42,9 +56,47 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        _GRANT.format("GNU General Public License version 3"),
+        "GNU General Public License Version 3, 29 June 2007",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        _LATER.format("program", "GNU General Public License", "2"),
+        _GRANT.format("GNU General Public License version 2"),
+        "GNU General Public License Version 2, June 1991",
+    ],
+    "LGPL-3.0": [
+        _LATER.format("library", "GNU Lesser General Public License", "3"),
+        _GRANT.format("GNU Lesser General Public License version 3"),
+        "GNU Lesser General Public License Version 3, 29 June 2007",
+    ],
+    "LGPL-2.1": [
+        _LATER.format("library", "GNU Lesser General Public License", "2.1"),
+        _GRANT.format("GNU Lesser General Public License version 2.1"),
+        "GNU Lesser General Public License Version 2.1, February 1999",
+    ],
+    "LGPL-2.0": [
+        _LATER.format("library", "GNU Library General Public License", "2"),
+        "GNU Library General Public License Version 2, June 1991",
+    ],
+    "AGPL-3.0": [
+        _LATER.format("program", "GNU Affero General Public License", "3"),
+        _GRANT.format("GNU Affero General Public License version 3"),
+        "GNU Affero General Public License Version 3, 19 November 2007",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means.",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-2-Clause": [_BSD],
+    "BSD-3-Clause": [_BSD + _ENDORSE],
+    "BSD-4-Clause": [_BSD + _ADVERTISE + _ENDORSE],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
@@ -52,6 +104,16 @@ TEMPLATES = {
     "CC0-1.0": ["Licensed under CC0 1.0."],
 }
 
+#: Words that tell a license from its relatives: a template that holds them is found only where they stand as they are.
+TELLING = {
+    "Apache-2.0": ["version 2 0"], "MPL-2.0": ["v 2 0"],
+    "GPL-3.0": ["gnu general public license", "version 3"], "GPL-2.0": ["gnu general public license", "version 2", "version 2 of"],
+    "LGPL-3.0": ["gnu lesser general", "version 3"], "LGPL-2.1": ["gnu lesser general", "version 2 1"],
+    "LGPL-2.0": ["gnu library general", "version 2", "version 2 of"], "AGPL-3.0": ["gnu affero general", "version 3"],
+    "BSD-3-Clause": ["endorse or promote"], "BSD-4-Clause": ["endorse or promote", "advertising materials"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0"], "CC-BY-SA-4.0": ["cc by sa 4 0"], "CC-BY-4.0": ["cc by 4 0"], "CC0-1.0": ["cc0 1 0"],
+}
+
 _EVERYDAY = "a an and any are as at be by for from in is it of on or that the this to was with you under not may use work"
 _SPACES = byte_rules(b" ", lower=False)
 
@@ -102,6 +164,12 @@ def patience(one: list[int], other: list[int]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def _told(pairs: list[tuple[int, int]], telling: list[tuple[int, int]]) -> bool:
+    """Whether the stretches of the template are aligned word by word, with nothing in between."""
+    place = {j: i for i, j in pairs}
+    return all(a in place and all(place.get(j) == place[a] + j - a for j in range(a, b)) for a, b in telling)
+
+
 class Templates:
     """Templates as hashes, with what of them must be found at least."""
 
@@ -116,7 +184,9 @@ class Templates:
             held = sum(w in signature for w in words)
             need = int(np.ceil(min_coverage * len(words) - 1e-9))
             least = max(1, need - (len(words) - held))
-            self.entries.append((name, k, words, Counter(words), signature, least, need))
+            phrases = word_ids(TELLING.get(name, []))
+            telling = [(j, j + len(p)) for p in phrases for j in range(len(words) - len(p) + 1) if words[j:j + len(p)] == p]
+            self.entries.append((name, k, words, telling, signature, least, need))
         self.signatures = np.array(sorted({w for e in self.entries for w in e[4]}), np.uint64)
         self.fewest = min((e[5] for e in self.entries), default=1)
 
@@ -127,7 +197,7 @@ class Templates:
         reaches at most as far after its last, as the template and the slack allow.
         """
         found = []
-        for name, k, template, _, signature, least, need in self.entries:
+        for name, k, template, telling, signature, least, need in self.entries:
             own = [p for p in hits if words[p] in signature]
             reach = int(len(template) * (1 + SLACK)) + 1
             taken_to = first = 0
@@ -137,7 +207,7 @@ class Templates:
                     continue
                 start = max(taken_to, own[first] - (len(template) - 1))
                 pairs = patience(words[start:own[first] + reach], template)
-                if len(pairs) >= need:
+                if len(pairs) >= need and _told(pairs, telling):
                     a, b = start + pairs[0][0], start + pairs[-1][0] + 1
                     found.append((name, k, a, b, len(pairs), len(template)))
                     taken_to = b

@@ -80,3 +80,26 @@ def test_whole_texts_hold_what_a_plain_scan_finds(spark, folder):
 
 def test_empty_table(spark):
     assert licenses.find_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_versions_and_relatives_are_told_apart(spark):
+    header = ("This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software "
+              "Foundation; either version {} of the License, or (at your option) any later version.")
+    bsd = licenses.TEMPLATES["BSD-2-Clause"][0]
+    want = {
+        1: (header.format("program", "General Public License", "2"), "GPL-2.0"), 2: (header.format("program", "General Public License", "3"), "GPL-3.0"),
+        3: (header.format("library", "Lesser General Public License", "2.1"), "LGPL-2.1"), 4: (header.format("library", "Lesser General Public License", "3"), "LGPL-3.0"),
+        5: (header.format("program", "Affero General Public License", "3"), "AGPL-3.0"), 6: (header.format("library", "Library General Public License", "2"), "LGPL-2.0"),
+        7: ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+            "copyright notice and this permission notice appear in all copies.", "ISC"),
+        8: (licenses.TEMPLATES["Unlicense"][0], "Unlicense"), 9: (bsd + "THIS SOFTWARE IS PROVIDED", "BSD-2-Clause"),
+        10: (licenses.TEMPLATES["BSD-3-Clause"][0], "BSD-3-Clause"), 11: (licenses.TEMPLATES["BSD-4-Clause"][0], "BSD-4-Clause"),
+        12: ("GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999", "LGPL-2.1"), 13: ("Licensed under CC BY-ND 4.0.", None),
+        14: ("Licensed under CC BY 3.0.", None), 15: ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        16: (header.format("program", "General Public License", "4"), None),
+    }
+    frame = spark.createDataFrame([(k, f"before {text} after it") for k, (text, _) in want.items()], "doc_id long, text string")
+    got = {}
+    for r in licenses.find_licenses(frame).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert got == {k: [name] for k, (_, name) in want.items() if name}
