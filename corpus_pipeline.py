@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import jaccard, lines, packing, quality, tiling
-from tallymark.llm.common import stage
+from tallymark.llm.common import free_name, stage
 
 #: Documents with this probability of quality at least are kept.
 KEEP = 0.5
@@ -14,11 +14,19 @@ KEEP = 0.5
 WORDS, PERCENT = 5, 80
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, written once, with a number of their own for every row: ids may be null or repeated."""
+    row = free_name(docs, "row_number")
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; rows that share an id go or stay together, null ids stay."""
-    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.where(F.col("score") < KEEP).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the classifier does not reject, row by row."""
+    rows, row = numbered(docs)
+    measured = stage(quality.document_statistics(rows, "doc_id"), "statistics")
+    model = quality.fit(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(quality.document_statistics(rows, row), model, row)
+    return rows.join(scored.where(F.col("score") < KEEP).select(row), row, "left_anti").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +37,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id; null ids stay."""
-    grouped = jaccard.group_documents(docs, words=WORDS, percent=PERCENT)
-    dropped = grouped.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicates: the one with the smallest id, a null id last; of one id, that of the smallest text hash."""
+    rows, row = numbered(docs)
+    grouped = jaccard.group_documents(rows, row, words=WORDS, percent=PERCENT).select(F.col(row), F.col("component_id").alias("component"))
+    grouped = stage(grouped, "groups")
+    # Groups of one row, nearly all, need not be ranked.
+    several = grouped.where(F.col("component") != F.col(row)).select("component").distinct()
+    members = grouped.join(several, "component", "left_semi").join(
+        rows.select(row, F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("text"), row).alias("rank")), row)
+    first = members.groupBy("component").agg(F.min("rank").alias("first"))
+    dropped = members.join(first, "component").where(F.col(row) != F.col(f"first.{row}")).select(row)
+    return rows.join(dropped, row, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item leaks."""
-    leaked = tiling.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    """Documents in which no benchmark item leaks, row by row."""
+    rows, row = numbered(docs)
+    leaked = tiling.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row).select(row).distinct()
+    return rows.join(leaked, row, "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,19 @@ def test_pack(kept):
 def test_run_is_the_stages(spark, folder, kept):
     as_rows = lambda f: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in f.collect())
     assert as_rows(pipeline.run(spark, folder)) == as_rows(kept[5])
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    item = " ".join(f"item{k}" for k in range(30))
+    copy, clean = " ".join(f"copy{k}" for k in range(60)), " ".join(f"clean{k}" for k in range(60))
+    docs = spark.createDataFrame(
+        [(None, item, "x"), (None, clean, "x"), (1, item, "x"), (1, clean + " more of it", "x"), (2, "other " + clean[::-1], "x")],
+        "doc_id long, text string, source string")
+    spark.createDataFrame([("i", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = pipeline.decontamination(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, clean), (1, clean + " more of it"), (2, "other " + clean[::-1])])
+    copies = spark.createDataFrame(
+        [(None, copy), (None, copy), (None, clean), (None, clean), (5, copy), (5, copy), (7, copy), (7, "a clean row of its own"), (8, ""), (9, None)],
+        "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in pipeline.jaccard_join(spark, copies, str(tmp_path)).collect()))
+    assert kept == sorted([(5, copy), (0, clean), (7, "a clean row of its own"), (8, ""), (9, "")])
