@@ -1,4 +1,4 @@
-"""Secret scans: long tokens are candidates, a random forest removes the false findings.
+"""Secret scans: long tokens and what is assigned to a credential are candidates, a random forest removes the false findings.
 
 Candidates and their features (length, kinds of characters and transitions between them, entropy, how much of them dictionary
 words cover, path and neighbouring words) are SQL functions over a document's words; the forest is Spark's own, trained from
@@ -21,6 +21,14 @@ VALUE = "[A-Za-z0-9+/_=-]{16,}"
 CREDENTIAL = "key|token|secret|passw|pwd|credential|auth|bearer|private"
 DIGEST = "sha|md5|hash|checksum|digest|commit|revision|uuid|guid|etag"
 TEST_PATH = "test|example|sample|mock|fixture|doc|demo"
+#: A credential's name and what assigns a value to it, then the value: in quotes all up to the closing one, else up to white space.
+ASSIGNMENT = (
+    "((?i:key|token|secret|pass(?:w(?:or)?d|phrase|code)?|pwd|credential|auth(?:orization)?|bearer|private)s?(?:[_-][A-Za-z0-9_-]*+|[A-Z0-9][A-Za-z0-9_]*+)?"
+    "[\"'`]?\\]?\\s*+(?::=|=>|=++|:)\\s*+)(?:" + "|".join(f"({q})(?!{q})([^{q}\\\\\r\n]*+(?:\\\\.[^{q}\\\\\r\n]*+)*+)(?={q})" for q in "\"'`")
+    + "|([\"'`]?)([^\\s\"'`]\\S*?)(?=[,;)\\]}.\"'`]*+(?:\\s|$)))"
+)
+#: Set around values while a text is cut at them.
+FROM, TO = "\ue000\ue0f7\ue001", "\ue001\ue0f7\ue000"
 #: Everyday words and placeholders; parts of a candidate that they cover speak against it.
 DICTIONARY = (
     "about after again all also and any are back because been before between both but can change check class code company content "
@@ -48,8 +56,50 @@ def candidates(docs: DataFrame, doc: str = "doc_id", text: str = "text", path: s
     prefix (what stands before it in its word), suffix, path.
 
     ``before`` holds the two words before its word, ``after`` the one after it; null and empty texts have no candidates, a null
-    path is empty. A candidate has a digit, or upper and lower case letters: words of one case alone are not looked at.
+    path is empty. A long token has a digit, or upper and lower case letters; values that are assigned to a credential are
+    candidates whatever their length and characters. ``part`` of those that are no long tokens counts down from -1.
     """
+    return _long_tokens(docs, doc, text, path).unionByName(_assigned_values(docs, doc, text, path))
+
+
+def _tokens(word: Column) -> tuple[Column, Column]:
+    """The word with a gap before the value of name=value, and its runs of value characters."""
+    # A name and its value may stand in one word: of name=value only the value is a candidate.
+    opened = F.regexp_replace(word, r"([A-Za-z_]{2,32})=(?=[A-Za-z0-9+/_-]{16,})", "$1= ")
+    return opened, F.regexp_extract_all(opened, F.lit(f"({VALUE})"), F.lit(1))
+
+
+def _mixed(value: Column) -> Column:
+    return value.rlike("[0-9]") | (value.rlike("[a-z]") & value.rlike("[A-Z]"))
+
+
+def _assigned_values(docs: DataFrame, doc: str, text: str, path: str) -> DataFrame:
+    """Values assigned to a credential's name, without those that are long tokens."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), whole.alias("text"))
+    marked = F.regexp_replace("text", ASSIGNMENT, f"$1$2$4$6$8{FROM}$3$5$7$9{TO}")
+    pieces = rows.where(F.col("text").rlike(ASSIGNMENT)).select("doc", "path", F.split(marked, FROM, -1).alias("pieces"))
+    plain = lambda first, count: F.replace(F.array_join(F.slice("pieces", first, count), ""), F.lit(TO), F.lit(""))
+    spaces = F.transform("pieces", lambda p: F.size(F.split(F.replace(p, F.lit(TO), F.lit("")), r"\s+", -1)) - 1)
+    each = pieces.withColumn("spaces", spaces).select("*", F.posexplode("pieces").alias("at", "piece")).where("at > 0")
+    cut = F.instr("piece", TO)
+    found = each.where(cut > 0).select(
+        "doc", "path", (-F.col("at")).alias("part"), F.substr("piece", F.lit(1), cut - 1).alias("value"),
+        F.aggregate(F.slice("spaces", F.lit(1), F.col("at")), F.lit(0), lambda a, b: a + b).alias("word"),
+        F.split(plain(F.greatest(F.lit(1), F.col("at") - 3), F.least(F.col("at"), F.lit(4))), r"\s+", -1).alias("left"),
+        F.split(F.concat(F.substr("piece", cut + len(TO), F.length("piece")), plain(F.col("at") + 2, F.lit(3))), r"\s+", -1).alias("right"),
+    )
+    last = F.size("left") - 1
+    placed = found.select(
+        "doc", "word", "part", "value", F.concat_ws(" ", F.get("left", last - 2), F.get("left", last - 1)).alias("before"),
+        F.coalesce(F.get("right", F.lit(1)), F.lit("")).alias("after"), F.get("left", last).alias("prefix"), F.get("right", F.lit(0)).alias("suffix"), "path",
+    )
+    known = F.array_contains(_tokens(F.concat("prefix", "value", "suffix"))[1], F.col("value")) & _mixed(F.col("value"))
+    return placed.where(~known)
+
+
+def _long_tokens(docs: DataFrame, doc: str, text: str, path: str) -> DataFrame:
+    """Runs of value characters with a digit, or with letters of both cases."""
     rows = docs.select(
         F.col(doc).alias("doc"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
         F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\s+", -1).alias("words"),
@@ -61,12 +111,10 @@ def candidates(docs: DataFrame, doc: str = "doc_id", text: str = "text", path: s
         F.concat_ws(" ", F.get("words", F.col("hit.at") - 2), F.get("words", F.col("hit.at") - 1)).alias("before"),
         F.coalesce(F.get("words", F.col("hit.at") + 1), F.lit("")).alias("after"),
     )
-    # A name and its value may stand in one word: of name=value only the value is a candidate.
-    assigned = F.regexp_replace("whole", r"([A-Za-z_]{2,32})=(?=[A-Za-z0-9+/_-]{16,})", "$1= ")
-    parts = F.regexp_extract_all(assigned, F.lit(f"({VALUE})"), F.lit(1))
-    each = found.withColumn("opened", assigned).select("*", F.posexplode(parts).alias("part", "value"))
+    opened, parts = _tokens(F.col("whole"))
+    each = found.withColumn("opened", opened).select("*", F.posexplode(parts).alias("part", "value"))
     start = F.instr(F.col("opened"), F.col("value"))
-    return each.where(F.col("value").rlike("[0-9]") | (F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]"))).select(
+    return each.where(_mixed(F.col("value"))).select(
         "doc", "word", "part", "value", "before", "after", F.substr("opened", F.lit(1), start - 1).alias("prefix"),
         F.substr("opened", start + F.length("value"), F.length("opened")).alias("suffix"), "path",
     )

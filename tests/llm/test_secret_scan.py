@@ -71,3 +71,21 @@ def test_no_python_on_the_way(spark, folder):
 
 def test_empty_table(spark):
     assert s.scan(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_values_of_credentials_of_any_length_and_characters(spark):
+    rows = [
+        (1, 'x password = "Hunter2!" y'), (2, "set db_password: p@ss,w0rd; then"), (3, "token='a b  c' end"), (4, 'secret="onlylowercaseletterswithoutend"'),
+        (5, 'the pwd=x1 and apiKey := `q"z` now'), (6, "no credential = here, Author: Nobody"), (7, 'password = "unclosed! value'), (8, "w " * 5000 + "pass: é!"),
+        (9, "password = " + '"' + "a!" * 20000 + '"'), (10, None), (11, 'key2="A1b2C3d4E5f6G7h8" key2=A1b2C3d4E5f6G7h8'),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'src/main' AS source")
+    made = {(r.doc, r.word, r.value): r for r in s.candidates(frame).collect()}
+    want = {
+        (1, 3, "Hunter2!"), (2, 2, "p@ss,w0rd"), (3, 0, "a b  c"), (4, 0, "onlylowercaseletterswithoutend"), (5, 1, "x1"), (5, 5, 'q"z'), (6, 3, "here"),
+        (7, 2, "unclosed!"), (8, 5001, "é!"), (9, 2, "a!" * 20000), (11, 0, "A1b2C3d4E5f6G7h8"), (11, 1, "A1b2C3d4E5f6G7h8"),
+    }
+    assert want - {k for k in made} == set() and {k[0] for k in made} == {1, 2, 3, 4, 5, 6, 7, 8, 9, 11}
+    first = made[1, 3, "Hunter2!"]
+    assert (first.before, first.prefix, first.suffix, first.after) == ("password =", '"', '"', "y")
+    assert {r.value_sha256 for r in s.scan(frame).where("doc_id = 1").collect()} == {hashlib.sha256(b"Hunter2!").hexdigest()}
