@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import chat, embedding, jaccard, licenses, lines, lmscore, packing, quality, secret_scan, tiling
+from tallymark.llm import chat, embedding, jaccard, licenses, lines, lmscore, packing, quality, secret_scan, simhash, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,8 @@ FROM documents d LEFT JOIN sizes s USING (doc_id)
 """)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.group_documents(table(spark, folder, "documents"))
+
+
+@query("op13_simhash_groups")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.group_documents(table(spark, folder, "documents"))
