@@ -154,9 +154,13 @@ class ColumnParity(SideBySide):
     source_column: str
     destination_column: str
     pattern: str | None = None
+    #: Uniqueness only: compare sketches of the values instead of the values.
+    approximate: bool = False
 
     def __post_init__(self) -> None:
         super().__post_init__()
+        if self.approximate and self.validation_type != UNIQUENESS:
+            raise ValueError(f"only {UNIQUENESS} can be approximate")
         if self.validation_type not in PARITY_TYPES:
             raise ValueError(f"column parity supports only: {', '.join(PARITY_TYPES)}")
         if not self.source_column or not self.destination_column:

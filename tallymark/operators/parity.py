@@ -12,7 +12,7 @@ from tallymark import model
 from tallymark.functions.columns import c, columns_for, rename_to_common, shared_columns
 from tallymark.functions.text import key_text, literal, normalise_cell, q, text
 from tallymark.model import CheckError, ColumnParity
-from tallymark.operators.metrics import METRICS, Wanted, measure, measure_distinct, require
+from tallymark.operators.metrics import METRICS, Wanted, distinct_sketches, measure, measure_distinct, merged_distinct, require
 from tallymark.operators.sides import FLOATS, INTEGERS, comparable_rows, column_type, stack, tagged_union
 from tallymark.operators.verdicts import row_digest, same_value, shown, together, verdict
 
@@ -22,6 +22,8 @@ IN_SOURCE, IN_DESTINATION = 1, 2
 KEY_SAMPLES, ROW_SAMPLES, VALUE_SAMPLES = 5, 3, 5
 SAMPLE_WIDTH = 120
 SKIPPED_SHOWN = 8
+#: Texts up to this size are compared as they are; rows of up to so many columns keep their cells apart.
+CELL_BYTES, NARROW = 64, 24
 
 
 # --- row counts -----------------------------------------------------------------------------
@@ -131,6 +133,8 @@ def column_parity(
     left, right = _wanted(check, column_map, source, destination)
     if check.validation_type == model.CATEGORICAL:
         return categorical_parity(source, destination, left.columns, right.columns)
+    if check.approximate:
+        return estimated_uniqueness(source, destination, left.columns, right.columns)
     sides = together(
         s=measure_distinct(source, left.columns), d=measure_distinct(destination, right.columns)
     )
@@ -140,6 +144,24 @@ def column_parity(
     ))
 
 
+def estimated_uniqueness(
+    source: Frames, destination: Frames, source_columns: Mapping[str, str], destination_columns: Mapping[str, str]
+) -> DataFrame:
+    """Distinct values of both sides from sketches: one scan a table, nothing shuffled but a sketch each.
+
+    Passes when the two numbers can be the same: violations count what is left between their bounds, which details name.
+    """
+    sides = together(s=merged_distinct(distinct_sketches(source, source_columns)), d=merged_distinct(distinct_sketches(destination, destination_columns)))
+    s, d = F.col("s"), F.col("d")
+    gap = F.greatest(s["low"] - d["high"], d["low"] - s["high"], F.lit(0))
+
+    def said(side: str, at: Column) -> Column:
+        return F.concat(F.lit(f"{side} about "), at["estimate"].cast("string"), F.lit(" different ("), at["low"].cast("string"), F.lit(" to "),
+                        at["high"].cast("string"), F.lit(")"))
+
+    return sides.select(*verdict(gap == 0, gap, d["rows"], F.concat_ws(" | ", said("source", s), said("destination", d))))
+
+
 # --- value sets -----------------------------------------------------------------------------
 
 def category_sets(
@@ -301,12 +323,23 @@ def _copies(rows: DataFrame, keys: Sequence[Column]) -> DataFrame:
     )
 
 
-def _with_digest(rows: DataFrame, shared: Sequence[str]) -> DataFrame:
-    """The rows with the SHA-256 of their cells; -0.0 is 0.0, as it is when rows are grouped."""
+def _cut_cells(rows: DataFrame, shared: Sequence[str]) -> DataFrame:
+    """The rows with long texts cut to what an example shows of them and their SHA-256, so that a row stays narrow and stays itself."""
+    cells = []
+    for name in shared:
+        own = q(name)
+        if isinstance(rows.schema[name].dataType, T.StringType):
+            own = f"if(octet_length({own}) <= {CELL_BYTES}, {own}, concat(left({own}, {SAMPLE_WIDTH}), '#', sha2({own}, 256)))"
+        cells.append(f"{own} as {q(name)}")
+    return rows.selectExpr(*cells, "__source")
+
+
+def _wide(rows: DataFrame, shared: Sequence[str]) -> DataFrame:
+    """The rows as one example text and the SHA-256 of all cells; -0.0 is 0.0, as it is when rows are grouped."""
     level = rows.select(*(
         (c(n) + F.lit(0.0)).alias(n) if isinstance(rows.schema[n].dataType, FLOATS) else c(n) for n in shared
     ), "__source")
-    return level.select("*", row_digest(shared).alias("__digest"))
+    return level.select(_row_text(rows, shared).alias("__shown"), row_digest(shared).alias("__digest"), "__source")
 
 
 def row_differences(source: Frames, destination: Frames, column_map: Sequence[Mapping] = ()) -> DataFrame:
@@ -332,12 +365,19 @@ def row_parity(
 ) -> DataFrame:
     """Does every row exist on both sides, with the same number of copies?
 
-    The shuffle carries 32 bytes per distinct row. The few rows shown as examples, those with the
-    smallest digests, are fetched by their digests.
+    Each table is read once. What is shuffled of a distinct row is bounded: its cells, long texts cut and hashed, or for tables of many
+    columns one hash and the text an example shows. Either way the rows shown as examples, the smallest ones, can be
+    read off the groups.
     """
     s, d, shared, skipped = _lined_up(source, destination, column_map)
-    rows = _with_digest(_tagged_rows(s, d, shared), shared)
-    balance = _copies(rows, [F.col("__digest")])
+    rows = _tagged_rows(s, d, shared)
+    if len(shared) <= NARROW:
+        rows, keys = _cut_cells(rows, shared), list(shared)
+        label = _row_text(rows, shared)
+    else:
+        rows, keys = _wide(rows, shared), ["__digest", "__shown"]
+        label = F.col("__shown")
+    balance = _copies(rows, [c(n) for n in keys])
     net = F.col("source_copies") - F.col("destination_copies")
     counts = balance.agg(
         F.coalesce(F.sum(F.greatest(net, F.lit(0))), F.lit(0)).alias("missing"),
@@ -347,9 +387,8 @@ def row_parity(
     )
     parts = {"counts": counts}
     for name, side in (("missing", net > 0), ("extra", net < 0)) if samples else ():
-        top = balance.filter(side).orderBy("__digest").limit(samples).select("__digest")
-        shown_rows = rows.join(F.broadcast(top), "__digest").groupBy("__digest").agg(F.min(_row_text(rows, shared)).alias("label"))
-        parts[name] = _listed(shown_rows.select(F.struct("__digest", "label").alias("at")))
+        top = balance.filter(side).orderBy(*(c(n) for n in keys)).limit(samples)
+        parts[name] = _listed(top.select(F.struct(F.struct(*(c(n) for n in keys)).alias("key"), label.alias("label")).alias("at")))
     out = together(**parts)
     n = F.col("counts")
     passed = (n["missing"] == 0) & (n["extra"] == 0)

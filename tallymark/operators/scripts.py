@@ -31,10 +31,10 @@ REFUSED = (
 TEXT_OR_COMMENT = re.compile(r"('(?:''|[^'])*(?:'|\Z))|--[^\n]*|/\*.*?(?:\*/|\Z)", re.DOTALL)
 REFUSED_WORD = re.compile(rf"\b({'|'.join(REFUSED)})\b", re.IGNORECASE)
 
-NO_ROWS = "Query returned no rows - expected exactly one row"
+NO_ROWS = "nothing to grade: the script gave no row"
 ANALYSIS = threading.Lock()
 
-MEASURED = 'Measured only - the script has no "passed" column, so nothing was asserted'
+MEASURED = "no passed column, so the figures are noted and not judged"
 
 
 def select_only(sql: str) -> str:
@@ -136,7 +136,7 @@ def grade(df: DataFrame, measured_note: str = MEASURED) -> DataFrame:
     if "passed" in read:
         passed = _passed(read["passed"], schema[names["passed"]].dataType)
         unread = F.concat(
-            F.lit("Could not interpret 'passed' value: "),
+            F.lit("passed says neither yes nor no: "),
             F.expr(shown(f"row.{q(names['passed'])}", schema[names["passed"]].dataType)),
         )
         details = F.when(passed.isNull(), F.concat_ws(" | ", unread, extras if extras is not None else F.lit(None))).otherwise(details)
@@ -186,7 +186,7 @@ def call(spark: SparkSession, callback: Callback, tables: Mapping[str, DataFrame
 
 
 def callable_check(spark: SparkSession, callback: Callback, tables: Mapping[str, DataFrame]) -> DataFrame:
-    note = 'Measured only - the script set no "passed" key, so nothing was asserted'
+    note = "no passed key, so the figures are noted and not judged"
     return grade(call(spark, callback, tables), note)
 
 
@@ -197,7 +197,7 @@ def _value_column(df: DataFrame, side: str) -> str:
     if len(df.columns) == 1:
         return df.columns[0]
     raise CheckError(
-        f"the {side} script returns {len(df.columns)} columns and none is named 'value': {', '.join(df.columns)}"
+        f"which of {', '.join(df.columns)} is the {side}'s value? call one of them value, or give one column only"
     )
 
 
@@ -224,14 +224,14 @@ def dual_value(source: DataFrame, destination: DataFrame) -> DataFrame:
             said = F.concat_ws(", ", *parts)
             notes.append(F.when(said != "", F.concat(F.lit(f"{side}: "), said)))
     details = F.concat(
-        F.lit("source value = "), F.expr(shown(at["source"], types["source"])),
-        F.lit(" | destination value = "), F.expr(shown(at["destination"], types["destination"])),
+        F.lit("source has "), F.expr(shown(at["source"], types["source"])),
+        F.lit(", destination has "), F.expr(shown(at["destination"], types["destination"])),
     )
     if notes:
         said = F.concat_ws("; ", *notes)
         details = F.concat(details, F.when(said != "", F.concat(F.lit(" ("), said, F.lit(")"))).otherwise(F.lit("")))
     empty = F.when(F.col("source").isNull(), F.lit("source")).when(F.col("destination").isNull(), F.lit("destination"))
-    problem = F.when(empty.isNotNull(), F.concat(F.lit("the "), empty, F.lit(" script returned no rows")))
+    problem = F.when(empty.isNotNull(), F.concat(F.lit("no value: the script of the "), empty, F.lit(" gave no row")))
     return pair.select(
         *verdict(equal, violations, F.lit(None), details), problem.alias("error_message")
     ).select(

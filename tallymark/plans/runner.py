@@ -109,7 +109,7 @@ def units(spark: SparkSession, mapping: Mapping, checks: Sequence[Check]) -> lis
         elif isinstance(check, RuleCheck) and mapping.kind == model.TWO_SIDED or (
             isinstance(check, RuleCheck) and check.side == "source"
         ):
-            made = _quietly(lambda check=check: _rule_or_plan(check, mapping)[1])
+            made = _quietly(lambda check=check: admit(check, mapping) or _rule_or_plan(check, mapping)[1])
             if isinstance(made, Rule):
                 shared_rules.setdefault((check.side, check.table), []).append((i, made))
             else:

@@ -9,12 +9,13 @@ from urllib.parse import unquote
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.columns import c
 from tallymark.operators.sides import stack
+from tallymark.sources.blocks import BLOCK, before_blocks, pieces, within_blocks
 
 TEXT = "_VALUE"
 COUNTS = "path string, root string, tag string, children long, strays long"
@@ -24,6 +25,57 @@ def local_name(tag: str) -> str:
     return tag.rsplit(":", 1)[-1]
 
 
+# ---- tags, from blocks of a file -----------------------------------------------------------------------
+
+NAME = "[^\\s/>!?<=][^\\s/<>]*"
+
+
+def tags(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, at, name, step (1 opens, -1 closes, 0 both), odd: a row for each piece of text up to a ``>``.
+
+    ``odd`` marks what a piece alone can't tell: a ``>`` inside a comment, a CDATA section, an instruction, a document type or an
+    attribute's value. Files without such a place are read in blocks, by SQL functions alone.
+    """
+    cut = pieces(spark, path, ">").withColumn("tag", F.regexp_extract("value", "<([^<]*)$", 1))
+    name = F.regexp_extract("tag", f"^/?({NAME})", 1)
+    open_quote = F.regexp_replace("tag", "\"[^\"]*\"|'[^']*'", "").rlike("[\"']")
+    special = F.when(F.col("value").contains("<!--"), ~F.endswith("value", F.lit("--"))).when(
+        F.col("value").contains("<![CDATA["), ~F.endswith("value", F.lit("]]"))).when(
+        F.startswith("tag", F.lit("?")), ~F.endswith("value", F.lit("?"))).when(F.col("value").contains("<!DOCTYPE"), F.col("value").contains("["))
+    plain = (name != "") & F.col("value").contains("<")
+    step = F.when(~plain, 0).when(F.startswith("tag", F.lit("/")), -1).when(F.endswith("tag", F.lit("/")), 0).otherwise(1)
+    return cut.select(
+        *BLOCK, "at", F.when(plain, F.regexp_extract(name, "([^:]*)$", 1)).alias("name"), step.cast("long").alias("step"),
+        (plain & F.startswith("tag", F.lit("/"))).alias("closes"),
+        F.coalesce(special, plain & open_quote, F.lit(False)).alias("odd"), (F.trim("value") != "").alias("text"))
+
+
+def counted_in_blocks(found: DataFrame) -> DataFrame:
+    """path, root, tag, children, strays of the files, as ``COUNTS`` has them, from the tags of their blocks.
+
+    Depth is a sum over the tags before. What a deeper tag stands in is the last child of the root opened before it, in its own block
+    or else in the last block before that has one.
+    """
+    steps = found.groupBy(*BLOCK).agg(F.sum("step").alias("depth"))
+    opened = found.where("name is not null")
+    placed = opened.join(before_blocks(steps, "depth"), list(BLOCK)).withColumn("depth", F.col("depth") + within_blocks(F.col("step"))).where("not closes")
+    own = Window.partitionBy(*BLOCK).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    child = F.when(F.col("depth") == 1, F.col("name"))
+    seen = placed.withColumn("inside", F.last(child, ignorenulls=True).over(own))
+    lasts = seen.groupBy(*BLOCK).agg(F.max_by("inside", F.when(F.col("inside").isNotNull(), F.col("at"))).alias("carried"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*BLOCK, F.last("carried", ignorenulls=True).over(earlier).alias("carried"))
+    known = seen.join(carried, list(BLOCK)).withColumn("inside", F.coalesce("inside", "carried"))
+    roots = known.where("depth = 0").groupBy("file").agg(F.min_by("name", F.struct("block", "at")).alias("root"))
+    counted = known.where("depth > 0").groupBy("file", F.col("name").alias("tag")).agg(
+        F.count_if(F.col("depth") == 1).alias("children"), F.count_if((F.col("depth") > 1) & (F.col("inside") != F.col("name"))).alias("strays"))
+    header = roots.select("file", F.lit("").alias("tag"), F.lit(0).cast("long").alias("children"), F.lit(0).cast("long").alias("strays"))
+    return counted.unionByName(header).join(roots, "file").select(F.col("file").alias("path"), "root", "tag", "children", "strays")
+
+
+# ---- tags, from whole files ----------------------------------------------------------------------------
+
+
 def count_children(content: bytes) -> tuple[str, Counter, Counter]:
     """(root, names directly under it, names deeper down outside a record of that name)."""
     path: list[str] = []
@@ -75,7 +127,7 @@ def find_layouts(spark: SparkSession, path: str, record_element: str | None = No
 
     Only counts per root and tag reach the driver, and file names where there are several roots.
     """
-    counts = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_count_files, COUNTS)
+    counts = count_tags(spark, path)
     counted = counts.groupBy("root", "tag").agg(
         F.sum("children").alias("children"), F.max("children").alias("most"), F.sum("strays").alias("strays"),
     ).collect()
@@ -90,6 +142,18 @@ def find_layouts(spark: SparkSession, path: str, record_element: str | None = No
     return [(_layout(root, [r for r in counted if r.root == root], record_element), files.get(root)) for root in roots]
 
 
+def count_tags(spark: SparkSession, path: str) -> DataFrame:
+    """``COUNTS`` of every file: by blocks, but for files with a ``>`` where a block can't tell what it means. Those are parsed whole."""
+    found = tags(spark, path)
+    odd = [unquote(r.file) for r in found.groupBy("file").agg(F.max("odd").alias("odd"), F.sum("step").alias("open")).where("odd or open <> 0").select("file").toLocalIterator()]
+    if not odd:
+        return counted_in_blocks(found)
+    whole = spark.read.format("binaryFile").load(odd).select("path", "content").mapInPandas(_count_files, COUNTS)
+    every = [unquote(r.file) for r in found.select("file").distinct().toLocalIterator()]
+    rest = [f for f in every if f not in set(odd)]
+    return counted_in_blocks(tags(spark, rest)).unionByName(whole) if rest else whole
+
+
 def _layout(root: str, counted: list, record_element: str | None) -> Layout:
     tags = {r.tag: r for r in counted if r.tag and r.children}
     names = tuple(sorted(tags, key=lambda t: -tags[t].children))

@@ -9,11 +9,12 @@ from tallymark import model as m
 from tallymark.functions.text import normalise_columns
 from tallymark.model import ColumnParity, DualScriptCheck, KeyParity, Mapping, RowCountMatch, RuleCheck, ScriptCheck
 from tallymark.operators import parity
-from tallymark.operators.metrics import Wanted, metric_table
+from tallymark.operators.metrics import Wanted, distinct_sketches, measure_distinct, merged_distinct, metric_table
 from tallymark.operators.rules import expression, in_range, not_null, referential, unique
 from tallymark.operators.history import append_history, read_history, roll_up
 from tallymark.operators.scripts import dual_frames, dual_value
 from tallymark.operators.sides import stack, tagged_union
+from tallymark.operators.verdicts import together
 from tallymark.plans.runner import plan_all, run
 from tallymark.session import scratch_dir
 from workload.inputs import DOCUMENTS_COPY, DST, LINEITEM_COPY, SRC_A, SRC_B
@@ -500,3 +501,43 @@ def history_round_trip(t: Tables) -> DataFrame:
     states = days[0].select(F.col("id").alias("run_id"), F.col("status").alias("run_status"))
     return days[1].join(states, "run_id").select(
         "test_name", "test_label", "severity", "origin", "description", "status", "run_status", "run_date")
+
+
+UNIQUE_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+
+
+@query("distinct_estimates", " UNION ALL ".join(
+    f"SELECT '{n}' AS column_name, count(*) AS rows, count(DISTINCT {n}) AS exact, true AS within, true AS runs_agree FROM ({D})" for n in UNIQUE_COLUMNS))
+def distinct_estimates(t: Tables) -> DataFrame:
+    """Sketches of single tables, stored and merged, against exact counts: within their stated bounds; two stored runs give what one gives."""
+    dst, found = t.sql(DST), []
+    halves = {"even": dst.where("o_orderkey % 2 = 0"), "odd": dst.where("o_orderkey % 2 = 1")}
+    for name in UNIQUE_COLUMNS:
+        columns = {table: name for table in halves}
+        path = scratch_dir(t.spark, "sketches")
+        for run_id in ("first", "second"):
+            distinct_sketches(halves, columns).withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+        stored = t.spark.read.parquet(path)
+        one, both = merged_distinct(stored.where("run_id = 'first'")), merged_distinct(stored)
+        exact = measure_distinct(halves, columns).select("m0.total.*")
+        pair = together(one=one, both=both, exact=exact)
+        found.append(pair.select(
+            F.lit(name).alias("column_name"), F.col("exact.rows").alias("rows"), F.col("exact.metric").alias("exact"),
+            F.col("exact.metric").between(F.col("one.low"), F.col("one.high")).alias("within"),
+            (F.col("one.estimate") == F.col("both.estimate")).alias("runs_agree")))
+    return stack(found)
+
+
+@query("parity_unique_estimated", f"""
+SELECT 'PASS' AS status, CAST(0 AS DOUBLE) AS violations, (SELECT count(*) FROM ({D})) AS total_rows, 'status' AS measured
+UNION ALL SELECT 'FAIL', NULL, (SELECT count(*) FROM ({D})), 'keys of a half'
+""")
+def parity_unique_estimated(t: Tables) -> DataFrame:
+    """The same number of values passes by estimate, half of them fails; by how much is an estimate and left out here."""
+    check = ColumnParity(name="u", validation_type=m.UNIQUENESS, source_column="o_custkey", destination_column="o_custkey", approximate=True)
+    keys = ColumnParity(name="k", validation_type=m.UNIQUENESS, source_column="o_orderkey", destination_column="o_orderkey", approximate=True)
+    same = parity.column_parity({"orders": t.sql(DST)}, {"dst": t.sql(DST)}, check)
+    half = parity.column_parity({"orders": t.orders.where("o_orderkey % 2 = 0")}, {"dst": t.sql(DST)}, keys)
+    names = ("status", "violations", "total_rows")
+    return stack([same.select(*names, F.lit("status").alias("measured")),
+                  half.select("status", F.lit(None).cast("double").alias("violations"), "total_rows", F.lit("keys of a half").alias("measured"))])

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark import model
-from tallymark.model import Mapping, RuleCheck
+from tallymark.model import (
+    SOURCE_ONLY, ColumnParity, DualScriptCheck, KeyParity, Mapping, RowCountMatch, RuleCheck, ScriptCheck,
+)
 from tallymark.operators import rules
-from tallymark.operators.scripts import callable_check, sql_check
+from tallymark.operators.scripts import bind, callable_check, sql_check, user_sql
 from tallymark.plans.runner import run
 from workload.inputs import DST, SRC_A
 from workload.parity_queries import VERDICT, verdict_of
@@ -157,7 +160,7 @@ def sql_join_check(t: Tables) -> DataFrame:
 
 
 @query("measured_only", """
-SELECT 'PASS' AS status, 'Measured only - the script has no "passed" column, so nothing was asserted: n = '
+SELECT 'PASS' AS status, 'no passed column, so the figures are noted and not judged: n = '
        || CAST(count(*) AS VARCHAR) AS details FROM orders WHERE o_orderstatus = 'F'
 """)
 def measured_only(t: Tables) -> DataFrame:
@@ -213,3 +216,113 @@ def rule_all_tables(t: Tables) -> DataFrame:
     ]
     return run(t.spark, mapping, checks).results.select("test_name", "rule_target", "status", "violations", "total_rows")
 
+
+
+# --- what is refused -----------------------------------------------------------------------------------------
+
+REFUSED = {
+    "no such table": "not among this mapping's source tables: nope",
+    "regex without a pattern": "Regex Pattern Check needs a regex pattern",
+    "script over a stranger": "not among this mapping's tables: nope",
+    "script that deletes": "a script is a SELECT statement",
+    "two statements": "a script is one statement; a second one follows its semicolon",
+    "third side": "a check targets 'source' or 'destination'",
+    "two sides of one": "this mapping has no destination, so it runs one-sided checks only",
+    "no metric of columns": "column parity supports only: " + ", ".join(model.PARITY_TYPES),
+    "one script of two": "both a source and a destination script are required",
+    "of no type": "unknown validation type 'Mood'",
+}
+
+
+@query("refused_checks", f"""
+WITH n AS (SELECT (SELECT count(*) FROM orders) AS s, (SELECT count(*) FROM ({D})) AS d)
+SELECT 'row count' AS test_name, CASE WHEN s = d THEN 'PASS' ELSE 'FAIL' END AS status, CAST(NULL AS VARCHAR) AS problem,
+       CAST(abs(s - d) AS DOUBLE) AS violations, s AS total_rows FROM n
+UNION ALL SELECT 'keys filled', 'PASS', NULL, 0, (SELECT count(*) FROM orders)
+UNION ALL SELECT * FROM (VALUES {", ".join("('" + n + "', 'ERROR', '" + m.replace("'", "''") + "', NULL, NULL)" for n, m in REFUSED.items())})
+""")
+def refused_checks(t: Tables) -> DataFrame:
+    """Checks that a mapping can't run are named with the reason, those beside them run: over two sides, and over a source alone."""
+    both, alone = Mapping("both", source={"orders": t.orders}, destination={"dst": t.sql(DST)}), Mapping("one", source={"orders": t.orders}, kind=SOURCE_ONLY)
+    wanted = [
+        (both, lambda: RowCountMatch(name="row count")),
+        (alone, lambda: RuleCheck(name="keys filled", validation_type=model.NULLS, rule=rules.not_null("o_orderkey"))),
+        (both, lambda: KeyParity(name="no such table", key="o_orderkey", source_tables=["nope"])),
+        (both, lambda: ColumnParity(name="regex without a pattern", validation_type=model.REGEX, source_column="o_orderpriority", destination_column="o_orderpriority")),
+        (both, lambda: ScriptCheck(name="script over a stranger", script="SELECT 1 AS passed", tables=["nope"])),
+        (both, lambda: ScriptCheck(name="script that deletes", script="DELETE FROM orders")),
+        (both, lambda: ScriptCheck(name="two statements", script="SELECT 1 AS passed; SELECT 2")),
+        (both, lambda: RuleCheck(name="third side", rule=rules.not_null("o_orderkey"), side="middle")),
+        (alone, lambda: RowCountMatch(name="two sides of one")),
+        (both, lambda: ColumnParity(name="no metric of columns", validation_type=model.CUSTOM, source_column="o_orderkey", destination_column="o_orderkey")),
+        (both, lambda: DualScriptCheck(name="one script of two", source_script="SELECT 1", destination_script="")),
+        (both, lambda: RuleCheck(name="of no type", validation_type="Mood", rule=rules.not_null("o_orderkey"))),
+    ]
+    names, rows = ["row count", "keys filled", *REFUSED], []
+    checks: dict[int, list] = {id(both): [], id(alone): []}
+    for (mapping, build), name in zip(wanted, names):
+        try:
+            checks[id(mapping)].append(build())
+        except ValueError as refusal:  # some are refused before there is a mapping
+            rows.append((name, "ERROR", str(refusal), None, None))
+    for mapping in (both, alone):
+        outcome = run(t.spark, mapping, checks[id(mapping)])
+        rows += [(r["test_name"], r["status"], r["error_message"], r["violations"], r["total_rows"]) for r in outcome.rows]
+    return t.spark.createDataFrame(rows, "test_name string, status string, problem string, violations double, total_rows bigint")
+
+
+MAPS = {
+    "fits": ([{"name": "key", "source": {"orders": "o_orderkey"}, "destination": {"dst": "o_orderkey"}}], None),
+    "blank cells go": ([{"name": "key", "source": {"orders": " "}}, {"name": "", "source": {}}], None),
+    "no common name": ([{"name": " ", "source": {"orders": "o_orderkey"}}], "column map entry 1 names columns but has no common name"),
+    "unknown table": ([{"name": "key", "destination": {"gold": "o_orderkey"}}], "'key' names unknown destination table(s): gold"),
+    "twice": ([{"name": "Key", "source": {"orders": "o_orderkey"}}, {"name": "key ", "source": {"orders": "o_custkey"}}], "common name 'key' is used twice"),
+}
+
+
+@query("column_map_refusals", f"""
+WITH n AS (SELECT (SELECT count(DISTINCT o_orderkey) FROM orders) AS keys, (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT o_orderkey FROM ({D}))) AS missing,
+           (SELECT count(*) FROM (SELECT o_orderkey FROM ({D}) EXCEPT SELECT o_orderkey FROM orders)) AS extra)
+SELECT name, problem, CASE WHEN problem IS NULL THEN keys END AS keys, CASE WHEN problem IS NULL THEN CAST(missing + extra AS DOUBLE) END AS violations
+FROM n, (VALUES {", ".join("('" + n + "', " + ("CAST(NULL AS VARCHAR)" if m is None else "'" + m.replace("'", "''") + "'") + ")" for n, (_, m) in MAPS.items())}) AS v(name, problem)
+""")
+def column_map_refusals(t: Tables) -> DataFrame:
+    """Column maps that name nothing, strangers or one name twice are refused; under the others the keys are compared."""
+    rows = []
+    for name, (entries, _) in MAPS.items():
+        try:
+            mapping = Mapping("m", source={"orders": t.orders}, destination={"dst": t.sql(DST)}, column_map=entries)
+        except ValueError as refusal:
+            rows.append((name, str(refusal), None, None))
+            continue
+        found = run(t.spark, mapping, [KeyParity(name="keys", key="key" if mapping.column_map else "o_orderkey")]).rows[0]
+        rows.append((name, None, found["total_rows"], found["violations"]))
+    return t.spark.createDataFrame(rows, "name string, problem string, keys bigint, violations double")
+
+
+STATEMENTS = {
+    "binds": ("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'", None),
+    "binds with a join": ("SELECT count(*) AS n FROM orders o JOIN dst d ON o.o_orderkey = d.o_orderkey", None),
+    "column": ("SELECT nope FROM orders", "UNRESOLVED_COLUMN.WITH_SUGGESTION"),
+    "table": ("SELECT 1 FROM nope", "TABLE_OR_VIEW_NOT_FOUND"),
+    "syntax": ("SELECT (1 FROM orders", "PARSE_SYNTAX_ERROR"),
+    "types": ("SELECT o_orderkey + array(1) FROM orders", "DATATYPE_MISMATCH.BINARY_OP_DIFF_TYPES"),
+    "grouping": ("SELECT o_custkey, count(*) FROM orders", "MISSING_GROUP_BY"),
+    "no select": ("UPDATE orders SET o_custkey = 1", "a script is a SELECT statement"),
+    "forbidden word": ("SELECT 1 FROM orders WHERE drop = 1", "a script may not use the word 'drop'"),
+}
+
+
+@query("bind_errors", f"""
+WITH n AS (SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS a, (SELECT count(*) FROM orders JOIN ({D}) USING (o_orderkey)) AS b)
+SELECT name, problem IS NULL AS ok, problem, CASE name WHEN 'binds' THEN a WHEN 'binds with a join' THEN b END AS n
+FROM n, (VALUES {", ".join("('" + n + "', " + ("CAST(NULL AS VARCHAR)" if m is None else "'" + m.replace("'", "''") + "'") + ")" for n, (_, m) in STATEMENTS.items())}) AS v(name, problem)
+""")
+def bind_errors(t: Tables) -> DataFrame:
+    """Statements are bound without being run: what is wrong is named; those that bind are run afterwards."""
+    tables, rows = {"orders": t.orders, "dst": t.sql(DST)}, []
+    for name, (sql, _) in STATEMENTS.items():
+        ok, problem = bind(t.spark, sql, tables)
+        kind = re.match(r"\[([A-Z_.]+)\]", problem or "")
+        rows.append((name, ok, kind.group(1) if kind else problem, user_sql(t.spark, sql, tables).first()["n"] if ok else None))
+    return t.spark.createDataFrame(rows, "name string, ok boolean, problem string, n bigint")

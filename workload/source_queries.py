@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +16,7 @@ from tallymark.sources import files
 from tallymark.sources.append import append_rows, cast_to, read_staged, split_rejected, write_rows
 from tallymark.sources.flatten import flatten
 from tallymark.streaming.checks import check_stream, read_results
+from tallymark.streaming.uniqueness import left_out, repeated_keys, write_arrivals
 from tallymark.streaming.windows import windowed_quality, write_windows
 from workload.registry import Tables, query
 
@@ -268,6 +271,14 @@ def event_stream(t: Tables) -> DataFrame:
     return t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{t.folder}/events*.parquet")
 
 
+def arriving(t: Tables, rows: DataFrame, batch: Column) -> Iterator[DataFrame]:
+    """The stream after each of four arrivals; a run over it has the files of one arrival as its batch, however many they are."""
+    folder = scratch_dir(t.spark, "arrived")
+    for k in range(4):
+        rows.where(batch == k).write.mode("append").parquet(folder)
+        yield t.spark.readStream.schema(rows.schema).parquet(folder)
+
+
 @query("stream_checks", """
 WITH b AS (SELECT event_id % 4 AS batch, value, event_type, user_id NOT IN (SELECT c_custkey FROM customer) AS stranger FROM events),
 n AS (SELECT batch, count(*) AS rows, count(*) FILTER (value < 5) AS low, count(*) FILTER (event_type NOT IN ('click', 'view')) AS other,
@@ -277,14 +288,12 @@ UNION ALL SELECT 'event_type allowed', CASE WHEN other = 0 THEN 'PASS' ELSE 'FAI
 UNION ALL SELECT 'user_id known', CASE WHEN unknown = 0 THEN 'PASS' ELSE 'FAIL' END, CAST(unknown AS DOUBLE), rows FROM n
 """)
 def stream_checks(t: Tables) -> DataFrame:
-    """Events arrive as four files, each a batch of its own."""
-    arrived, target, checkpoint = (scratch_dir(t.spark, p) for p in ("arrived", "checked", "checkpoint"))
-    for batch in range(4):
-        t.events.where(F.col("event_id") % 4 == batch).coalesce(1).write.mode("append").parquet(arrived)
-    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    """Events arrive four times, each time as a batch of its own."""
+    target, checkpoint = (scratch_dir(t.spark, p) for p in ("checked", "checkpoint"))
     users = t.customer.select(F.col("c_custkey").alias("user_id"))
     made = [rules.in_range("value", 5, None), rules.allowed_values("event_type", ["click", "view"])]
-    check_stream(stream, made, target, checkpoint, static=users, key="user_id").awaitTermination()
+    for stream in arriving(t, t.events, F.col("event_id") % 4):
+        check_stream(stream, made, target, checkpoint, static=users, key="user_id").awaitTermination()
     return read_results(t.spark, target).select("rule", "status", "violations", "total_rows")
 
 
@@ -309,3 +318,46 @@ SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS rows, count
 """)
 def table_windows(t: Tables) -> DataFrame:
     return windowed_quality(t.events, "ts", F.col("value") < 5)
+
+
+QUARTER = "least(3, (day(ts) - 1) div 8)"
+
+
+@query("stream_unique", """
+WITH r AS (SELECT user_id, event_type, ts FROM events
+           UNION ALL SELECT user_id, event_type, ts + INTERVAL 20 MINUTE FROM events WHERE event_id % 37 = 0),
+m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM r),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM m)
+SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS rows, count(*) - 1 AS repeats
+FROM g GROUP BY user_id, event_type, nr HAVING count(*) > 1 AND max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM r) - INTERVAL 1 HOUR
+""")
+def stream_unique(t: Tables) -> DataFrame:
+    """The same event of a user within an hour is a repeat, whichever of four arrivals the two are in."""
+    target, checkpoint = scratch_dir(t.spark, "repeats"), scratch_dir(t.spark, "checkpoint")
+    rows = t.events.select("user_id", "event_type", "ts")
+    again = t.events.where("event_id % 37 = 0").select("user_id", "event_type", (F.col("ts") + F.expr("INTERVAL 20 MINUTES")).alias("ts"))
+    for stream in arriving(t, rows.unionByName(again), F.expr(QUARTER)):
+        found = repeated_keys(stream, ["user_id", "event_type"], "ts", within="1 hour")
+        write_windows(found, target, checkpoint, "repeats").awaitTermination()
+    return t.spark.read.schema(found.schema).parquet(target)
+
+
+@query("stream_late", """
+WITH q AS (SELECT ts, event_type, CASE WHEN event_id % 50 = 0 THEN 3 ELSE least(3, (day(ts) - 1) // 8) END AS arrival FROM events),
+w AS (SELECT max(ts) FILTER (arrival < 3) - INTERVAL 1 HOUR AS third, max(ts) - INTERVAL 1 HOUR AS last FROM q),
+d AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS arrived,
+             count(*) FILTER (arrival = 3 AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT third FROM w)) AS left_out
+      FROM q GROUP BY ALL)
+SELECT CAST(window_start AS TIMESTAMP) AS window_start, event_type, arrived, arrived - left_out AS counted, left_out
+FROM d WHERE window_start + INTERVAL 1 DAY <= (SELECT last FROM w)
+""")
+def stream_late(t: Tables) -> DataFrame:
+    """Every fiftieth event arrives with the last of four arrivals; those whose day was closed by then are named, not lost silently."""
+    names = ("windows", "windows-checkpoint", "arrivals", "arrivals-checkpoint")
+    target, checkpoint, seen, seen_checkpoint = (scratch_dir(t.spark, n) for n in names)
+    delayed = F.when(F.col("event_id") % 50 == 0, F.lit(3)).otherwise(F.expr(QUARTER))
+    for stream in arriving(t, t.events, delayed):
+        windows = windowed_quality(stream, "ts", F.col("value") < 5, by=("event_type",))
+        write_windows(windows, target, checkpoint).awaitTermination()
+        write_arrivals(stream, "ts", seen, seen_checkpoint, by=("event_type",)).awaitTermination()
+    return left_out(t.spark.read.schema(windows.schema).parquet(target), t.spark.read.parquet(seen), by=("event_type",))
