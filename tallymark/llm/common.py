@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.session import scratch_dir
@@ -190,6 +190,32 @@ def in_bitmap(table: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 
+def without_texts(docs: DataFrame, text: str, gone: DataFrame) -> DataFrame:
+    """The rows, as they are, whose text is none of those hashed in ``gone`` (h1 and h2, see ``text_hashes``).
+
+    Only rows whose hash is in the bitmap of those that go are shuffled, to be compared exactly; all others pass.
+    """
+    spark, at = docs.sparkSession, len(docs.columns)
+    table = spark.sparkContext.broadcast(bitmap(gone, "h1"))
+    names = [f"c{k}" for k in range(at)]
+    h1, h2 = text_hashes(text)
+    hashed = docs.select("*", h1.alias("_h1"), h2.alias("_h2")).toDF(*names, "h1", "h2")
+
+    def those(inside: bool):
+        def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(table.value, batch.column(at).to_numpy().view(np.uint64)) == inside))
+        return hashed.mapInArrow(admit, hashed.schema)
+
+    kept = those(True).join(gone.select("h1", "h2"), ["h1", "h2"], "left_anti")
+    return those(False).select(*names).unionByName(kept.select(*names)).toDF(*docs.columns)
+
+
+def text_hashes(text: str) -> tuple[Column, Column]:
+    """128 bits that stand for a text; a null text counts as one of its own."""
+    return F.xxhash64(F.lit(1), F.col(text)), F.xxhash64(F.lit(2), F.col(text), F.length(text))
+
+
 # ---- connected components ------------------------------------------------------------------------
 
 

@@ -79,7 +79,9 @@ def remove_boilerplate(
     left = plain.withColumn("whole", F.xxhash64(text_at))
     joined = left.join(hits, left[doc_at].eqNullSafe(hits["doc"]) & (left["whole"] == hits["whole"]), "left")
     parts = split_lines(F.col(text_at).cast("string"))
-    kept = F.array_join(F.filter(parts, lambda line, at: ~F.array_contains("gone", at)), "\n")
+    # Bound to a variable, the text is split once; the places left over are found by hashing, however many lines there are and go.
+    kept = F.transform(F.array(parts), lambda own: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "gone"), lambda at: F.get(own, at)), "\n"))[0]
     cleaned = F.when(F.col("gone").isNull(), F.col(text_at)).otherwise(kept)
     return joined.select(
         *[(cleaned if n == text_at else F.col(n)).alias(c) for n, c in zip(names, docs.columns)],

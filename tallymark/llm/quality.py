@@ -182,6 +182,31 @@ def fit(measured: DataFrame, labels: DataFrame, doc: str = "doc_id", label: str
     return grow(values, (sample["label"].to_numpy() > 0).astype(float))
 
 
+def fit_sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality", train_rows: int = TRAIN_ROWS) -> Trees:
+    """The trees of ``fit``, with statistics of the sampled documents only: at most ``train_rows`` labelled ids are picked first and broadcast."""
+    known = labels.select(F.col(doc).alias("key"), F.col(label).cast("double").alias("label")).where("key is not null and label is not null")
+    known = known.where(fold("key") != 2)
+    order = (F.xxhash64("key"), "key", "label")
+    present = known.join(docs.select(F.col(doc).alias("key")), "key", "left_semi")
+    picked = stage(present.orderBy(*order).limit(train_rows), "picked").withColumnRenamed("key", "picked")
+    named = docs.select(F.col(doc).alias("key"), F.col(text).alias("text"))
+    chosen = named.join(F.broadcast(picked.select("picked").distinct()), F.col("key") == F.col("picked"), "left_semi")
+    return fit(document_statistics(chosen, "key", "text"), picked.select(F.col("picked").alias("key"), "label"), "key", "label", train_rows)
+
+
+def accepted(docs: DataFrame, trees: Trees, text: str = "text", least: float = ACCEPT) -> DataFrame:
+    """The rows, as they are, whose text has at least the probability ``least`` of label 1; one pass, nothing is shuffled."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index(text)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                yield part.filter(pa.array(predict(shared.value, statistics(part.column(at).cast(pa.string()))) >= least))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def score(measured: DataFrame, trees: Trees, doc: str = "doc_id", accept: float = ACCEPT) -> DataFrame:
     """doc, held_out (fold 2; false for a null id), score, predicted (1 from ``accept`` on), one row per row."""
     shared = measured.sparkSession.sparkContext.broadcast(trees)

@@ -20,7 +20,7 @@ from operator import and_
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import shuffle_partitions, stage
@@ -272,10 +272,16 @@ def solved(segments: DataFrame) -> DataFrame:
             "cost": pa.array([costs[START]] * count, pa.int64()), "illegal": pa.array([illegal] * count, pa.int64()),
             "last": pa.array([k == count - 1 for k in range(count)]), "alone": pa.array([count == 1] * count)})
 
-    slim = segments.select("conv", "part", "segment", "matrix", "inner_illegal", "opening", "closing")
-    costs = slim.groupBy("conv").applyInArrow(
+    counted = segments.withColumn("own", F.count("*").over(Window.partitionBy("conv")))
+    slim = counted.where("own > 1").select("conv", "part", "segment", "matrix", "inner_illegal", "opening", "closing")
+    several = slim.groupBy("conv").applyInArrow(
         back, f"conv {kind}, part int, segment long, behind array<long>, cost long, illegal long, last boolean, alone boolean")
-    return segments.select("part", "segment", "runs").join(costs, ["part", "segment"])
+    # Nearly all conversations are one segment: their cost is read off its transition.
+    end = F.array(*(F.lit(cost).cast("long") for cost in END))
+    alone = counted.where("own = 1").select(
+        "conv", "part", "segment", end.alias("behind"), F.array_min(F.zip_with(F.slice("matrix", 1, 4), end, lambda a, b: a + b)).alias("cost"),
+        F.col("inner_illegal").alias("illegal"), F.lit(True).alias("last"), F.lit(True).alias("alone"))
+    return segments.select("part", "segment", "runs").join(several.unionByName(alone), ["part", "segment"])
 
 
 def entered(parts: DataFrame) -> DataFrame:
