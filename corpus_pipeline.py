@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import jaccard, lines, packing, quality, tiling
-from tallymark.llm.common import free_name, stage
+from tallymark.llm.common import free_name, stage, text_hashes, without_texts
 
 #: Documents with this probability of quality at least are kept.
 KEEP = 0.5
@@ -22,18 +22,14 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject, row by row."""
-    rows, row = numbered(docs)
-    measured = stage(quality.document_statistics(rows, "doc_id"), "statistics")
-    model = quality.fit(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(quality.document_statistics(rows, row), model, row)
-    return rows.join(scored.where(F.col("score") < KEEP).select(row), row, "left_anti").select(docs.columns)
+    return quality.accepted(docs, quality.fit_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), least=KEEP)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines; those of which nothing else is left go."""
-    cleaned = lines.remove_boilerplate(docs)
-    kept = cleaned.where((F.col("removed_lines") == 0) | F.col("text").rlike(r"\S"))
-    return kept.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    removed = F.col(free_name(docs, "removed_lines"))
+    kept = lines.remove_boilerplate(docs).where((removed == 0) | F.col("text").rlike(r"\S"))
+    return kept.withColumn("n_chars", F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +47,11 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item leaks, row by row."""
-    rows, row = numbered(docs)
-    leaked = tiling.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row).select(row).distinct()
-    return rows.join(leaked, row, "left_anti").select(docs.columns)
+    """Documents in which no benchmark item leaks, text by text."""
+    key = free_name(docs, "text_hash")
+    h1, h2 = text_hashes("text")
+    found = tiling.leaks(docs.select("text", F.struct(h1.alias("h1"), h2.alias("h2")).alias(key)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key)
+    return without_texts(docs, "text", stage(found.select(f"{key}.*").distinct(), "leaked"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
