@@ -129,33 +129,38 @@ def _bucketed(docs: DataFrame, doc: str, text: str) -> DataFrame:
     chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     count = max(1, -(-chars // BUCKET_CHARS))
     shares = [k / count for k in range(1, count)]
-    bounds = np.array(sorted(set(rows.approxQuantile("doc", shares, 0.1 / count)))) if shares else np.zeros(0)
-    bounds = -bounds[::-1].astype(np.int64)
+    # Quantiles come as fractions; which whole numbers they are rounded to doesn't matter, as long as every row is held against the same.
+    bounds = np.array(sorted({int(q) for q in rows.approxQuantile("doc", shares, 0.1 / count)}) if shares else [], np.int64)
 
-    def bucket_of(ids: pd.Series) -> np.ndarray:
-        known = ids.notna().to_numpy()
-        found = np.full(len(ids), len(bounds), np.int32)
-        found[known] = np.searchsorted(bounds, -ids[known].to_numpy(np.int64), "right")
-        return found
+    def bucket_of(ids: pa.Array) -> np.ndarray:
+        """Buckets by descending id; null ids are in the last one."""
+        found = len(bounds) - np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "left")
+        found[ids.is_null().to_numpy(zero_copy_only=False)] = len(bounds)
+        return found.astype(np.int32)
 
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(bucket_of(ids.astype("Int64")), dtype="int32")
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bucket_of(batch.column(0)))], ["doc", "bucket"])
 
     # Ids that stand first in their bucket are also wanted by the bucket before.
-    firsts = {int(r[0]): r[1] for r in rows.select("doc").groupBy(bucket("doc")).agg(F.max("doc")).toLocalIterator()}
+    first_ids = rows.select("doc").mapInArrow(numbered, "doc long, bucket int").groupBy("bucket").agg(F.max("doc").alias("doc"))
+    firsts = {r.bucket: r.doc for r in first_ids.toLocalIterator()}
     present = sorted(firsts)
-    wanted: dict[int | None, int] = {}
-    for k, b in enumerate(present):
-        wanted[firsts[b]] = present[k - 1]
-
-    @F.pandas_udf("int")
-    def tail_of(ids: pd.Series) -> pd.Series:
-        return pd.Series([wanted.get(None if pd.isna(i) else int(i), -1) for i in ids.astype("Int64")], dtype="int32")
+    wanted: dict[int | None, int] = {firsts[b]: present[k - 1] for k, b in enumerate(present)}
 
-    placed = rows.withColumn("bucket", bucket("doc")).withColumn("other", tail_of("doc"))
-    both = F.array(F.struct("bucket", F.lit(False).alias("tail")), F.struct(F.col("other").alias("bucket"), F.lit(True).alias("tail")))
-    return placed.select("doc", "text", F.explode(F.filter(both, lambda x: x["bucket"] >= 0)).alias("to")).select("doc", "text", "to.bucket", "to.tail")
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "text", "bucket", "tail"]
+        for batch in batches:
+            ids = batch.column(0)
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(bucket_of(ids)), pa.array(np.zeros(len(ids), bool))], names)
+            known = ids.to_pylist()
+            also = [k for k, i in enumerate(known) if i in wanted]
+            if also:
+                some = pa.array(also)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(some), batch.column(1).take(some), pa.array([wanted[known[k]] for k in also], pa.int32()), pa.array([True] * len(also))], names)
+
+    return rows.mapInArrow(placed, "doc long, text string, bucket int, tail boolean")
 
 
 def document_prints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

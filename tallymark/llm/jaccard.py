@@ -31,6 +31,8 @@ from tallymark.llm.common import bitmap, components, in_bitmap, mixed, shingle_s
 CELL_SHINGLES = 1_000_000
 #: Keys that a task gathers before it sorts them and sends them on.
 FLUSH_KEYS = 250_000
+#: Rows whose keys one bucket gathers, about.
+BUCKET_ROWS = 2_000
 #: Pivots that split a large cell.
 PIVOTS = 8
 
@@ -275,19 +277,29 @@ def region_links(docs: DataFrame, text: str, words: int, percent: int, buckets:
 
 
 def _sets_of(docs: DataFrame, doc: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """set_id, n and shingles (packed) of the rows whose hash is in the bitmap of ``wanted``; more rows may come out."""
+    """set_id, n and shingles of the rows whose hash is in the bitmap of ``wanted``; more rows may come out."""
     table = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "h"))
 
     def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             inside = in_bitmap(table.value, batch.column(1).to_numpy().view(np.uint64))
             texts = batch.column(0).filter(pa.array(inside))
-            made = [(set_id(s), len(s), s.tobytes()) for s in shingle_sets(texts, words)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["set_id", "n", "shingles"])
+            for first in range(0, len(texts), 500):
+                sets = list(shingle_sets(texts.slice(first, 500), words))
+                sizes = np.array([len(s) for s in sets], np.int64)
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array(sizes), listed], ["set_id", "n", "shingles"])
 
     rows = _texts(docs, doc, text).select("text", F.xxhash64("doc").alias("h"))
-    return rows.mapInArrow(admit, "set_id long, n long, shingles binary")
+    return rows.mapInArrow(admit, "set_id long, n long, shingles array<long>")
+
+
+def _unpacked(shingles: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a column of lists."""
+    return [
+        flat[a:b] for chunk in shingles.chunks for flat, ends in [(chunk.values.to_numpy().view(np.uint64), chunk.offsets.to_numpy())]
+        for a, b in zip(ends[:-1], ends[1:])]
 
 
 def _joined(members: DataFrame, group: str, percent: int) -> DataFrame:
@@ -297,12 +309,12 @@ def _joined(members: DataFrame, group: str, percent: int) -> DataFrame:
         cells = rows["cell"].to_numpy()
         order = np.argsort(cells, kind="stable")
         ids, labels = rows["set_id"].to_numpy(), rows["label"].to_numpy()
-        packed = rows["shingles"]
+        sets = _unpacked(rows["shingles"])
         a, b = [], []
         for part in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1) if len(order) else ():
             own, first = np.unique(ids[part], return_index=True)
             part = part[first]
-            cell = Cell([np.frombuffer(packed[int(k)].as_buffer(), np.uint64) for k in part], percent, labels[part])
+            cell = Cell([sets[k] for k in part], percent, labels[part])
             for x, y in cell.join():
                 a.append(int(own[x]))
                 b.append(int(own[y]))
@@ -325,8 +337,8 @@ def _distances(members: DataFrame, percent: int) -> DataFrame:
     def measure(rows: pa.Table, pivots: pa.Table) -> pa.Table:
         order = np.argsort(pivots["set_id"].to_numpy())
         names = pivots["set_id"].to_numpy()[order]
-        sets = [np.frombuffer(pivots["shingles"][int(k)].as_buffer(), np.uint64) for k in order]
-        sets += [np.frombuffer(s.as_buffer(), np.uint64) for s in rows["shingles"]]
+        drawn = _unpacked(pivots["shingles"])
+        sets = [drawn[k] for k in order] + _unpacked(rows["shingles"])
         cell = Cell(sets, percent)
         every = np.arange(len(sets))
         far = np.stack([cell.meet(k, every)[len(names):] for k in range(len(names))], axis=1)
@@ -336,7 +348,7 @@ def _distances(members: DataFrame, percent: int) -> DataFrame:
         })
 
     return members.groupBy("cell", "chunk").cogroup(spread.groupBy("cell", "chunk")).applyInArrow(
-        measure, "cell long, set_id long, n long, shingles binary, label long, pivots array<long>, far array<double>")
+        measure, "cell long, set_id long, n long, shingles array<long>, label long, pivots array<long>, far array<double>")
 
 
 def _refined(members: DataFrame, percent: int) -> DataFrame:
@@ -347,16 +359,7 @@ def _refined(members: DataFrame, percent: int) -> DataFrame:
     one set alone holds use up places, and a set whose places are all used up has no link.
     """
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 64):  # a row becomes as many rows as it has shingles
-                batch = whole.slice(first, 64)
-                sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("shingles")]
-                sizes = np.array([len(s) for s in sets], np.int64)
-                columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("cell", "set_id", "n")]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(np.concatenate(sets))], ["cell", "set_id", "n", "shingle"])
-
-    tokens = members.select("cell", "set_id", "n", "shingles").mapInArrow(spread, "cell long, set_id long, n long, shingle long")
+    tokens = members.select("cell", "set_id", "n", F.explode("shingles").alias("shingle"))
     held = tokens.groupBy("cell", "shingle").agg(F.count("*").alias("held")).where("held > 1")
     own = tokens.join(held, ["cell", "shingle"]).groupBy("cell", "set_id").agg(
         F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
@@ -422,7 +425,8 @@ def group_documents(
     """
     spark = docs.sparkSession
     known = stage(document_sets(docs, doc, text, words), "sets")
-    links = stage(region_links(docs, text, words, percent, max(64, 2 * shuffle_partitions(spark))), "region_links")
+    buckets = max(64, 2 * shuffle_partitions(spark), known.count() // BUCKET_ROWS)
+    links = stage(region_links(docs, text, words, percent, buckets), "region_links")
     cells = stage(components(links, "a", "b"), "cells")
     members = stage(_members(docs, doc, text, words, known, cells), "members")
     weights = members.groupBy("cell").agg(F.sum("n").alias("weight"))
@@ -438,12 +442,14 @@ def group_documents(
     for more in found[1:]:
         every = every.unionByName(more)
     joined = components(every, "a", "b")
-    labelled = known.join(joined, F.col("set_id") == F.col("node"), "left").select(
-        "doc", "n", F.coalesce("root", "set_id").alias("label"))
-    least = labelled.where("n > 0").groupBy("label").agg(F.min("doc").alias("least"))
-    return labelled.join(least, "label", "left").select(
+    # Copies are one point, and only points with copies or links are looked up: a join that can be split where one set is a third of all rows.
+    points = known.where("n > 0").groupBy("set_id").agg(F.min("doc").alias("least"), F.count("*").alias("copies"))
+    placed = points.join(joined, F.col("set_id") == F.col("node"), "left").where("copies > 1 or root is not null")
+    placed = stage(placed.select("set_id", "least", F.coalesce("root", "set_id").alias("label")), "placed")
+    classes = placed.join(placed.groupBy("label").agg(F.min("least").alias("component")), "label").select("set_id", "component", F.lit(True).alias("joint"))
+    return known.join(classes, "set_id", "left").select(
         F.col("doc").alias(doc), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
+        F.when(F.col("joint") & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc")).alias("component_id"))
 
 
 def _members(docs: DataFrame, doc: str, text: str, words: int, known: DataFrame, cells: DataFrame) -> DataFrame:

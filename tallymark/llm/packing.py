@@ -25,8 +25,9 @@ from tallymark.llm.common import stage
 
 WINDOW = 2048
 END_ID = 1
-#: Groups that the pieces of one length are ranked in.
+#: Groups that the pieces of one length are ranked in; of full windows, most pieces of long texts, as many as this many pieces need.
 SALTS = 64
+SALTED_PIECES = 100_000
 #: Lengths in one combination at most; more only where the greedy step packs what is left.
 DEPTH = 4
 #: Second lengths tried for each longest length.
@@ -279,13 +280,19 @@ def pack(docs: DataFrame, text: str, row: str, definition: str, end_id: int = EN
     ``text`` are read, so other columns may have any names.
     """
     pieces = stage(pieces_of(docs, text, row, definition, end_id, window), "pieces")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    full = F.col("length") == window
+    salts_of_full = max(SALTS, pieces.where(full).count() // SALTED_PIECES)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "start", "ids_crc32"), F.when(full, salts_of_full).otherwise(SALTS)).cast("int"))
     counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).orderBy("length", "salt").toArrow()
     lengths, salts, counts = (counted[c].to_numpy() for c in ("length", "salt", "n"))
     histogram = {int(length): int(counts[lengths == length].sum()) for length in np.unique(lengths)}
-    before = np.zeros((window + 1, SALTS), np.int64)
-    before[lengths, salts] = counts
-    before = np.cumsum(before, axis=1) - before
+    # A row of counts for each length; the one of full windows is as long as it has groups.
+    starts = np.arange(window + 1) * SALTS
+    before = np.zeros(window * SALTS + salts_of_full, np.int64)
+    before[starts[lengths] + salts] = counts
+    for length in range(window + 1):
+        own = slice(starts[length], starts[length] + (salts_of_full if length == window else SALTS))
+        before[own] = np.cumsum(before[own]) - before[own]
     runs = places(plan(histogram, window))
     shared = docs.sparkSession.sparkContext.broadcast((before, runs))
     names = ["row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -294,7 +301,7 @@ def pack(docs: DataFrame, text: str, row: str, definition: str, end_id: int = EN
         before, runs = shared.value
         for batch in batches:
             length, salt, at = (batch.column(c).to_numpy() for c in ("length", "salt", "at"))
-            rank = at - 1 + before[length, salt]
+            rank = at - 1 + before[length * SALTS + salt]
             run = np.searchsorted(runs["key"], length * (1 << 44) + rank, "right") - 1
             sequence = runs["first"][run] + rank - runs["rank"][run]
             yield pa.RecordBatch.from_arrays(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import chat, embedding, jaccard, licenses, lines, lmscore, packing, quality, repair, secret_scan, simhash, spelling, tiling
+from tallymark.llm import chat, embedding, jaccard, licenses, lines, lmscore, oracles, packing, quality, repair, secret_scan, simhash, spelling, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,11 +144,11 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.group_documents(table(spark, folder, "documents"))
 
 
-@query("op12_spelling_variants")
+@query("op12_spelling_variants", oracles.SPELLING_VARIANTS)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, folder, "documents"))
 
 
-@query("op11_conversation_repair")
+@query("op11_conversation_repair", oracles.CONVERSATION_REPAIR)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repair_report(table(spark, folder, "conversations"))

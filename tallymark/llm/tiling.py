@@ -2,7 +2,8 @@
 
 Words of documents and benchmark items become 64-bit Karp-Rabin hashes, runs of ``min_match`` words become seeds. Documents'
 seeds pass a bitmap of the benchmark's seeds (bounded, whatever the benchmark's size) and are then joined with it exactly, so
-only shared seeds are shuffled. Each pair of a document and an item that share seeds is tiled: the longest matches of unmarked
+only shared seeds are shuffled. Of each item only the rarest seeds are joined on, as many as any sufficient cover has to touch.
+Each pair of a document and an item that such a seed brings together is tiled: the longest matches of unmarked
 words are marked first, found by Karp-Rabin scans with falling lengths. Tiles may lie in any order, so reordered passages
 count; an item is leaked when tiles cover enough of it.
 """
@@ -147,6 +148,42 @@ def tiles(at: list[int], seeds: list[int], item: list[int], size: int) -> list[t
     return found
 
 
+def telling_seeds(items: DataFrame, present: DataFrame, min_match: int, min_coverage: float) -> DataFrame:
+    """item, item_whole, seed: the rarest seeds of each item without which it can't be covered as far as is asked.
+
+    ``present`` has the item's seeds that texts hold, with the number of ``texts``. Seeds are taken out from the rarest on until what the others can
+    cover is too little; a text in which the item leaks holds one of those taken out. An opening that thousands of texts share is
+    thus never what brings a text and an item together, unless it makes up most of the item.
+    """
+    kinds = dict(items.dtypes)
+    listed = present.groupBy("item", "item_whole").agg(F.array_sort(F.collect_list(F.struct("texts", "seed"))).alias("found"))
+    both = items.alias("i").join(listed.alias("l"), F.expr("i.item <=> l.item and i.item_whole = l.item_whole")).select(
+        "i.item", "i.item_whole", "i.item_words", "i.item_seeds", F.col("l.found.seed").alias("present"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = []
+            for words, own, rare_first in zip(*(batch.column(c).to_pylist() for c in ("item_words", "item_seeds", "present"))):
+                places: dict[int, list[int]] = {}
+                for i, seed in enumerate(own):
+                    places.setdefault(seed, []).append(i)
+                over, taken = np.zeros(words, np.int64), []
+                for seed in rare_first:
+                    for i in places[seed]:
+                        over[i:i + min_match] += 1
+                for seed in rare_first:
+                    if np.count_nonzero(over) < min_coverage * words:
+                        break
+                    taken.append(seed)
+                    for i in places[seed]:
+                        over[i:i + min_match] -= 1
+                chosen.append(taken)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.list_(pa.int64()))], ["item", "item_whole", "chosen"])
+
+    made = both.mapInArrow(choose, f"item {kinds['item']}, item_whole long, chosen array<long>")
+    return made.select("item", "item_whole", F.explode("chosen").alias("seed"))
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
     min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE,
@@ -166,17 +203,14 @@ def leaks(
     )
     seeds = items.select("item", "item_whole", F.explode(F.array_distinct("item_seeds")).alias("seed"))
     table = bitmap(seeds, "seed")
-    scanned = word_windows(docs, doc, text, min_match, table)
-    shared = (
-        scanned.dropDuplicates(["key", "whole"])
-        .select("key", "whole", F.explode(F.arrays_zip("at", "seeds")).alias("hit")).select("key", "whole", "hit.at", F.col("hit.seeds").alias("seed"))
-        .join(seeds, "seed")
-        .groupBy("key", "whole", "item", "item_whole").agg(F.sort_array(F.collect_list(F.struct("at", "seed"))).alias("hits"))
-    )
-    # No tiling covers more words than the item's shared seeds do: the rest need not be tiled.
+    scanned = stage(word_windows(docs, doc, text, min_match, table).dropDuplicates(["key", "whole"]), "scanned")
+    held = scanned.select("key", "whole", F.explode(F.array_distinct("seeds")).alias("seed"))
+    telling = telling_seeds(items, seeds.join(held.groupBy("seed").agg(F.count("*").alias("texts")), "seed"), min_match, min_coverage)
+    pairs = held.join(telling, "seed").select("key", "whole", "item", "item_whole").distinct()
     paired = (
-        shared.alias("s").join(items.alias("i"), F.expr("s.item <=> i.item and s.item_whole = i.item_whole"))
-        .select("s.key", "s.whole", "s.item", "i.item_words", "i.item_seeds", F.col("s.hits.at").alias("at"), F.col("s.hits.seed").alias("seeds"))
+        pairs.alias("p").join(scanned.alias("s"), F.expr("p.key <=> s.key and p.whole = s.whole"))
+        .join(items.alias("i"), F.expr("p.item <=> i.item and p.item_whole = i.item_whole"))
+        .select("p.key", "p.whole", "p.item", "i.item_words", "i.item_seeds", "s.at", "s.seeds")
     )
     kinds = dict(paired.dtypes)
 
@@ -185,13 +219,16 @@ def leaks(
             rows, covers, found = [], [], []
             columns = [batch.column(c).to_pylist() for c in ("item_words", "item_seeds", "at", "seeds")]
             for k, (words, own, at, values) in enumerate(zip(*columns)):
+                # No tiling covers more words than the item's shared seeds do: the rest need not be tiled.
                 present, most = set(values), bytearray(words)
                 for i, seed in enumerate(own):
                     if seed in present:
                         most[i:i + min_match] = b"\1" * min_match
                 if sum(most) < min_coverage * words:
                     continue
-                got = tiles(at, values, own, min_match)
+                wanted = set(own)
+                hits = [(a, v) for a, v in zip(at, values) if v in wanted]
+                got = tiles([a for a, _ in hits], [v for _, v in hits], own, min_match)
                 covered = sum(t[2] for t in got)
                 if covered >= min_coverage * words:
                     rows.append(k)

@@ -90,3 +90,12 @@ def test_near_documents(spark):
     rows = [(3, base), (5, base[:1200] + "x" + base[1200:]), (8, base), (9, "".join(rng.choice("qrstuvw xyz") for _ in range(2500))), (12, ""), (None, base)]
     prints = embedding.document_prints(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {(r.doc, r.leader) for r in embedding.near_documents(prints).collect()} == {(5, 3), (8, 3)}
+
+
+@pytest.mark.parametrize("chars", [12_000_000, 400])
+def test_large_ids_beside_a_null(spark, monkeypatch, chars):
+    """Ids beyond what a fraction can hold keep all their digits."""
+    monkeypatch.setattr(embedding, "BUCKET_CHARS", chars)
+    rows = [((1 << 60) + k * 3, t) for k, t in enumerate(texts(4))] + [(None, "no id"), (-(1 << 62), "least"), (7, "small")]
+    made = embedding.document_prints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in made), key=str) == expected(rows)

@@ -49,3 +49,12 @@ def test_sites_near_and_far_from_the_threshold(spark):
 
 def test_empty_table(spark):
     assert lines.remove_boilerplate(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_a_very_long_document(spark):
+    """All of a hundred thousand footers but the first go, in time that grows with the lines."""
+    footer = "the same footer\n"
+    rows = [(k, f"s{k}", footer + f"own line {k}") for k in range(12)] + [(50, "s50", footer * 100_000 + "end\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: (r.text, r.removed_lines) for r in lines.remove_boilerplate(docs).collect()}
+    assert got[50] == ("end\n\n", 100_000) and got[0] == (footer + "own line 0", 0) and got[3] == ("own line 3", 1)

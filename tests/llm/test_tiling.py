@@ -68,3 +68,15 @@ def test_empty_tables(spark):
     assert tiling.leaks(docs.limit(0), items).count() == 0
     assert tiling.leaks(docs, items.limit(0)).count() == 0
     assert tiling.leaks(docs, items).count() == 1
+
+
+def test_a_shared_opening_brings_nothing_together(spark):
+    """Items are met by their rarest seeds only: an opening in every text and item makes no pair, a leak behind it is found."""
+    opening = "please answer the following question in one word"
+    items = [(i, f"{opening} " + " ".join(f"item{i}x{k}" for k in range(20))) for i in range(60)]
+    docs = [(d, f"{opening} " + " ".join(f"text{d}x{k}" for k in range(20))) for d in range(400)] + [(1000, "so: " + items[7][1]), (1001, opening)]
+    found = tiling.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert [(r.doc_id, r.item_id, r.coverage) for r in found.collect()] == [(1000, 7, 1.0)]
+    short = [(1, opening)]
+    found = tiling.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(short, "item_id long, text string"))
+    assert found.count() == len(docs)
