@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import bitmap, components, in_bitmap, mixed, shingle_sets, shuffle_partitions, stage
+from tallymark.llm.common import (
+    bitmap, components, give_back, in_bitmap, mixed, shingle_sets, shuffle_partitions, small_batches, stage,
+)
 
 #: Shingles in a cell that one task joins in memory; larger cells are split over tasks.
 CELL_SHINGLES = 1_000_000
@@ -203,6 +205,7 @@ def document_sets(docs: DataFrame, doc: str, text: str, words: int) -> DataFrame
             made = [(set_id(s), len(s)) for s in shingle_sets(batch.column(1), words)]
             arrays = [pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc", "set_id", "n"])
+        give_back()
 
     return _texts(docs, doc, text).mapInArrow(measure, f"doc {kind}, set_id long, n long")
 
@@ -257,6 +260,9 @@ def region_links(docs: DataFrame, text: str, words: int, percent: int, buckets:
                     held = 0
         if held:
             yield flush()
+        keys.clear()
+        ids.clear()
+        give_back()
 
     def gather(group: pa.Table) -> pa.Table:
         keys, ids, links = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
@@ -270,6 +276,9 @@ def region_links(docs: DataFrame, text: str, words: int, percent: int, buckets:
                 ids.append(np.frombuffer(data[half:], np.int64))
         links.append(_stars(np.concatenate(keys), np.concatenate(ids))[2])
         found = np.unique(np.concatenate(links), axis=0)
+        keys.clear()
+        ids.clear()
+        give_back()
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     packed = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(emit, "bucket int, kind int, data binary")
@@ -290,6 +299,7 @@ def _sets_of(docs: DataFrame, doc: str, text: str, words: int, wanted: DataFrame
                 flat = pa.array(np.concatenate(sets).view(np.int64))
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array(sizes), listed], ["set_id", "n", "shingles"])
+        give_back()
 
     rows = _texts(docs, doc, text).select("text", F.xxhash64("doc").alias("h"))
     return rows.mapInArrow(admit, "set_id long, n long, shingles array<long>")
@@ -318,6 +328,8 @@ def _joined(members: DataFrame, group: str, percent: int) -> DataFrame:
             for x, y in cell.join():
                 a.append(int(own[x]))
                 b.append(int(own[y]))
+        del sets, rows
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return members.groupBy(group).applyInArrow(join, "a long, b long")
@@ -424,6 +436,21 @@ def group_documents(
     the smallest unless all are null.
     """
     spark = docs.sparkSession
+    with small_batches(spark):
+        known, joined = _grouped(docs, doc, text, words, percent, cell_shingles)
+    # Copies are one point, and only points with copies or links are looked up: a join that can be split where one set is a third of all rows.
+    points = known.where("n > 0").groupBy("set_id").agg(F.min("doc").alias("least"), F.count("*").alias("copies"))
+    placed = points.join(joined, F.col("set_id") == F.col("node"), "left").where("copies > 1 or root is not null")
+    placed = stage(placed.select("set_id", "least", F.coalesce("root", "set_id").alias("label")), "placed")
+    classes = placed.join(placed.groupBy("label").agg(F.min("least").alias("component")), "label").select("set_id", "component", F.lit(True).alias("joint"))
+    return known.join(classes, "set_id", "left").select(
+        F.col("doc").alias(doc), F.col("n").alias("n_shingles"),
+        F.when(F.col("joint") & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, doc: str, text: str, words: int, percent: int, cell_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and node and root of those that are linked."""
+    spark = docs.sparkSession
     known = stage(document_sets(docs, doc, text, words), "sets")
     buckets = max(64, 2 * shuffle_partitions(spark), known.count() // BUCKET_ROWS)
     links = stage(region_links(docs, text, words, percent, buckets), "region_links")
@@ -441,15 +468,7 @@ def group_documents(
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    joined = components(every, "a", "b")
-    # Copies are one point, and only points with copies or links are looked up: a join that can be split where one set is a third of all rows.
-    points = known.where("n > 0").groupBy("set_id").agg(F.min("doc").alias("least"), F.count("*").alias("copies"))
-    placed = points.join(joined, F.col("set_id") == F.col("node"), "left").where("copies > 1 or root is not null")
-    placed = stage(placed.select("set_id", "least", F.coalesce("root", "set_id").alias("label")), "placed")
-    classes = placed.join(placed.groupBy("label").agg(F.min("least").alias("component")), "label").select("set_id", "component", F.lit(True).alias("joint"))
-    return known.join(classes, "set_id", "left").select(
-        F.col("doc").alias(doc), F.col("n").alias("n_shingles"),
-        F.when(F.col("joint") & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc")).alias("component_id"))
+    return known, stage(components(every, "a", "b"), "components")
 
 
 def _members(docs: DataFrame, doc: str, text: str, words: int, known: DataFrame, cells: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import PLAIN_WORDS, byte_rules, span_hashes, stage, text_chunks, windows, word_spans
+from tallymark.llm.common import PLAIN_WORDS, byte_rules, give_back, span_hashes, stage, text_chunks, windows, word_spans
 
 #: Labelled rows that the trees are grown on at most.
 TRAIN_ROWS = 20_000
@@ -203,6 +203,7 @@ def accepted(docs: DataFrame, trees: Trees, text: str = "text", least: float = A
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
                 yield part.filter(pa.array(predict(shared.value, statistics(part.column(at).cast(pa.string()))) >= least))
+        give_back()
 
     return docs.mapInArrow(judge, docs.schema)
 
