@@ -19,9 +19,12 @@ RETENTION_DAYS = 20
 
 @dataclass(frozen=True)
 class Scope:
-    """Which part of the history a report is about."""
+    """Which part of the history a report is about.
 
-    mapping_ids: Sequence | None = None
+    ``mapping_ids``: a few ids, or a table with a column ``mapping_id`` of any length.
+    """
+
+    mapping_ids: Sequence | DataFrame | None = None
     basis: str = "latest"
     window: str = "all"
     as_of: datetime | None = None
@@ -40,18 +43,25 @@ class Scope:
         return None if days is None else self.as_of - timedelta(days=days)
 
 
-def _moment(df: DataFrame, column: str, value: datetime) -> Column:
+def moment(df: DataFrame, column: str, value: datetime) -> Column:
     return F.lit(value).cast(df.schema[column].dataType)
 
 
 def in_window(runs: DataFrame, scope: Scope) -> DataFrame:
-    if scope.mapping_ids is not None:
-        runs = runs.filter(F.col("mapping_id").isin(list(scope.mapping_ids)))
+    runs = of_mappings(runs, scope)
     if scope.since is not None:
-        runs = since_day(runs, scope).filter(F.col("started_at") >= _moment(runs, "started_at", scope.since))
+        runs = since_day(runs, scope).filter(F.col("started_at") >= moment(runs, "started_at", scope.since))
     return runs
 
 
+def of_mappings(df: DataFrame, scope: Scope) -> DataFrame:
+    if scope.mapping_ids is None:
+        return df
+    if isinstance(scope.mapping_ids, DataFrame):
+        return df.join(scope.mapping_ids.select("mapping_id").distinct(), "mapping_id", "left_semi")
+    return df.filter(F.col("mapping_id").isin(list(scope.mapping_ids)))
+
+
 def since_day(df: DataFrame, scope: Scope) -> DataFrame:
     """Stored tables are partitioned by ``run_date``: days before the window are not read."""
     if scope.since is None or "run_date" not in df.columns:
@@ -264,8 +274,8 @@ def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def prune(runs: DataFrame, results: DataFrame, cutoff: datetime) -> tuple[DataFrame, DataFrame]:
     """Runs started before the cutoff go, with their results."""
-    old = runs.filter(F.col("started_at") < _moment(runs, "started_at", cutoff)).select(F.col("id").alias("run_id"))
-    kept = runs.filter(~F.coalesce(F.col("started_at") < _moment(runs, "started_at", cutoff), F.lit(False)))
+    old = runs.filter(F.col("started_at") < moment(runs, "started_at", cutoff)).select(F.col("id").alias("run_id"))
+    kept = runs.filter(~F.coalesce(F.col("started_at") < moment(runs, "started_at", cutoff), F.lit(False)))
     return kept, results.join(old, "run_id", "left_anti")
 
 

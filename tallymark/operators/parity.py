@@ -84,6 +84,18 @@ def _metric_verdict(metric: str, s: str, d: str, s_type: T.StructType, d_type: T
     )
 
 
+def uniqueness_verdict(s: Column, d: Column) -> list[Column]:
+    """The verdict over two sides' distinct counts, each a struct ``total`` (rows, metric) and ``tables`` (src_table, metric)."""
+
+    def said(side: str, at: Column) -> Column:
+        each = F.transform(F.array_sort(at["tables"]), lambda t: F.concat(t["src_table"], F.lit(": "), t["metric"].cast("string")))
+        listed = F.when(F.size(at["tables"]) >= 2, F.concat(F.lit(" ("), F.array_join(each, ", "), F.lit(")"))).otherwise(F.lit(""))
+        return F.concat(F.lit(f"{side} {METRICS[model.UNIQUENESS].said} = "), at["total"]["metric"].cast("string"), listed)
+
+    gap = F.abs(s["total"]["metric"] - d["total"]["metric"])
+    return verdict(gap == 0, gap, d["total"]["rows"], F.concat_ws(" | ", said("source", s), said("destination", d)))
+
+
 def _wanted(check: ColumnParity, column_map: Sequence[Mapping], source: Frames, destination: Frames):
     if check.validation_type == model.REGEX and not check.pattern:
         raise CheckError(f"{model.REGEX} needs a regex pattern")

@@ -23,7 +23,7 @@ from tallymark.model import (
     ALL_COLUMNS, Check, CheckError, ColumnParity, DualScriptCheck, KeyParity, Mapping, RowCountMatch, RuleCheck, ScriptCheck,
     admit,
 )
-from tallymark.operators import parity, scripts
+from tallymark.operators import parity, scripts, set_checks
 from tallymark.operators.rules import Rule, check_rows, check_rule
 from tallymark.operators.sides import lacking, side_rows, stack
 from tallymark.operators.verdicts import ERROR, PASS
@@ -100,12 +100,15 @@ class Unit:
 def units(spark: SparkSession, mapping: Mapping, checks: Sequence[Check]) -> list[Unit]:
     """Group the checks that can share a scan; every other check is a unit of its own."""
     shared_parity: dict[tuple, list[int]] = {}
+    shared_sets: dict[tuple, list[int]] = {}
     shared_rules: dict[tuple, list[tuple[int, Rule]]] = {}
     single: list[Unit] = []
     for i, check in enumerate(checks):
         if isinstance(check, ColumnParity) and parity.shares_a_scan(check):
             key = (tuple(check.source_tables), tuple(check.destination_tables))
             shared_parity.setdefault(key, []).append(i)
+        elif set_checks.shares_a_grouping(check) and len(mapping.source) + len(mapping.destination) <= set_checks.MOST_TABLES:
+            shared_sets.setdefault((tuple(check.source_tables), tuple(check.destination_tables)), []).append(i)
         elif isinstance(check, RuleCheck) and mapping.kind == model.TWO_SIDED or (
             isinstance(check, RuleCheck) and check.side == "source"
         ):
@@ -119,6 +122,11 @@ def units(spark: SparkSession, mapping: Mapping, checks: Sequence[Check]) -> lis
     out = []
     for members in shared_parity.values():
         out.append(Unit(members, lambda members=members: _parity_unit(mapping, [checks[i] for i in members])))
+    for members in shared_sets.values():
+        if len(members) == 1:
+            single.append(_alone(spark, mapping, checks[members[0]], members[0]))
+        else:
+            out.append(Unit(members, lambda members=members: _set_unit(mapping, [checks[i] for i in members])))
     for pairs in shared_rules.values():
         out.append(Unit(
             [i for i, _ in pairs],
@@ -145,6 +153,13 @@ def _parity_unit(mapping: Mapping, checks: Sequence[ColumnParity]) -> DataFrame:
     return parity.column_parity_many(source, destination, checks, mapping.column_map)
 
 
+def _set_unit(mapping: Mapping, checks: Sequence[Check]) -> DataFrame:
+    for check in checks:
+        admit(check, mapping)
+    source, destination = checks[0].frames(mapping)
+    return set_checks.set_parity_many(source, destination, checks, mapping.column_map)
+
+
 def plan_all(spark: SparkSession, mapping: Mapping, checks: Sequence[Check]) -> DataFrame:
     """Every check in one lazy frame: label, name, target and verdict."""
     arms = []

@@ -7,8 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.operators import digests as dg
 from tallymark.operators import history as h
 from tallymark.operators import reports as r
+from tallymark.session import scratch_dir
 from workload.inputs import CASES, MAPPINGS, MEMBERS, RESULTS, RUNS, SCHEDULES, SUITES
 from workload.registry import Tables, duck, query
 
@@ -130,6 +132,15 @@ def latest_of_layers(t: Tables) -> DataFrame:
     return r.by_layer(digested(t, h.Scope(mapping_ids=FEW)))
 
 
+@query("latest_of_many_layers", f"""
+WITH {scoped(f"mapping_id % 3 = 1 AND {LATEST}", "JOIN")} {BY_LAYER}
+""")
+def latest_of_many_layers(t: Tables) -> DataFrame:
+    """Layers named by a table instead of a list."""
+    chosen = t.sql(MAPPINGS).where("id % 3 = 1").select(F.col("id").alias("mapping_id"))
+    return r.by_layer(digested(t, h.Scope(mapping_ids=chosen)))
+
+
 @query("busiest_layers", f"""
 WITH {scoped()}, l AS (SELECT mapping_name, count(*) AS checks FROM r GROUP BY 1)
 SELECT *, (SELECT count(*) FROM l) - 8 AS hidden FROM l ORDER BY checks DESC, mapping_name LIMIT 8
@@ -424,3 +435,42 @@ def repointed_mapping(t: Tables) -> DataFrame:
     return cases.select(F.lit("cases").alias("what"), "id").unionByName(
         members.select(F.lit("members").alias("what"), F.col("test_case_id").alias("id"))
     )
+
+
+# --- from stored sums ---------------------------------------------------------------------------------------
+
+def stored_sums(t: Tables) -> str:
+    """The history in two arrivals, the second of which brings some runs again, with its sums per day."""
+    results, runs, _ = frames(t)
+    path = scratch_dir(t.spark, "history")
+    for part in ("id % 3 <> 0", "id % 3 <> 1"):
+        own = runs.where(part)
+        dg.append_runs(own, results.join(own.select(F.col("id").alias("run_id")), "run_id", "left_semi"), path)
+    return path
+
+
+@query("by_type_stored", f"WITH {scoped()} {BY_TYPE}")
+def by_type_stored(t: Tables) -> DataFrame:
+    return r.by_type(dg.read_sums(t.spark, stored_sums(t), t.sql(MAPPINGS), h.Scope(basis="all")).checks)
+
+
+@query("by_layer_stored", f"""
+WITH {scoped("started_at >= TIMESTAMP '2001-05-04 00:00:00'")} {BY_LAYER}
+""")
+def by_layer_stored(t: Tables) -> DataFrame:
+    """The last three months: sums of whole days, and of the day the window begins in single results."""
+    scope = h.Scope(basis="all", window="3m", as_of=AS_OF)
+    return r.by_layer(dg.read_sums(t.spark, stored_sums(t), t.sql(MAPPINGS), scope).checks)
+
+
+@query("summary_stored", f"""
+WITH {scoped("started_at >= TIMESTAMP '1999-01-01 00:00:00'").replace("runs AS (", "every_run AS (").replace(
+    "suites AS (", "runs AS (SELECT * FROM every_run WHERE started_at >= TIMESTAMP '1999-01-01 00:00:00'), suites AS (", 1)} {SUMMARY}
+""")
+def summary_stored(t: Tables) -> DataFrame:
+    """After retention has dropped what is older than 1999; deleted mappings show in the names alone."""
+    kept = scratch_dir(t.spark, "kept")
+    dg.prune_runs(t.spark, stored_sums(t), kept, CUTOFF, days=0)
+    mappings = t.sql(MAPPINGS)
+    sums = dg.read_sums(t.spark, kept, mappings, h.Scope(basis="all"))
+    return dg.summary_of_days(sums, mappings)

@@ -99,16 +99,21 @@ def ingest_parquet(t: Tables) -> DataFrame:
     return flat.select("vec_id", "label", F.size(cells).alias("width"), F.posexplode(cells).alias("pos", "cell"))
 
 
+def bucket_of(rows: DataFrame, key: str, size: int = 500) -> Column:
+    """A column ``bucket``: groups of about ``size`` rows, so that a file is a bounded number of rows however large the table is."""
+    return F.pmod(F.xxhash64(key), F.lit(rows.count() // size + 1)).alias("bucket")
+
+
 @query("ingest_json", """
 SELECT c_custkey, c_name AS "c.name", CAST(c_nationkey AS BIGINT) AS "c.nation", c_acctbal AS balance FROM customer
 """)
 def ingest_json(t: Tables) -> DataFrame:
-    """Arrays of objects, one per file."""
+    """Arrays of objects, one per file; there are as many files as the rows need."""
     folder = scratch_dir(t.spark, "json")
     nested = F.struct("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("c"), F.col("c_acctbal").alias("balance"))
-    arrays = t.customer.groupBy(F.col("c_custkey") % 3).agg(F.to_json(F.collect_list(nested)).alias("value"))
-    arrays.select("value").repartition(3).write.text(folder, lineSep="\n")
-    return files.read_table(t.spark, folder, "json")
+    arrays = t.customer.groupBy(bucket_of(t.customer, "c_custkey")).agg(F.to_json(F.collect_list(nested)).alias("value"))
+    arrays.write.partitionBy("bucket").text(folder)
+    return files.read_table(t.spark, f"{folder}/*", "json")
 
 
 @query("ingest_to_table", """
@@ -137,8 +142,10 @@ def xml_reread(t: Tables) -> DataFrame:
     folder = scratch_dir(t.spark, "reread")
     body = F.concat(*(F.concat(F.lit(f"<note>{n} "), F.col("s_suppkey").cast("string"), F.lit("</note>")) for n in "ab"),
                     F.lit('<supplier key="'), F.col("s_suppkey").cast("string"), F.lit('"><name>'), F.col("s_name"), F.lit("</name></supplier>"))
-    whole = t.supplier.agg(F.concat(F.lit("<all>"), F.array_join(F.collect_list(body), ""), F.lit("</all>")).alias("value"))
-    whole.coalesce(1).write.text(folder)
+    documents = t.supplier.groupBy(bucket_of(t.supplier, "s_suppkey")).agg(
+        F.concat(F.lit("<all>"), F.array_join(F.collect_list(body), ""), F.lit("</all>")).alias("value"))
+    documents.write.partitionBy("bucket").text(folder)
+    folder = f"{folder}/*"
     made = files.ingest(t.spark, folder, "notes reread", "xml")
     first = t.spark.table(made["table"])
     rows = [("note", first.count(), ",".join(first.columns))]
