@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import (
-    bitmap, components, give_back, in_bitmap, mixed, shingle_sets, shuffle_partitions, small_batches, stage,
+    bitmap, components, give_back, in_bitmap, mixed, release_shuffles, shingle_sets, shuffle_partitions, small_batches, stage,
 )
 
 #: Shingles in a cell that one task joins in memory; larger cells are split over tasks.
@@ -377,9 +377,11 @@ def _refined(members: DataFrame, percent: int) -> DataFrame:
         F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
     places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
     first = F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))
-    keys = own.select("cell", "set_id", F.explode(first["shingle"]).alias("shingle"))
+    keys = stage(own.select("cell", "set_id", F.explode(first["shingle"]).alias("shingle")), "rare_keys")
+    release_shuffles(members.sparkSession)
     leaders = keys.groupBy("cell", "shingle").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader < last")
-    links = keys.join(leaders, ["cell", "shingle"]).where("set_id > leader").select("set_id", "leader").distinct()
+    links = stage(keys.join(leaders, ["cell", "shingle"]).where("set_id > leader").select("set_id", "leader").distinct(), "rare_links")
+    release_shuffles(members.sparkSession)
     cells = components(links, "set_id", "leader")
     return members.drop("cell").join(cells, F.col("set_id") == F.col("node")).select(F.col("root").alias("cell"), "set_id", "n", "shingles", "label")
 
@@ -454,7 +456,9 @@ def _grouped(docs: DataFrame, doc: str, text: str, words: int, percent: int, cel
     known = stage(document_sets(docs, doc, text, words), "sets")
     buckets = max(64, 2 * shuffle_partitions(spark), known.count() // BUCKET_ROWS)
     links = stage(region_links(docs, text, words, percent, buckets), "region_links")
+    release_shuffles(spark)
     cells = stage(components(links, "a", "b"), "cells")
+    release_shuffles(spark)
     members = stage(_members(docs, doc, text, words, known, cells), "members")
     weights = members.groupBy("cell").agg(F.sum("n").alias("weight"))
     total = weights.agg(F.sum("weight")).first()[0] or 0
@@ -463,6 +467,7 @@ def _grouped(docs: DataFrame, doc: str, text: str, words: int, percent: int, cel
     small = sized.where(F.col("weight") <= cell_shingles).withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(groups)))
     found = [_joined(small.select("group", "cell", "set_id", "shingles", "label"), "group", percent)]
     large = stage(sized.where(F.col("weight") > cell_shingles).drop("weight"), "large")
+    release_shuffles(spark)
     if not large.isEmpty():
         found += _split_large(_refined(large, percent), percent, cell_shingles)
     every = found[0]

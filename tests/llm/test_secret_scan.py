@@ -1,7 +1,9 @@
 """Secret scans: candidates, features, the forest, and that no Python runs on the way."""
 
 import hashlib
+import math
 import random
+import re
 
 from tallymark.llm import secret_scan as s
 
@@ -89,3 +91,49 @@ def test_values_of_credentials_of_any_length_and_characters(spark):
     first = made[1, 3, "Hunter2!"]
     assert (first.before, first.prefix, first.suffix, first.after) == ("password =", '"', '"', "y")
     assert {r.value_sha256 for r in s.scan(frame).where("doc_id = 1").collect()} == {hashlib.sha256(b"Hunter2!").hexdigest()}
+
+
+def plain_long_tokens(rows):
+    """Long tokens of whole texts, word by word, with some of their features."""
+    value = re.compile(s.VALUE)
+    out = []
+    for doc, text, path in rows:
+        words = re.split(r"\s+", text or "", flags=re.ASCII)
+        for i, word in enumerate(words):
+            if len(word) < 16:
+                continue
+            opened = re.sub(r"([A-Za-z_]{2,32})=(?=[A-Za-z0-9+/_-]{16,})", r"\1= ", word)
+            for part, v in enumerate(value.findall(opened)):
+                if not (re.search("[0-9]", v) or re.search("[a-z]", v) and re.search("[A-Z]", v)):
+                    continue
+                shares = [v.count(c) / len(v) for c in set(v)]
+                out.append((
+                    doc, i, part, v, " ".join(words[max(0, i - 2):i]), words[i + 1] if i + 1 < len(words) else "",
+                    round(sum(c.isdigit() for c in v) / len(v), 9), round(len(set(v)) / len(v), 9), round(-sum(x * math.log2(x) for x in shares), 6),
+                    bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v)), bool(re.search(s.TEST_PATH, (path or "").lower()))))
+    return sorted(out, key=str)
+
+
+def test_long_tokens_of_documents(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    found = s.with_features(s.candidates(docs)).where("part >= 0")
+    got = sorted(((r.doc, r.word, r.part, r.value, r.before, r.after, round(r.digits, 9), round(r.distinct, 9), round(r.entropy, 6), r.hex == 1.0, r.test_path == 1.0)
+                  for r in found.collect()), key=str)
+    assert got == plain_long_tokens(rows) and got
+
+
+def test_assigned_values_of_documents(spark, folder):
+    """Every value that a plain scan for ``name=value`` and ``name: value`` finds is a candidate, whatever its length."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    pattern = re.compile(r"(?i:key|token|secret|password|passwd|pwd|credential)[A-Za-z0-9_-]*\s*[=:]\s*\"([^\"\\\r\n]+)\"")
+    want = {(r.doc_id, v) for r in docs.collect() for v in pattern.findall(r.text or "")}
+    got = {(r.doc, r.value) for r in s.candidates(docs).collect()}
+    assert want <= got
+
+
+def test_one_label_only(spark):
+    """Without findings of both kinds there is no forest: what stands near decides, ties included."""
+    rows = [(1, "password = Tr0ub4dor", "a"), (1, "password = Tr0ub4dor", "a"), (2, "nothing here", "a"), (3, None, None)]
+    made = s.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert [(r.doc_id, r.probability, r.secret) for r in made] == [(1, 1.0, True)] * 2
