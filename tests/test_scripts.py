@@ -4,6 +4,7 @@ import pytest
 
 from tallymark.model import CheckError
 from tallymark.operators import scripts
+from workload import parity_queries, registry
 
 
 def graded(spark, sql, **tables):
@@ -85,6 +86,13 @@ def test_dual_values(spark):
         scripts.dual_value(spark.sql("SELECT 1 AS a, 2 AS b"), spark.sql("SELECT 1"))
 
 
+def test_registered_dual_value_shows_both_figures(spark, folder):
+    row = registry.QUERIES["dual_value"](spark, folder).first()
+    figures = [spark.read.parquet(f"{folder}/orders.parquet").select("o_custkey").dropna().distinct().count()]
+    figures.append(registry.Tables(spark, folder).sql(parity_queries.DST).select("o_custkey").dropna().distinct().count())
+    assert [row.source_value, row.destination_value] == [str(n) for n in figures]
+
+
 def test_callables(spark):
     tables = {"t": spark.range(3)}
 

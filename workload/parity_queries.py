@@ -363,7 +363,7 @@ def dual_value_check(t: Tables) -> DataFrame:
         t.spark, 'SELECT count(DISTINCT "o_custkey") FROM orders', pair.source,
         "SELECT count(DISTINCT o_custkey) AS value FROM dst", pair.destination,
     )
-    figure = F.regexp_extract_all("details", F.lit(r"value = (\d+)"), F.lit(1))
+    figure = F.regexp_extract_all("details", F.lit(r"(?:source|destination) has (\d+)"), F.lit(1))
     return dual_value(*sides).select(
         "status", "violations", F.get(figure, F.lit(0)).alias("source_value"), F.get(figure, F.lit(1)).alias("destination_value")
     )
