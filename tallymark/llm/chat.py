@@ -2,8 +2,8 @@
 
 A conversation is formatted once, as a stream of turn segments with running offsets. Because the context of an example is
 everything before its reply, an example is a prefix of that stream: ``examples`` gives one row per assistant turn with the end
-of its prefix and the one stretch of it that is trained on, and ``example_texts`` writes the prefixes out. So a conversation of
-n turns costs n rows, not n * n texts, until somebody asks for the texts. All of it is DataFrame functions.
+of its prefix and the one stretch of it that is trained on, and ``written`` writes every prefix out, n * n texts' worth for a
+conversation of n turns, ``BLOCK`` of them at a time. ``digests`` reads those texts back. All of it is DataFrame functions.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. In roles and texts a backslash is doubled and ``<|`` becomes ``<\\|``, in roles
 a line break becomes ``\\n`` as two characters; so ``<|`` in the stream always begins a mark, and ``unescape`` restores every text.
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 TRAINED_ROLE = "assistant"
+#: Examples of a conversation that are written out in one place; a longer conversation's are spread over tasks.
+BLOCK = 64
 
 
 def escape(text: Column) -> Column:
@@ -82,19 +84,36 @@ def examples(stream: DataFrame) -> DataFrame:
     )
 
 
-def example_texts(stream: DataFrame) -> DataFrame:
-    """The examples written out: conv, example, text, loss_start, loss_end.
+def written(stream: DataFrame) -> DataFrame:
+    """conv, example (a row of ``examples`` without conv), turns, text: every example written out, all turns before its reply first.
 
-    Writes every context once per reply, n * n turns for n of them, as a generator of one conversation's row.
+    With a null example, once for each conversation, stands the text of all its turns; ``turns`` are the segments that were
+    written. A block of a conversation's examples has the turns up to its last reply, and the last block has all of them.
     """
-    turns = stream.groupBy("conv").agg(
-        F.sort_array(F.collect_list(F.struct("position", "segment", "trained", "loss_start", "loss_end"))).alias("turns"))
-    made = turns.select("conv", "turns", F.explode("turns").alias("target")).where("target.trained")
-    text = F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("target.position") + 1), lambda t: t["segment"]), "")
-    return made.select(
-        "conv", F.col("target.position").alias("example"), text.alias("text"),
-        F.col("target.loss_start").alias("loss_start"), F.col("target.loss_end").alias("loss_end"),
-    )
+    conversation = Window.partitionBy("conv")
+    before = F.count_if("trained").over(conversation.orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
+    last = F.floor(F.greatest(F.count_if("trained").over(conversation) - 1, F.lit(0)) / BLOCK)
+    turns = stream.select("conv", F.struct("position", "segment").alias("turn"), F.floor(before / BLOCK).alias("since"), last.alias("last"))
+    turns = turns.select("conv", "turn", "last", F.explode(F.sequence(F.least("since", "last"), "last")).alias("block"))
+    made = examples(stream)
+    made = made.select(
+        "conv", F.struct(*[c for c in made.columns if c != "conv"]).alias("target"),
+        F.floor((F.row_number().over(conversation.orderBy("example")) - 1) / BLOCK).alias("block"))
+    both = turns.select("conv", "block", "turn", (F.col("block") == F.col("last")).alias("whole")).unionByName(made, allowMissingColumns=True)
+    # Rows lie by conversation already, which would do for the groups: blocks are dealt out all the same.
+    grouped = both.repartition("conv", "block").groupBy("conv", "block").agg(
+        F.array_sort(F.collect_list("turn")).alias("turns"), F.collect_list("target").alias("targets"), F.bool_or("whole").alias("whole"))
+    nothing = F.lit(None).cast(made.schema["target"].dataType)
+    wanted = F.when(F.col("whole"), F.array_append("targets", nothing)).otherwise(F.col("targets"))
+    rows = grouped.select("conv", F.transform("turns", lambda t: t["segment"]).alias("turns"), F.explode(wanted).alias("example"))
+    count = F.when(F.col("example").isNull(), F.size("turns")).otherwise(F.greatest(F.col("example.context_turns") + 1, F.lit(0))).cast("int")
+    rows = rows.select("conv", "example", F.slice("turns", F.lit(1), count).alias("turns"))
+    return rows.withColumn("text", F.array_join("turns", ""))
+
+
+def example_texts(stream: DataFrame) -> DataFrame:
+    """The examples written out: conv, example, text, loss_start, loss_end."""
+    return written(stream).where("example is not null").select("conv", "example.example", "text", "example.loss_start", "example.loss_end")
 
 
 def parse(segment: Column) -> Column:
@@ -107,6 +126,11 @@ def parse(segment: Column) -> Column:
     )
 
 
+def cut(text: Column) -> Column:
+    """The segments of a written text, cut at its closing marks."""
+    return F.transform(F.filter(F.split(text, r"<\|im_end\|>\n", -1), lambda piece: piece != ""), lambda piece: F.concat(piece, F.lit(CLOSE)))
+
+
 def read_back(stream: DataFrame) -> DataFrame:
     """conv, position, segment, start, end, turn (role and text): what the conversations' written streams read back as.
 
@@ -114,44 +138,45 @@ def read_back(stream: DataFrame) -> DataFrame:
     """
     ordered = F.array_sort(F.collect_list(F.struct("position", "segment")))
     whole = stream.groupBy("conv").agg(F.array_join(F.transform(ordered, lambda t: t["segment"]), "").alias("text"))
-    pieces = whole.select("conv", F.posexplode(F.split("text", r"<\|im_end\|>\n", -1)).alias("position", "piece")).where("piece <> ''")
-    made = pieces.select("conv", "position", F.concat("piece", F.lit(CLOSE)).alias("segment"))
+    made = whole.select("conv", F.posexplode(cut(F.col("text"))).alias("position", "segment"))
     upto = Window.partitionBy("conv").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("segment").cast("long")).over(upto)
     return made.withColumn("end", end).withColumn("start", F.col("end") - F.length("segment")).withColumn("turn", parse(F.col("segment")))
 
 
 def digests(stream: DataFrame) -> DataFrame:
-    """Per conversation what reads back from the stream: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    """Per conversation what reads back from the texts of ``written``: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    ``n_examples``, ``example_chars`` and the trained texts are those of the rows of ``examples``. One counts if its prefix
-    reads back: its ``chars`` characters of the stream are whole turns, ``context_turns`` of them before the reply, and the stretch
-    from ``loss_start`` to ``loss_end`` is the reply and all that the last turn says. A digest of a whole conversation needs its
-    turns in one place, as text and nothing else; formatting does not.
+    ``n_examples``, ``example_chars`` and the trained texts are those of the examples as they are written. One counts if its text
+    reads back: cut at its closing marks it is the turns before the reply, ``context_turns`` of them, and the reply, ``chars``
+    characters together, and the stretch from ``loss_start`` to ``loss_end`` is the reply and all that the last turn says. Turns are
+    counted and digested from the text of the whole conversation, the one place where a digest needs them all.
     """
-    made = examples(stream).select(
-        F.col("conv").alias("of"), F.col("context_turns").cast("long").alias("context_turns"), "chars", "loss_start", "loss_end", "reply")
-    # A prefix of so many characters ends where a turn that was read ends, so the turns before it are its context.
-    both = read_back(stream).join(made, F.col("conv").eqNullSafe(F.col("of")) & (F.col("end") == F.col("chars")), "left")
-    span = F.substr("segment", (F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    rows = written(stream).select("conv", "turns", "example.*", "text", F.col("example").isNull().alias("whole"))
+    rows = rows.withColumn("found", cut(F.col("text")))
+    rows = rows.withColumn("closing", parse(F.try_element_at("found", F.lit(-1)))).withColumn(
+        "span", F.substr("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    rows = rows.withColumn("loss", unescape(F.col("span")))
     holds = (
-        (F.col("position") == F.col("context_turns")) & (F.col("turn.role") == TRAINED_ROLE) & (span == F.col("reply"))
-        & (unescape(span) == F.col("turn.text")) & (F.col("loss_end") + len(CLOSE) == F.col("chars"))
+        (F.col("found") == F.col("turns")) & (F.size("found") == F.col("context_turns") + 1) & (F.length("text") == F.col("chars"))
+        & (F.col("closing.role") == TRAINED_ROLE) & (F.col("span") == F.col("reply")) & (F.col("loss") == F.col("closing.text"))
+        & (F.col("loss_end") + len(CLOSE) == F.col("chars"))
     )
-    rows = both.withColumn("trained", F.coalesce(holds, F.lit(False))).select(
-        "conv", "position", "end", "trained", F.concat("turn.role", F.lit("\n"), "turn.text", F.lit("\n")).alias("turn"),
-        F.when(F.col("trained"), unescape(span)).alias("loss"),
+    said = F.transform(F.transform("found", parse), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    rows = rows.select(
+        "conv", "example", F.coalesce(~F.col("whole") & holds, F.lit(False)).alias("trained"), "loss", F.length("text").cast("long").alias("chars"),
+        F.when(F.col("whole"), F.struct(
+            F.size("found").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+            F.length("text").cast("long").alias("formatted_chars"))).alias("whole"),
     )
     grouped = rows.groupBy("conv").agg(
-        F.array_sort(F.collect_list(F.struct("position", "turn", "loss"))).alias("turns"),
-        F.count("*").alias("n_turns"), F.max("end").alias("formatted_chars"),
-        F.coalesce(F.sum(F.length("loss").cast("long")), F.lit(0)).cast("long").alias("loss_chars"),
+        F.max("whole").alias("whole"), F.array_sort(F.collect_list(F.when(F.col("trained"), F.struct("example", "loss")))).alias("losses"),
+        F.coalesce(F.sum(F.when(F.col("trained"), F.length("loss").cast("long"))), F.lit(0)).cast("long").alias("loss_chars"),
         F.count_if("trained").alias("n_examples"),
-        F.coalesce(F.sum(F.when(F.col("trained"), F.col("end"))), F.lit(0)).cast("long").alias("example_chars"),
+        F.coalesce(F.sum(F.when(F.col("trained"), F.col("chars"))), F.lit(0)).cast("long").alias("example_chars"),
     )
-    whole = F.array_join(F.transform("turns", lambda t: t["turn"]), "")
-    loss = F.array_join(F.transform("turns", lambda t: t["loss"]), "")
+    loss = F.array_join(F.transform("losses", lambda t: t["loss"]), "")
     return grouped.select(
-        "conv", "n_turns", F.sha2(whole, 256).alias("turns_sha256"), "loss_chars", F.sha2(loss, 256).alias("loss_sha256"),
-        F.col("formatted_chars").cast("long").alias("formatted_chars"), "n_examples", "example_chars",
+        "conv", "whole.n_turns", "whole.turns_sha256", "loss_chars", F.sha2(loss, 256).alias("loss_sha256"),
+        "whole.formatted_chars", "n_examples", "example_chars",
     )

@@ -95,3 +95,33 @@ def test_every_prefix_reads_back_to_its_turns(spark):
     for r in found:
         prefix = [read[r.conv, k] for k in range(r.context_turns + 1)]
         assert prefix[-1][0] == r.chars and [t[1:] for t in prefix] == want[r.conv][:r.context_turns + 1]
+
+
+def test_digests_read_the_written_contexts(spark, monkeypatch):
+    made = stream(spark).where("conv = 100")
+    real = chat.written
+    example = F.col("example").isNotNull()
+    broken = {
+        "no context": F.when(example, F.element_at("turns", -1)).otherwise(F.col("text")),
+        "another turn": F.when(example, F.replace("text", F.lit("user\nu"), F.lit("user\nw"))).otherwise(F.col("text")),
+        "one turn of two": F.when(example, F.replace("text", F.lit("<|im_end|>\n<|im_start|>user\nu"), F.lit("    <|im_start|>user\nu       "))).otherwise(F.col("text")),
+    }
+    for name, text in broken.items():
+        monkeypatch.setattr(chat, "written", lambda s: real(s).withColumn("text", text))
+        r = chat.digests(made).first()
+        assert (r.n_turns, r.n_examples, r.loss_chars, r.example_chars) == (5, 0, 0, 0), name
+
+
+def test_long_conversations_are_written_in_blocks(spark, monkeypatch):
+    made = stream(spark).unionByName(chat.segments(spark.range(23).selectExpr(
+        "200 AS conv_id", "id AS turn", "if(id % 3 = 1, 'assistant', 'user') AS role", "concat('t', id) AS text")))
+    whole, texts = sorted(map(str, chat.digests(made).collect())), sorted(map(str, chat.example_texts(made).collect()))
+    monkeypatch.setattr(chat, "BLOCK", 2)
+    dealt = chat.written(made).where("conv = 200")
+    assert dealt.where("example is null").count() == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert dealt.select(F.spark_partition_id()).distinct().count() == 2  # all there are in the tests
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(map(str, chat.digests(made).collect())) == whole and sorted(map(str, chat.example_texts(made).collect())) == texts
