@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import mixed
+from tallymark.llm.common import give_back, mixed
 
 #: Samples of a fingerprint lie about between this and twice this number; texts of fewer than SAMPLES / 2 characters have fewer.
 SAMPLES = 128
 #: Characters of text that are walked side by side.
 BUCKET_CHARS = 12_000_000
+#: Characters whose values are worked out at once.
+CHUNK_CHARS = 1 << 18
 #: Samples in a band.
 BAND = 8
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -42,13 +44,28 @@ def level_of(n_chars: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(1, 2 * n_chars) / SAMPLES))).astype(np.int64)
 
 
+def _values(texts: list[str], count: int) -> np.ndarray:
+    """An odd number for every character of the texts, each of which is followed by one more character; some texts at a time."""
+    values, done, some, held = np.empty(count, np.uint32), 0, [], 0
+    for k, text in enumerate(texts):
+        some.append(text)
+        held += len(text)
+        if held >= CHUNK_CHARS or k + 1 == len(texts):
+            codes = np.frombuffer(("\0".join(some) + "\0").encode("utf-32-le"), np.uint32)
+            for at in range(0, len(codes), CHUNK_CHARS):
+                part = codes[at:at + CHUNK_CHARS]
+                values[done:done + len(part)] = (mixed(part.astype(np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                done += len(part)
+            some, held = [], 0
+    return values
+
+
 def fingerprints(texts: list[str]) -> list[str]:
     """``LL:hhhh...``: the level in decimal, then a hex digit (four bits of a hash of the character) per sampled step."""
     n_chars = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-n_chars, kind="stable")
     begins = np.concatenate([[0], np.cumsum(n_chars + 1)])[:-1]
-    codes = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le"), np.uint32)
-    values = (mixed(codes.astype(np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    values = _values(texts, int(n_chars.sum()) + len(texts))
     values[begins + n_chars] = 0  # the end of a text: every function stays there
     levels = level_of(n_chars)
     lanes, at = order, begins[order]
@@ -189,6 +206,8 @@ def document_prints(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
             values = (own[k][1], len(texts[k]), hashlib.sha256(edited[k].encode()).hexdigest(), mine, changed, likeness(mine, changed), likeness(mine, beside))
             for column, value in zip(out.values(), values):
                 column.append(value)
+        del rows, own, texts, following, edited, prints
+        give_back()
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.table({n: pa.array(v, kind) for (n, v), kind in zip(out.items(), kinds)})
 

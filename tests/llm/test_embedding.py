@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -34,6 +35,20 @@ def test_walk_is_the_plain_one():
     assert embedding.fingerprints(["abc"]) + embedding.fingerprints(["x" * 5000]) == embedding.fingerprints(["abc", "x" * 5000])
 
 
+def test_walk_in_chunks_holds_little(monkeypatch):
+    many = ["abcdefgh\U0001f44d\0" * 30 * (k % 7) for k in range(2_000)]
+    whole, held = embedding.fingerprints(many), []
+    tracemalloc.start()
+    try:
+        embedding.fingerprints(many)
+        held.append(tracemalloc.get_traced_memory()[1])
+    finally:
+        tracemalloc.stop()
+    assert held[0] < 15 * sum(map(len, many))
+    monkeypatch.setattr(embedding, "CHUNK_CHARS", 7)
+    assert embedding.fingerprints(many[:50]) == whole[:50]
+
+
 def test_likeness_follows_edits():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
