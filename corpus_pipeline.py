@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm import jaccard, lines, packing, quality, tiling
-from tallymark.llm.common import free_name, stage, text_hashes, without_texts
+from tallymark.llm.common import free_name, split_by_texts, stage, text_hashes, without_texts
 
 #: Documents with this probability of quality at least are kept.
 KEEP = 0.5
@@ -14,12 +14,6 @@ KEEP = 0.5
 WORDS, PERCENT = 5, 80
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The documents, written once, with a number of their own for every row: ids may be null or repeated."""
-    row = free_name(docs, "row_number")
-    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject, row by row."""
     return quality.accepted(docs, quality.fit_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), least=KEEP)
@@ -33,17 +27,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest id, a null id last; of one id, that of the smallest text hash."""
-    rows, row = numbered(docs)
-    grouped = jaccard.group_documents(rows, row, words=WORDS, percent=PERCENT).select(F.col(row), F.col("component_id").alias("component"))
-    grouped = stage(grouped, "groups")
+    """One row of each group of near-duplicates: the one with the smallest id, a null id last; of one id, that of the smallest text hash.
+
+    Groups are groups of texts. A text in a group of several rows is settled by its hash: no row of it stays, or one of one id.
+    """
+    name = free_name(docs, "text_hash")
+    h1, h2 = text_hashes("text")
+    key = F.struct(h1.alias("h1"), h2.alias("h2"))
+    grouped = jaccard.group_documents(docs.select("text", key.alias(name)), name, words=WORDS, percent=PERCENT)
+    grouped = stage(grouped.where("n_shingles > 0").select(F.col(name).alias("key"), F.col("component_id").alias("component")), "groups")
     # Groups of one row, nearly all, need not be ranked.
-    several = grouped.where(F.col("component") != F.col(row)).select("component").distinct()
-    members = grouped.join(several, "component", "left_semi").join(
-        rows.select(row, F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("text"), row).alias("rank")), row)
+    several = grouped.groupBy("component").agg(F.count("*").alias("rows")).where("rows > 1")
+    texts = stage(grouped.join(several, "component", "left_semi").distinct(), "texts")
+    rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("text"), key.alias("key"))
+    members = docs.select(key.alias("key"), rank.alias("rank")).join(texts, "key")
     first = members.groupBy("component").agg(F.min("rank").alias("first"))
-    dropped = members.join(first, "component").where(F.col(row) != F.col(f"first.{row}")).select(row)
-    return rows.join(dropped, row, "left_anti").select(docs.columns)
+    stays = F.when(F.col("key") == F.col("first.key"), F.struct(F.col("first.doc_id").alias("id")))
+    settled = stage(texts.join(first, "component").select("key.h1", "key.h2", stays.alias("stays"), F.lit(True).alias("known")), "settled")
+    those, others = split_by_texts(docs, "text", settled)
+    own = F.col(f"c{docs.columns.index('doc_id')}")
+    left = those.join(settled, ["h1", "h2"], "left").where(
+        F.col("known").isNull() | F.col("stays").isNotNull() & own.eqNullSafe(F.col("stays.id")))
+    left = left.withColumn("copy", F.row_number().over(Window.partitionBy("h1", "h2", own).orderBy(F.lit(0))))
+    left = left.where(F.col("known").isNull() | (F.col("copy") == 1))
+    return others.unionByName(left.select(*others.columns)).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

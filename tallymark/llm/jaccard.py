@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import (
-    bitmap, components, give_back, in_bitmap, mixed, release_shuffles, shingle_sets, shuffle_partitions, small_batches, stage,
+    bitmap, components, give_back, in_bitmap, mixed, release_shuffles, shingle_sets, shuffle_partitions, small_batches, stage, stage_in,
 )
+from tallymark.session import drop_folder
 
 #: Shingles in a cell that one task joins in memory; larger cells are split over tasks.
 CELL_SHINGLES = 1_000_000
@@ -35,6 +36,8 @@ CELL_SHINGLES = 1_000_000
 FLUSH_KEYS = 250_000
 #: Rows whose keys one bucket gathers, about.
 BUCKET_ROWS = 2_000
+#: Shingles of large cells that one bucket counts, about.
+BUCKET_TOKENS = 500_000
 #: Pivots that split a large cell.
 PIVOTS = 8
 
@@ -363,6 +366,45 @@ def _distances(members: DataFrame, percent: int) -> DataFrame:
         measure, "cell long, set_id long, n long, shingles array<long>, label long, pivots array<long>, far array<double>")
 
 
+def _held(members: DataFrame, buckets: int) -> DataFrame:
+    """set_id, shingle and held (sets of its cell that have it, more than one) of the shared shingles of every set.
+
+    ``members``: cell, set_id, shingles. A shingle is a hash of the cell and the shingle, sent as packed numbers with the set's id.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flushes = np.cumsum(batch.column(2).value_lengths().to_numpy()) // FLUSH_KEYS
+            for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(flushes)) + 1) if len(batch) else ():
+                rows = batch.slice(part[0], len(part))
+                sizes = rows.column(2).value_lengths().to_numpy()
+                cells = mixed(rows.column(0).to_numpy().view(np.uint64))
+                keys = mixed(rows.column(2).flatten().to_numpy().view(np.uint64) ^ np.repeat(cells, sizes))
+                order = np.argsort(keys)
+                keys, ids = keys[order], np.repeat(rows.column(1).to_numpy(), sizes)[order]
+                cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+                data = [(b, keys[x:y].tobytes() + ids[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in data], pa.int32()), pa.array([d[1] for d in data], pa.binary())], ["bucket", "data"])
+        give_back()
+
+    def count(group: pa.Table) -> pa.Table:
+        keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for data in group["data"]:
+            data = data.as_buffer()
+            keys.append(np.frombuffer(data[:len(data) // 2], np.uint64))
+            ids.append(np.frombuffer(data[len(data) // 2:], np.int64))
+        _, code, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        held = counts[code]
+        some = held > 1
+        found = [np.concatenate(ids)[some], np.concatenate(keys)[some].view(np.int64), held[some].astype(np.int32)]
+        del keys, ids, code, counts, held
+        give_back()
+        return pa.table(dict(zip(("set_id", "shingle", "held"), map(pa.array, found))))
+
+    packed = members.mapInArrow(emit, "bucket int, data binary")
+    return packed.groupBy("bucket").applyInArrow(count, "set_id long, shingle long, held int")
+
+
 def _refined(members: DataFrame, percent: int) -> DataFrame:
     """The same members in finer cells: sets are connected only by shingles that are rare in their cell.
 
@@ -370,20 +412,30 @@ def _refined(members: DataFrame, percent: int) -> DataFrame:
     of the cell hold a shingle, so a passage that many texts share comes last and no longer connects them; shingles that
     one set alone holds use up places, and a set whose places are all used up has no link.
     """
-
-    tokens = members.select("cell", "set_id", "n", F.explode("shingles").alias("shingle"))
-    held = tokens.groupBy("cell", "shingle").agg(F.count("*").alias("held")).where("held > 1")
-    own = tokens.join(held, ["cell", "shingle"]).groupBy("cell", "set_id").agg(
-        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
+    spark = members.sparkSession
+    tokens = members.agg(F.sum("n")).first()[0] or 0
+    held = _held(members.select("cell", "set_id", "shingles"), max(64, 2 * shuffle_partitions(spark), tokens // BUCKET_TOKENS))
+    shared = held.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
+    own = shared.join(members.select("set_id", "n"), "set_id")
     places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
     first = F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))
-    keys = stage(own.select("cell", "set_id", F.explode(first["shingle"]).alias("shingle")), "rare_keys")
-    release_shuffles(members.sparkSession)
-    leaders = keys.groupBy("cell", "shingle").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader < last")
-    links = stage(keys.join(leaders, ["cell", "shingle"]).where("set_id > leader").select("set_id", "leader").distinct(), "rare_links")
-    release_shuffles(members.sparkSession)
-    cells = components(links, "set_id", "leader")
-    return members.drop("cell").join(cells, F.col("set_id") == F.col("node")).select(F.col("root").alias("cell"), "set_id", "n", "shingles", "label")
+    keys = stage(own.select("set_id", F.explode(first["shingle"]).alias("shingle")), "rare_keys")
+    release_shuffles(spark)
+    leaders = keys.groupBy("shingle").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader < last")
+    links = stage(keys.join(leaders, "shingle").where("set_id > leader").select("set_id", "leader").distinct(), "rare_links")
+    release_shuffles(spark)
+    cells = stage(components(links, "set_id", "leader"), "rare_cells")
+    # Most sets have no link left: only those whose id is in a bitmap are shuffled, and the join is exact.
+    table = spark.sparkContext.broadcast(bitmap(cells, "node"))
+
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(table.value, batch.column(0).to_numpy().view(np.uint64))))
+        give_back()
+
+    rows = members.select("set_id", "n", "shingles", "label")
+    near = rows.mapInArrow(admit, rows.schema)
+    return near.join(cells, F.col("set_id") == F.col("node")).select(F.col("root").alias("cell"), "set_id", "n", "shingles", "label")
 
 
 def _split_large(members: DataFrame, percent: int, most: int) -> list[DataFrame]:
@@ -459,21 +511,25 @@ def _grouped(docs: DataFrame, doc: str, text: str, words: int, percent: int, cel
     release_shuffles(spark)
     cells = stage(components(links, "a", "b"), "cells")
     release_shuffles(spark)
-    members = stage(_members(docs, doc, text, words, known, cells), "members")
+    members, folder = stage_in(_members(docs, doc, text, words, known, cells), "members")
+    release_shuffles(spark)
     weights = members.groupBy("cell").agg(F.sum("n").alias("weight"))
     total = weights.agg(F.sum("weight")).first()[0] or 0
     groups = max(1, total // cell_shingles + 1)
-    sized = members.join(weights, "cell")
-    small = sized.where(F.col("weight") <= cell_shingles).withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(groups)))
-    found = [_joined(small.select("group", "cell", "set_id", "shingles", "label"), "group", percent)]
-    large = stage(sized.where(F.col("weight") > cell_shingles).drop("weight"), "large")
+    # Cells of so many shingles are fewer than groups, so they can be broadcast, and no set is shuffled to learn which it is in.
+    heavy = F.broadcast(stage(weights.where(F.col("weight") > cell_shingles).select("cell"), "heavy"))
+    small = members.join(heavy, "cell", "left_anti").withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(groups)))
+    found = [stage(_joined(small.select("group", "cell", "set_id", "shingles", "label"), "group", percent), "links")]
     release_shuffles(spark)
+    large = members.join(heavy, "cell", "left_semi").select("cell", "set_id", "n", "shingles", "label")
     if not large.isEmpty():
         found += _split_large(_refined(large, percent), percent, cell_shingles)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return known, stage(components(every, "a", "b"), "components")
+    joined = stage(components(every, "a", "b"), "components")
+    drop_folder(spark, folder)
+    return known, joined
 
 
 def _members(docs: DataFrame, doc: str, text: str, words: int, known: DataFrame, cells: DataFrame) -> DataFrame:

@@ -103,6 +103,16 @@ def test_documents(spark, seed, cell):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in made), key=str) == plain(rows)
 
 
+def test_shared_shingles_are_counted_by_cell(spark, monkeypatch):
+    sets = {1: (10, [-5, 1, 2, 3]), 2: (10, [1, 2, 7]), 3: (10, [2, 8]), 4: (11, [1, 2]), 5: (11, [2, 9]), 6: (12, [])}
+    frame = spark.createDataFrame([(c, i, s) for i, (c, s) in sets.items()], "cell long, set_id long, shingles array<long>")
+    for flush in (250_000, 2):
+        monkeypatch.setattr(jaccard, "FLUSH_KEYS", flush)
+        found = [(r.set_id, r.held, r.shingle) for r in jaccard._held(frame, 3).collect()]
+        assert sorted(f[:2] for f in found) == [(1, 2), (1, 3), (2, 2), (2, 3), (3, 3), (4, 2), (5, 2)]
+        assert len({f[2] for f in found}) == 3  # shingles 1 and 2 of cell 10, 2 of cell 11
+
+
 def test_five_words(spark):
     rows = corpus(7, 150, 6, 12)
     made = jaccard.group_documents(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()

@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from tokenizers import Tokenizer
@@ -100,3 +101,26 @@ def test_null_and_repeated_ids(spark, tmp_path):
         "doc_id long, text string")
     kept = sorted(((r.doc_id or 0, r.text or "") for r in pipeline.jaccard_join(spark, copies, str(tmp_path)).collect()))
     assert kept == sorted([(5, copy), (0, clean), (7, "a clean row of its own"), (8, ""), (9, "")])
+
+
+def test_near_copies_leave_no_texts_or_shingles_on_disk(spark, tmp_path):
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(base[:50 + k] + ["other"] + base[50 + k:]) if k % 2 else f"text {k} " + " ".join(base[k * 7:k * 7 + 9])) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("*"))
+    kept = [r.doc_id for r in pipeline.jaccard_join(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept) == [0, 1, *range(2, 20, 2)]
+    left = {p.name: spark.read.parquet(str(p)).columns for p in set(shared.glob("*")) - before if any(p.glob("*.parquet"))}
+    assert left and not any({"text", "shingles"} & set(columns) for columns in left.values()), left
+
+
+def test_copies_are_settled_by_id(spark, tmp_path):
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"a{k}" for k in range(1, 61))
+    rows = [(None, one), (None, one), (None, two), (3, two), (3, two), (3, one), (4, one), (None, "  "), (None, "  "), (None, None), (3, "")]
+    docs = spark.createDataFrame([(d, t, str(k)) for k, (d, t) in enumerate(rows)], "doc_id long, text string, source string")
+    made = pipeline.jaccard_join(spark, docs, str(tmp_path))
+    kept = made.collect()
+    assert made.columns == docs.columns and len(kept) == 5
+    assert [r.doc_id for r in kept if r.text in (one, two)] == [3]
+    assert sum(r.text is None or not r.text.strip() for r in kept) == 4
